@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding
+from . import bpe, pii, sharding
 from .common import table
 
 
+def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.with_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -19,7 +24,7 @@ def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_hash_tree_shards, op8_feistel_pseudonyms)}
+    return {f.__name__: f for f in (op2_tree_bpe, op7_hash_tree_shards, op8_feistel_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
