@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, sharding
+from . import bpe, html, pii, sharding
 from .common import table
 
 
@@ -23,8 +23,12 @@ def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tree_bpe, op7_hash_tree_shards, op8_feistel_pseudonyms)}
+    return {f.__name__: f for f in (op2_tree_bpe, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
 
 
 def oracle_sql() -> dict[str, str]:
