@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html, pii, sharding
+from . import bpe, html, pii, quality_model, sharding
 from .common import table
 
 
@@ -15,6 +16,12 @@ def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    got = quality_model.classify(docs, table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "source", "lang", "junk_probability", "toxic_probability", "rejected", (~F.col("rejected")).alias("kept"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -28,7 +35,7 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tree_bpe, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
+    return {f.__name__: f for f in (op2_tree_bpe, op3_site_quality, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
 
 
 def oracle_sql() -> dict[str, str]:
