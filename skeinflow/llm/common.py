@@ -17,6 +17,10 @@ _BASE, _COMB = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 PASS_BYTES = 1 << 20
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Letters and digits of ASCII, and all bytes of other characters: punctuation parts words.
+_IS_ALNUM = np.zeros(256, dtype=bool)
+for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    _IS_ALNUM[_a:_b] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -50,11 +54,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: byte spans, hashes, the text each is of."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts: byte spans, hashes, the text each is of.
+    alnum: punctuation of ASCII parts words, too."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, alnum: bool = False):
         self.data, self.offsets = data, offsets
-        inside = _IS_WORD[data]
+        inside = (_IS_ALNUM if alnum else _IS_WORD)[data]
         n = len(data)
         first = np.zeros(n + 1, dtype=bool)
         first[:n] = inside
@@ -81,7 +86,7 @@ class Words:
             return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
 
-def passes(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def passes(texts: pa.Array, alnum: bool = False) -> Iterator[tuple[int, int, Words]]:
     """Words of a string column, some rows at a time: (first row, row after the last, words). Null counts as empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
@@ -96,7 +101,7 @@ def passes(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PASS_BYTES, side="right")) - 1)
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], alnum)
         at = to
 
 
@@ -135,6 +140,35 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[at], h[at], np.diff(np.append(at, len(doc)))
 
 
+class Bits:
+    """A Bloom filter of a fixed size for 64-bit hashes: 2**23 bits, whatever the number of hashes.
+    It only spares rows: what passes is joined exactly."""
+
+    LOG = 23
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> "Bits":
+        """Of a long column. At most 2**17 rows, of 64 bits each, reach the driver."""
+        n = cls.LOG
+        ats = F.array(*[F.shiftrightunsigned(F.shiftleft(F.col(column), i * n), 64 - n) for i in range(2)])
+        bits = df.select(F.explode(ats).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b"))
+        words = np.zeros(1 << (n - 6), dtype=np.int64)
+        for r in bits.collect():
+            words[r["w"]] = r["b"]
+        return cls(words.view(U64))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes may be among them."""
+        n = U64(64 - self.LOG)
+        with np.errstate(over="ignore"):
+            a, b = h >> n, (h << U64(self.LOG)) >> n
+        on = lambda at: (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)
+        return (on(a) & on(b)).astype(bool)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, pii, quality_model, quality_rules, sharding
+from . import bpe, decontamination, html, pii, quality_model, quality_rules, sharding
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "source", "lang", "junk_probability", "toxic_probability", "rejected", (~F.col("rejected")).alias("kept"))
 
 
+def op4_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op6_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     got = quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"))
@@ -41,7 +46,7 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tree_bpe, op3_site_quality, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
+    return {f.__name__: f for f in (op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
 
 
 def oracle_sql() -> dict[str, str]:
