@@ -21,7 +21,7 @@ from .common import Bits, checkpoint, grams, passes, signed
 SEED, ZONE = 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's full score from which a text counts as holding the item.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 #: Words beside an item's length by which a passage may be longer.
 SLACK = 16
 

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, pii, quality_model, quality_rules, sharding
+from . import bpe, decontamination, html, near_duplicates, pii, quality_model, quality_rules, sharding
 from .common import table
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -46,7 +50,7 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
 
 
 def oracle_sql() -> dict[str, str]:
