@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, near_duplicates, pii, quality_model, quality_rules, sharding
+from . import bpe, decontamination, html, near_duplicates, passages, pii, quality_model, quality_rules, sharding
 from .common import table
 
 
@@ -45,12 +45,16 @@ def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op10_template_text)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text)}
 
 
 def oracle_sql() -> dict[str, str]:
