@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, near_duplicates, passages, pii, quality_model, quality_rules, sharding
+from . import bpe, decontamination, html, near_duplicates, passages, pii, pitman_yor, quality_model, quality_rules, sharding
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     got = quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"))
@@ -54,7 +58,7 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op5_pitman_yor, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text)}
 
 
 def oracle_sql() -> dict[str, str]:
