@@ -173,15 +173,30 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only where none is set, as in local
+    tests, a folder of this machine is taken."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get()
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir, which all executors share.
-    Only where none is set, as in local tests, a folder of this machine is taken."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    """Cuts the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def brief(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marks a checkpointed, narrow table for a broadcast if it has so few rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node of the
     component; nodes without an edge have no row.

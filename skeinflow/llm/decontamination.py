@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Bits, checkpoint, grams, passes, signed
+from .common import Bits, brief, checkpoint, grams, passes, signed
 
 SEED, ZONE = 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -175,4 +175,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold an item."""
     found = checkpoint(find(docs, benchmark).select("key").distinct())
-    return _keyed(docs).join(found, F.col("_key") == F.col("key"), "left_anti").drop("_key")
+    return _keyed(docs).join(brief(found), F.col("_key") == F.col("key"), "left_anti").drop("_key")

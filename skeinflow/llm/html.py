@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import checkpoint, mix
 
 #: Fixed names of HTML: elements without content, with raw content, and those that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +35,8 @@ MAIN_WORDS = frozenset("articlebody maincontent main".split())
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 5
 #: Text that stands once in every page of a host counts as template from so many pages on.
 TEXT_PAGES = 20
+#: Templates up to this size in all are sent to every task.
+BROADCAST_BYTES = 16 << 20
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -265,8 +267,6 @@ def extract(pages: DataFrame) -> DataFrame:
         return s.map(lambda x: json.dumps(nest([(r["of"], r["pages"], r["once"], list(r["tokens"]), list(r["chars"])) for r in x])))
 
     templates = found.groupBy("host").agg(F.collect_list(rows).alias("rows"), F.max("of").alias("of")).select("host", "of", nested("rows").alias("template"))
-    from .common import checkpoint
-
     templates = checkpoint(templates)
     general = templates.where("host = '*'").select("template").first()  # one row, no larger than a few pages' tokens
     default = general[0] if general else json.dumps({"container": [], "texts": []})
@@ -285,6 +285,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(slots(h or "", read[t]))
             yield pd.Series(out, dtype=object)
 
-    joined = own.join(templates.where(F.col("of") >= TEMPLATE_PAGES).where("host <> '*'").select("host", "template"), "host", "left")
+    own_templates = templates.where(F.col("of") >= TEMPLATE_PAGES).where("host <> '*'").select("host", "template")
+    if (own_templates.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+        own_templates = F.broadcast(own_templates)  # else pages are shuffled by host, a large host in parts
+    joined = own.join(own_templates, "host", "left")
     got = joined.select("page_id", "url", text("html", "template").alias("text"))
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, distinct, grams, mix, passes, signed, unit
+from .common import brief, checkpoint, components, distinct, grams, mix, passes, signed, unit
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of rows: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
@@ -237,21 +237,20 @@ def classes(docs: DataFrame, **how) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """`docs` with one document of each group: the first by doc_id, then by text and the other columns.
-    Documents without words all stay. Equal rows of a group count as one."""
+    Documents without words all stay. Of rows of a group that agree in all columns one stays."""
     found = checkpoint(groups(docs, **how))
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = _keyed(docs).join(found.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_class", F.when(word, F.coalesce("root", "_key")))
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_key", F.xxhash64(*other) if other else F.lit(0))
-    rows = rows.withColumn("_rank", rank)
-    best = rows.where("_class is not null").groupBy(F.col("_class").alias("_c")).agg(F.min("_rank").alias("_best"))
-    kept = rows.join(best, F.col("_class") == F.col("_c"), "left").where(F.col("_class").isNull() | (F.col("_rank") == F.col("_best")))
-    twice = kept.where("_class is not null").groupBy("_class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_class").alias("_t"))
-    return _once(kept, twice, docs.columns)
-
-
-def _once(kept: DataFrame, twice: DataFrame, columns: list[str]) -> DataFrame:
-    """Of rows that agree in all columns and so in rank, one: only these few meet by class."""
-    single = kept.join(twice, F.col("_class") == F.col("_t"), "left").withColumn("_again", F.col("_t").isNotNull())
-    one = single.where("_again").dropDuplicates(["_class"])
-    return single.where("not _again").select(*columns).unionByName(one.select(*columns))
+    rows = _keyed(docs).withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_other": F.xxhash64(*other) if other else F.lit(0).cast("long")})
+    # Who goes is settled without the texts.
+    slim = rows.where(word).select("_key", "_id", "_other", "doc_id").join(found.withColumnRenamed("node", "_key"), "_key", "left")
+    slim = slim.select("_key", "_id", "_other", F.coalesce("root", "_key").alias("_class"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_other").alias("_rank"))
+    best = slim.groupBy("_class").agg(F.min("_rank").alias("_best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ranked = slim.join(best, "_class")
+    go = checkpoint(ranked.groupBy("_key", "_id", "_other").agg(F.count("*").alias("n"), F.first(F.col("_rank") == F.col("_best")).alias("first")).where("n > 1 or not first"))
+    stay = rows.join(brief(go.select("_key", "_id", "_other")), ["_key", "_id", "_other"], "left_anti")
+    twice = go.where("first").select("_key", "_id", "_other")
+    if twice.isEmpty():
+        return stay.select(*docs.columns)
+    one = rows.join(brief(checkpoint(twice)), ["_key", "_id", "_other"], "left_semi").dropDuplicates(["_key", "_id", "_other"])
+    return stay.select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import brief as small, checkpoint
 
 #: Most labelled documents that the model is fitted on, those of the smallest hash, and most words for each target.
 FIT_ROWS, FIT_WORDS = 8_000, 200
@@ -174,13 +174,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     p = {t: 1 / (1 + F.exp(-(F.col(f"_e.{t}") + F.lit(float(model.base[i]))))) for i, t in enumerate(TARGETS)}
     sites = checkpoint(brief.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.coalesce(f"_{t}", p[t])).alias(t) for t in TARGETS]))
     hosts = sites.groupBy("_host").agg(F.sum("n").alias("hn"), *[F.sum(t).alias(f"h_{t}") for t in TARGETS])
-    rates = sites.join(hosts, "_host")
+    rates = checkpoint(sites.join(hosts, "_host"))
     total = hosts.agg(F.sum("hn").alias("n"), *[F.sum(f"h_{t}").alias(t) for t in TARGETS]).first()
     strong, of = {}, {}
     for t in TARGETS:
         of[t] = float(total[t]) / total["n"] if total["n"] else 0.0
         strong[t] = (float(_strength(hosts, "hn", f"h_{t}", F.lit(of[t]), "x").first()[0]), float(_strength(rates, "n", t, F.col(f"h_{t}") / F.col("hn"), "x").first()[0]))
-    back = scored.join(rates.withColumnsRenamed({"_host": "_rh", "_path": "_rp"}), (F.col("_host") == F.col("_rh")) & (F.col("_path") == F.col("_rp")))
+    back = scored.join(small(rates).withColumnsRenamed({"_host": "_rh", "_path": "_rp"}), (F.col("_host") == F.col("_rh")) & (F.col("_path") == F.col("_rp")))
     out = {}
     for i, t in enumerate(TARGETS):
         up, low = strong[t]
