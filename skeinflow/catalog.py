@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import conversation, signals
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return conversation.QUERIES | signals.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return conversation.SQL | signals.SQL
