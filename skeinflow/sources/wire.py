@@ -8,7 +8,6 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import audio, jstext, labels, settings
 from ..functions.prompt import DEFAULT_TEMPLATE, DEFAULT_TOPIC
@@ -18,7 +17,7 @@ ANSWER = "choices ARRAY<STRUCT<delta: STRUCT<content: STRING>>>"
 EVENT_LOG = "session STRING, seq BIGINT, kind STRING, text STRING, ts_ms BIGINT"
 #: Kinds of the event log.
 KINDS = ["interim", "final", "chunk", "done", "clear", "status", "start", "stop", "error", "audio"]
-STORED = T.StructType.fromDDL("topic STRING, topicPromptTemplate STRING, overlay STRUCT<x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE, opacity: DOUBLE>, deepgramApiKey STRING, openAiApiKey STRING")
+STORED = "topic STRING, topicPromptTemplate STRING, overlay STRUCT<x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE, opacity: DOUBLE>, deepgramApiKey STRING, openAiApiKey STRING"
 
 
 def speech(rows: DataFrame, message: str = "message") -> DataFrame:
