@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import brief, checkpoint, components, distinct, grams, mix, passes, signed, unit
@@ -23,6 +23,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Rank at which the first cell ends; later cells double.
 FIRST_CELL = 0.25
+#: Longs of a sketch's parity bits.
+SKETCH = 8
 _U = np.uint64
 
 
@@ -110,6 +112,21 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
+    """Parity sketches (docs x SKETCH longs) of sets of elements with their counts: bit b tells whether the elements
+    that hash to b are odd in number. Two sets' sketches differ in no more bits than the sets do in elements."""
+    size = 64 * SKETCH
+    odd = np.bincount(doc * size + (h >> _U(7)).astype(np.int64) % size, weights=n, minlength=docs * size).astype(np.int64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(docs, SKETCH)
+
+
+def near(a: str, b: str, least: float) -> Column:
+    """Whether two sketched sets can have the Jaccard similarity: sets of m and n elements that do differ in at most
+    (1 - least) / (1 + least) (m + n) of them. It rules out, and never a pair that is similar."""
+    apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(SKETCH))
+    return F.expr(f"{apart} <= {(1 - least) / (1 + least)!r}D * ({a}.n + {b}.n) + 1e-6D")
+
+
 def _signed_texts(n_bands: int, rows: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,8 +135,11 @@ def _signed_texts(n_bands: int, rows: int, counted: bool):
                 doc, h, n = distinct(doc, h)
                 sig = bands(darts(doc, h, n.astype(float) if counted else np.ones(len(h)), hi - lo, n_bands * rows), rows)
                 some = np.bincount(doc, minlength=hi - lo) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n_bands)]).astype(np.int32)), pa.array(signed(sig[some].reshape(-1))))
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, hi - lo), lists], ["key", "bands"])
+                weight = n.astype(float) if counted else np.ones(len(h))
+                size = np.bincount(doc, weights=weight, minlength=hi - lo).astype(np.int64)
+                bits = sketches(doc, h, weight, hi - lo)
+                each = lambda k, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * k)]).astype(np.int32)), pa.array(x[some].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, hi - lo), each(n_bands, signed(sig)), pa.array(size), each(SKETCH, bits)], ["key", "bands", "n", "bits"])
 
     return run
 
@@ -158,23 +178,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, check) -> DataFrame:
     return both.where(check("ta", "tb")).select("a", "b")
 
 
-def linked(buckets: DataFrame, texts: DataFrame, check, star_rounds: int = 2) -> DataFrame:
+def _sketched(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sketches can be similar."""
+    of = lambda side: marks.select(F.col("key").alias(side), F.struct("n", "bits").alias(f"m{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(near("ma", "mb", least)).select("a", "b")
+
+
+def linked(buckets: DataFrame, marks: DataFrame, texts: DataFrame, check, least: float, star_rounds: int = 2) -> DataFrame:
     """Rows (node, root) of the components of similar texts: of `buckets(bucket, key)`, the keys that share a
-    bucket are compared by `check` on their `texts(key, text)`.
+    bucket are compared by their sketches, `marks(key, n, bits)`, and where these can be similar to the degree `least`,
+    by `check` on their `texts(key, text)`.
 
     First each bucket's keys are compared with one of them, whose choice differs by round, so that a bucket
     of many copies costs one comparison for each. Then, in buckets that still hold several components, each
-    key outside the bucket's largest component is compared with every key of the other components: a pair
-    within a component needs no comparison, and no other pair of a bucket is left out."""
+    key outside the bucket's largest component meets the keys of the other components. A pair within a component needs
+    no comparison, and a join gives only pairs whose sketches can be similar, so that a group of texts that are
+    all somewhat alike gives few; no other pair of a bucket is left out."""
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = checkpoint(buckets.join(shared, "bucket").select("bucket", "key"))
     need = shared.select("key").distinct()
-    own = checkpoint(texts.join(need, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+    marks = checkpoint(marks.join(need, "key", "left_semi").select("key", "n", "bits").dropDuplicates(["key"]))
+    own_texts = checkpoint(texts.join(need, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))  # the one shuffle of texts
     tested, edges, roots = None, None, None
     for turn in range(star_rounds + 1):
         if roots is None:
-            now = shared.withColumn("root", F.col("key"))
-            mixed = now
+            mixed = shared.withColumn("root", F.col("key"))
         else:
             now = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
             several = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
@@ -185,18 +213,21 @@ def linked(buckets: DataFrame, texts: DataFrame, check, star_rounds: int = 2) ->
         lead = size.groupBy("bucket").agg(F.max(F.struct("n", F.col("k.h").alias("h"), F.col("root").alias("r"), F.col("k.key").alias("lead"))).alias("m")).select("bucket", "m.r", "m.lead")
         outside = mixed.join(lead, "bucket").where("root <> r")
         if turn < star_rounds:
-            pairs = outside.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
+            pairs = outside.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).where("a <> b").distinct()
+            pairs = _sketched(pairs, marks, least)
         else:
-            other = mixed.select("bucket", F.col("key").alias("k2"), F.col("root").alias("r2"))
-            pairs = outside.join(other, "bucket").where("root <> r2").select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
-        pairs = pairs.where("a <> b").distinct()
+            own = F.struct("n", "bits")
+            x = outside.join(marks, "key").select("bucket", F.col("key").alias("k1"), F.col("root").alias("r1"), own.alias("m1"))
+            y = mixed.join(marks, "key").select(F.col("bucket").alias("b2"), F.col("key").alias("k2"), F.col("root").alias("r2"), own.alias("m2"))
+            met = x.join(y, (F.col("bucket") == F.col("b2")) & (F.col("r1") != F.col("r2")) & near("m1", "m2", least))
+            pairs = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = checkpoint(_verified(pairs, own, check))
+        new = checkpoint(_verified(pairs, own_texts, check))
         if new.isEmpty():
             continue
         # Earlier components count as stars around their roots.
@@ -216,9 +247,9 @@ def groups(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, least: float
     its group. Texts without words are similar to none. counted: weigh shingles by how often they stand in
     the text (weighted Jaccard), else each counts once, as does the check."""
     texts = _keyed(docs.select("text")).select(F.col("_key").alias("key"), "text")
-    marks = checkpoint(texts.mapInArrow(_signed_texts(n_bands, rows, counted), "key binary, bands array<long>"))
-    buckets = marks.where("bands is not null").select("key", F.explode("bands").alias("bucket")).distinct()
-    return linked(buckets, texts, _checked(least, counted))
+    marks = checkpoint(texts.mapInArrow(_signed_texts(n_bands, rows, counted), "key binary, bands array<long>, n long, bits array<long>"))
+    buckets = marks.select("key", F.explode("bands").alias("bucket")).distinct()
+    return linked(buckets, marks, texts, _checked(least, counted), least)
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import Bits, Words, _power, checkpoint, distinct, grams, mix, passes, signed
-from .near_duplicates import SHINGLE, SIMILAR, _checked, bands, darts, linked
+from .near_duplicates import SHINGLE, SIMILAR, SKETCH, _checked, bands, darts, linked, sketches
 
 #: Words of a line that is compared by MinHash; of a sentence; of a passage; between paragraphs of one passage.
 LINE, SENTENCE, RUN, GAP = 20, 5, 20, 8
@@ -122,6 +122,8 @@ def _paragraphs(n_bands: int, rows: int):
                 g, ln, _ = grams(own, hashes, SHINGLE, short=False)
                 ln, g, _ = distinct(ln[ln >= 0], g[ln >= 0])
                 sig = bands(darts(ln, g, np.ones(len(g)), len(la), n_bands * rows), rows)
+                bits = sketches(ln, g, np.ones(len(g)), len(la))
+                size = np.bincount(ln, minlength=len(la))
                 per = np.bincount(doc, minlength=hi - lo)
                 at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 lines = np.concatenate([[0], np.cumsum(np.bincount(doc[is_line], minlength=hi - lo))]).astype(np.int32)
@@ -135,14 +137,16 @@ def _paragraphs(n_bands: int, rows: int):
                         lists(at, (z - a).astype(np.int32), pa.int32()),
                         lists(lines, signed(h[is_line]), pa.int64()),
                         lists((lines * n_bands).astype(np.int32), signed(sig.reshape(-1)), pa.int64()),
+                        lists(lines, size, pa.int64()),
+                        lists((lines * SKETCH).astype(np.int32), bits.reshape(-1), pa.int64()),
                     ],
-                    ["rid", "doc_id", "h", "start", "n", "line", "bands"],
+                    ["rid", "doc_id", "h", "start", "n", "line", "bands", "sizes", "bits"],
                 )
 
     return run
 
 
-_ROWS = "rid long, doc_id long, h array<long>, start array<int>, n array<int>, line array<long>, bands array<long>"
+_ROWS = "rid long, doc_id long, h array<long>, start array<int>, n array<int>, line array<long>, bands array<long>, sizes array<long>, bits array<long>"
 
 
 def _ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -188,7 +192,9 @@ def repeated(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL)
     buckets = packed.select(F.explode(per).alias("x")).select("x.key", F.explode("x.b").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("bucket")
     some = checkpoint(buckets.join(shared, "bucket").select("bucket", "key"))
-    roots = linked(some, _line_texts(own, some.select("key").distinct()), _checked(similar, False))
+    sketch = F.expr(f"transform(line, (h, i) -> struct(h as key, sizes[i] as n, slice(bits, i * {SKETCH} + 1, {SKETCH}) as bits))")
+    marks = packed.select(F.explode(sketch).alias("x")).select("x.*")
+    roots = linked(some, marks, _line_texts(own, some.select("key").distinct()), _checked(similar, False), similar)
     # Classes that stand in several documents: paragraphs are counted before they are joined.
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     units = checkpoint(each.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n_docs"), lead.alias("lead")).join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("lo <> hi or root is not null").withColumn("class_id", F.coalesce("root", "h")))
