@@ -255,7 +255,8 @@ def _encode(df: DataFrame, path: str | None, column: str, leaf: int, kind: str)
     ids = long_texts(keyed.groupBy(F.col("_key").alias("key")).agg(F.min(column).alias("text")), path, leaf)
     if kind != "ids":
         ids = ids.select("key", _digests(path)(F.col("ids")).alias("ids"))
-    far = keyed.join(ids, keyed["_key"] == ids["key"]).withColumn("_got", F.col("ids")).select(*[keyed[c] for c in df.columns], "_got")
+    ids = ids.select(F.col("key").alias("_of"), F.col("ids").alias("_got"))
+    far = keyed.join(ids, F.col("_key") == F.col("_of")).drop("_key", "_of")
     return near.unionByName(far)
 
 

@@ -173,6 +173,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold an item."""
+    """`docs` without the documents that hold an item; columns of any name stay as they are."""
     found = checkpoint(find(docs, benchmark).select("key").distinct())
-    return _keyed(docs).join(brief(found), F.col("_key") == F.col("key"), "left_anti").drop("_key")
+    rows = _keyed(docs.select("text", F.struct(*docs.columns).alias("_row"))).drop("text")
+    return rows.join(brief(found), F.col("_key") == F.col("key"), "left_anti").select("_row.*")

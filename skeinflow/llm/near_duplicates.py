@@ -253,17 +253,18 @@ def groups(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, least: float
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
-    """`docs` (doc_id, text, ...) with class_id, the least doc_id of the document's group of near and exact
+    """`docs` (doc_id, text, ...; columns of any name stay, these two are replaced) with class_id, the least doc_id of the document's group of near and exact
     copies, and n_in_class, the documents of the group. A document without words is a group of its own, as is
     one of a null doc_id without other copies, whose class_id is null."""
-    rows = _keyed(docs)
+    docs = docs.drop("class_id", "n_in_class")
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
     found = checkpoint(groups(docs, **how))
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = rows.join(found.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_class", F.when(word, F.coalesce("root", "_key")))
     # One row for each class: copies meet before the shuffle.
     size = rows.where("_class is not null").groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
     out = rows.join(size, F.col("_class") == F.col("_c"), "left")
-    return out.select(*docs.columns, F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("class_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("n_in_class"))
+    return out.select("_row.*", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("class_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("n_in_class"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -272,7 +273,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     found = checkpoint(groups(docs, **how))
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _keyed(docs).withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_other": F.xxhash64(*other) if other else F.lit(0).cast("long")})
+    packed = docs.select("doc_id", "text", (F.xxhash64(*other) if other else F.lit(0).cast("long")).alias("_other"), F.struct(*docs.columns).alias("_row"))
+    rows = _keyed(packed).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # Who goes is settled without the texts.
     slim = rows.where(word).select("_key", "_id", "_other", "doc_id").join(found.withColumnRenamed("node", "_key"), "_key", "left")
     slim = slim.select("_key", "_id", "_other", F.coalesce("root", "_key").alias("_class"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_other").alias("_rank"))
@@ -282,6 +284,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     stay = rows.join(brief(go.select("_key", "_id", "_other")), ["_key", "_id", "_other"], "left_anti")
     twice = go.where("first").select("_key", "_id", "_other")
     if twice.isEmpty():
-        return stay.select(*docs.columns)
+        return stay.select("_row.*")
     one = rows.join(brief(checkpoint(twice)), ["_key", "_id", "_other"], "left_semi").dropDuplicates(["_key", "_id", "_other"])
-    return stay.select(*docs.columns).unionByName(one.select(*docs.columns))
+    return stay.select("_row.*").unionByName(one.select("_row.*"))

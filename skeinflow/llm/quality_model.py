@@ -168,7 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
             yield pd.DataFrame(model.evidence(list(s)), columns=list(TARGETS))
 
     fresh = docs.drop("junk_probability", "toxic_probability", "rejected")
-    scored = fresh.withColumns({"_host": host, "_path": path, "_e": evidence("text")})
+    scored = fresh.select("doc_id", F.struct(*fresh.columns).alias("_row"), host.alias("_host"), path.alias("_path"), evidence("text").alias("_e"))
     known = labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("_junk"), F.max("toxic").cast("double").alias("_toxic")).withColumnRenamed("doc_id", "_id")
     brief = scored.select("doc_id", "_host", "_path", "_e").join(known, F.col("doc_id") == F.col("_id"), "left")
     p = {t: 1 / (1 + F.exp(-(F.col(f"_e.{t}") + F.lit(float(model.base[i]))))) for i, t in enumerate(TARGETS)}
@@ -188,4 +188,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         at_path = (F.col(t) - p[t] + low * at_host) / (F.col("n") - 1 + low)
         out[f"{t}_probability"] = 1 / (1 + F.exp(-(F.col(f"_e.{t}") + _logit(at_path)))) if model.weights[i].any() else F.lit(0.0)
     got = back.withColumns(out).withColumn("rejected", (F.col("junk_probability") >= REJECT_FROM) | (F.col("toxic_probability") >= REJECT_FROM))
-    return got.select(*fresh.columns, "junk_probability", "toxic_probability", "rejected")
+    return got.select("_row.*", "junk_probability", "toxic_probability", "rejected")
