@@ -24,7 +24,7 @@ BANDS, ROWS = 20, 5
 #: Rank at which the first cell ends; later cells double.
 FIRST_CELL = 0.25
 #: Longs of a sketch's parity bits.
-SKETCH = 8
+SKETCH = 16
 _U = np.uint64
 
 
@@ -216,10 +216,12 @@ def linked(buckets: DataFrame, marks: DataFrame, texts: DataFrame, check, least:
             pairs = outside.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).where("a <> b").distinct()
             pairs = _sketched(pairs, marks, least)
         else:
-            own = F.struct("n", "bits")
-            x = outside.join(marks, "key").select("bucket", F.col("key").alias("k1"), F.col("root").alias("r1"), own.alias("m1"))
-            y = mixed.join(marks, "key").select(F.col("bucket").alias("b2"), F.col("key").alias("k2"), F.col("root").alias("r2"), own.alias("m2"))
-            met = x.join(y, (F.col("bucket") == F.col("b2")) & (F.col("r1") != F.col("r2")) & near("m1", "m2", least))
+            # A key has as many buckets as bands at most; a pair meets in the least bucket that it shares.
+            known = checkpoint(marks.join(mixed.groupBy("key").agg(F.collect_set("bucket").alias("in")), "key"))
+            own = F.struct("n", "bits", "in")
+            x = outside.join(known, "key").select("bucket", F.col("key").alias("k1"), F.col("root").alias("r1"), own.alias("m1"))
+            y = mixed.join(known, "key").select(F.col("bucket").alias("b2"), F.col("key").alias("k2"), F.col("root").alias("r2"), own.alias("m2"))
+            met = x.join(y, (F.col("bucket") == F.col("b2")) & (F.col("r1") != F.col("r2")) & near("m1", "m2", least) & F.expr("array_min(array_intersect(m1.in, m2.in)) = bucket"))
             pairs = met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
