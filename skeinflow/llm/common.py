@@ -3,6 +3,7 @@ buffers, checkpoints in the cluster's shared folder, connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -192,6 +193,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets shuffle and checkpoint files go that nothing needs any more. Spark deletes them when the driver's
+    collectors find their handles unreachable, which a loop of small jobs may not bring about for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def brief(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marks a checkpointed, narrow table for a broadcast if it has so few rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -216,6 +224,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         now = checkpoint(star(star(now, True).select("a", "b"), False).select("a", "b"))
         new = tuple(now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        release(now.sparkSession)
         if new == state:
             break
         state = new

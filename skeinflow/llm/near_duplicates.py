@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import brief, checkpoint, components, distinct, grams, mix, passes, signed, unit
+from .common import brief, checkpoint, components, distinct, grams, mix, passes, release, signed, unit
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of rows: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
@@ -230,6 +230,7 @@ def linked(buckets: DataFrame, marks: DataFrame, texts: DataFrame, check, least:
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = checkpoint(_verified(pairs, own_texts, check))
+        release(new.sparkSession)
         if new.isEmpty():
             continue
         # Earlier components count as stars around their roots.
