@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 
 #: Characters of a leaf.
 LEAF = 32_768
-#: Words kept with their tokens in a worker.
-KEPT_WORDS = 250_000
+#: Words, and runs of words, kept with their tokens in a worker, and words that the library encodes at once.
+KEPT_WORDS, WORDS_AT_ONCE = 500_000, 1_000
 #: A change of the text can alter a split so many characters before it: the longest contraction.
 REACH = 3
 #: Characters for which Python's and the tokenizer's Unicode tables surely agree, composed as they are.
@@ -61,21 +61,54 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^
 WORD_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class _Words(dict):
-    """Of each word the library's ids and decoded text, as text."""
+class _Words:
+    """Of each word, and each run of words without white space, the library's ids and decoded text, as text."""
 
-    def __init__(self, tok: Tokenizer):
-        super().__init__()
+    def __init__(self, tok: Tokenizer, suffix: str):
         self.tok = tok
+        self.words: dict[str, tuple[str, str]] = {}
+        self.runs: dict[str, tuple[str, str]] = {}
         self.signs = [tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())]
-
-    def add(self, words: set[str]) -> None:
-        if len(self) + len(words) > KEPT_WORDS:
-            self.clear()
-        new = list(words)
-        for word, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self[word] = (" ".join(map(str, ids)), " ".join([self.signs[i] for i in ids]))
+        self.numbers = [str(i) for i in range(len(self.signs))]
+        self.closes = [tok.id_to_token(i).endswith(suffix) for i in range(len(self.signs))]
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Many words are encoded as one text, whose ids part after those that close a word."""
+        out: list[list[int]] = [[]]
+        for i in self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids:
+            out[-1].append(i)
+            if self.closes[i]:
+                out.append([])
+        if len(out) == len(words) + 1 and not out[-1]:
+            return out[:-1]
+        return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def of(self, runs: list[str]) -> list[tuple[str, str]]:
+        try:
+            return list(map(self.runs.__getitem__, runs))
+        except KeyError:
+            self._learn(set(runs))
+            return list(map(self.runs.__getitem__, runs))
+
+    def _learn(self, runs: set[str]) -> None:
+        lack = [r for r in runs if r not in self.runs]
+        if len(self.runs) + len(lack) > KEPT_WORDS:
+            self.runs.clear()
+            lack = list(runs)
+        parts = [WORD.findall(r) for r in lack]
+        needed = {w for p in parts for w in p}
+        new = [w for w in needed if w not in self.words]
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.words.clear()
+            new = list(needed)
+        signs, numbers, words = self.signs, self.numbers, self.words
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            for word, ids in zip(some, self._encoded(some), strict=True):
+                words[word] = (" ".join([numbers[i] for i in ids]), " ".join([signs[i] for i in ids]))
+        for run, part in zip(lack, parts, strict=True):
+            got = [words[w] for w in part]
+            self.runs[run] = got[0] if len(got) == 1 else (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]))
 
 
 class Codec:
@@ -83,13 +116,14 @@ class Codec:
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.words = _Words(self.tok)
         spec = json.loads(self.tok.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.words = _Words(self.tok, suffix or "")
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_at = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         norms = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.by_word = bool(steps) and steps[0].get("pattern", {}).get("Regex") == WORD_SOURCE and norms == ["NFC", "Replace", "Lowercase"] and spec["decoder"] is None
+        self.by_word = bool(steps) and steps[0].get("pattern", {}).get("Regex") == WORD_SOURCE and norms == ["NFC", "Replace", "Lowercase"] and spec["decoder"] is None and bool(suffix)
 
     def is_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
@@ -100,11 +134,7 @@ class Codec:
     def texts(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids as decimals joined by spaces, and the decoded text."""
         if self.by_word and PLAIN.fullmatch(text) and not self.is_special(text):
-            found = WORD.findall(text.lower())
-            words = self.words
-            if new := {w for w in found if w not in words}:
-                words.add(new if len(words) + len(new) <= KEPT_WORDS else set(found))
-            got = [words[w] for w in found]
+            got = self.words.of(text.lower().split())
             ids = " ".join([x[0] for x in got])
             return (ids.count(" ") + 1 if ids else 0), ids, " ".join([x[1] for x in got])
         ids = self.ids(text)
