@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 #: Characters of a leaf.
 LEAF = 32_768
 #: Words, and runs of words, kept with their tokens in a worker, and words that the library encodes at once.
-KEPT_WORDS, WORDS_AT_ONCE = 500_000, 1_000
+KEPT_WORDS, WORDS_AT_ONCE = 400_000, 1_000
 #: A change of the text can alter a split so many characters before it: the longest contraction.
 REACH = 3
 #: Characters for which Python's and the tokenizer's Unicode tables surely agree, composed as they are.
@@ -150,6 +150,12 @@ class Codec:
         return Part(text, np.array(e.ids, dtype=np.int64), spans[:, 0], spans[:, 1])
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """A worker's codec, whose words later tasks find again."""
+    return Codec(path)
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -225,7 +231,7 @@ _PART = "key string, at int, text string, ids binary, starts binary, ends binary
 
 def _leaves(path: str, leaf: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 at = cuts(text, codec, leaf)
@@ -236,7 +242,7 @@ def _leaves(path: str, leaf: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
 
 def _encoded(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for pdf in batches:
             got = [codec.part(t) for t in pdf["text"]]
             yield pdf.assign(**{k: [getattr(p, k).astype("<i4").tobytes() for p in got] for k in ("ids", "starts", "ends")})
@@ -252,7 +258,7 @@ def long_texts(texts: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         of = lambda x: np.frombuffer(x, dtype="<i4").astype(np.int64)
-        got = tree([Part(r.text, of(r.ids), of(r.starts), of(r.ends)) for r in pdf.itertuples()], Codec(path))
+        got = tree([Part(r.text, of(r.ids), of(r.starts), of(r.ends)) for r in pdf.itertuples()], codec_of(path))
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [got.ids.astype(np.int32)]})
 
     return parts.groupBy("key").applyInPandas(whole, "key string, ids array<int>")
@@ -263,14 +269,14 @@ def _short(column: str, path: str, kind: str):
 
         @F.pandas_udf("array<int>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            codec = Codec(path)
+            codec = codec_of(path)
             for s in batches:
                 yield pd.Series([np.array(e.ids, dtype=np.int32) for e in codec.tok.encode_batch([t or "" for t in s], add_special_tokens=False)])
     else:
 
         @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            codec = Codec(path)
+            codec = codec_of(path)
             for s in batches:
                 yield pd.DataFrame([codec.digests(t or "") for t in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
