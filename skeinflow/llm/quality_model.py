@@ -8,6 +8,7 @@ evidence with the rate of its path without it."""
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,22 +32,29 @@ SHAPE = ("log_words", "word_length", "symbols", "upper", "digits", "bars", "vari
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: All bytes of ASCII but letters, as spaces.
+SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
 def shape(text: str) -> list[float]:
     """Figures of a text's form, all bounded."""
     words = text.split()
     n, chars = max(1, len(words)), max(1, len(text))
     lines = [x for x in text.split("\n") if x.strip()]
-    alone = sum(w in ("|", "-", "*", "#") for w in words)
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    symbols = sum(text.count(c) for c in "#*$%&|<>{}@^~=_\\")
-    marks = sum(text.count(c) for c in "!?")
-    upper = sum(1 for w in words if len(w) > 1 and w.isupper())
-    digits = len(re.findall(r"\d", text))
+    alone = sum(map(words.count, ("|", "-", "*", "#")))
+    same = sum(map(operator.eq, words, words[1:]))
+    symbols = sum(map(text.count, "#*$%&|<>{}@^~=_\\"))
+    marks = sum(map(text.count, "!?"))
+    upper = sum(len(w) > 1 for w in filter(str.isupper, words))
+    digits = sum(map(text.count, "0123456789"))
     return [np.log1p(len(words)), min(20.0, sum(map(len, words)) / n), min(2.0, symbols / n), upper / n, min(1.0, 5 * digits / chars), alone / n, len(set(words)) / n if len(words) < 200 else len(set(words[:200])) / 200, same / n, np.log1p(len(words) / max(1, len(lines))), sum(w.endswith((".", ",")) for w in words) / n, min(2.0, marks / n)]
 
 
 def tokens(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The distinct words: runs of letters, in lower case."""
+    pieces = set(text.lower().encode("utf-8", "surrogatepass").translate(SPACED).decode("utf-8", "surrogatepass").split())
+    plain = set(filter(str.isascii, pieces))
+    return plain.union(*map(WORD.findall, pieces - plain))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -73,7 +81,7 @@ class Model:
         k = len(SHAPE)
         out = self.features(texts) @ self.weights[:, 1 : k + 1].T + self.weights[:, 0] - self.base
         for i, t in enumerate(texts):
-            if hit := [self.words[w] for w in tokens(t or "") if w in self.words]:
+            if hit := sorted(self.words[w] for w in self.words.keys() & tokens(t or "")):
                 out[i] += self.weights[:, k + 1 :][:, hit].sum(axis=1)
         return np.clip(out, -30, 30)
 
@@ -117,7 +125,7 @@ def fit(known: DataFrame) -> Model:
         for t in s:
             x = np.zeros(k + len(chosen))
             x[:k] = shape(t or "")
-            x[[k + chosen[w] for w in tokens(t or "") if w in chosen]] = 1
+            x[[k + chosen[w] for w in chosen.keys() & tokens(t or "")]] = 1
             out.append(x)
         return pd.Series(out)
 
@@ -152,9 +160,12 @@ def _strength(groups: DataFrame, n: str, s: str, of: Column, out: str) -> DataFr
     return groups.agg(F.coalesce(F.least(F.greatest(1 / between - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])), F.lit(STRENGTH[1])).alias(out))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds junk_probability, toxic_probability (double) and rejected (boolean) to `docs`.
 
+    keep: the columns of `docs` to return, by default all. Name those needed where the texts aren't: evidence is
+    then written beside them and taken once, whereas with texts it is taken anew for the result.
+
     host: by default the source; path: by default the language section of the source. Null hosts and paths
     are sites of their own; a null text has the evidence of an empty one. Known labels count in place of
     evidence in a site's rate. Added columns replace columns of these names."""
@@ -167,8 +178,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         for s in batches:
             yield pd.DataFrame(model.evidence(list(s)), columns=list(TARGETS))
 
-    fresh = docs.drop("junk_probability", "toxic_probability", "rejected")
-    scored = fresh.select("doc_id", F.struct(*fresh.columns).alias("_row"), host.alias("_host"), path.alias("_path"), evidence("text").alias("_e"))
+    fresh = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("junk_probability", "toxic_probability", "rejected")]
+    scored = docs.select("doc_id", F.struct(*fresh).alias("_row"), host.alias("_host"), path.alias("_path"), evidence("text").alias("_e"))
+    scored = scored if keep is None else checkpoint(scored)
     known = labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("_junk"), F.max("toxic").cast("double").alias("_toxic")).withColumnRenamed("doc_id", "_id")
     brief = scored.select("doc_id", "_host", "_path", "_e").join(known, F.col("doc_id") == F.col("_id"), "left")
     p = {t: 1 / (1 + F.exp(-(F.col(f"_e.{t}") + F.lit(float(model.base[i]))))) for i, t in enumerate(TARGETS)}

@@ -22,7 +22,7 @@ def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    got = quality_model.classify(docs, table(spark, sf_dir, "labels"))
+    got = quality_model.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "source", "lang"])
     return got.select("doc_id", "source", "lang", "junk_probability", "toxic_probability", "rejected", (~F.col("rejected")).alias("kept"))
 
 
