@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, A-Z lowered. Every item is cut into zones of ZONE n-grams, and the
-n-gram of each zone that the fewest corpus texts hold, but one at least, is its seed, so that also an item
-that is everywhere has seeds, and an edit in one place leaves the others. Passages of the texts around seeds
-are aligned with the item; the score is the local alignment's share of the item's full score."""
+Words are runs of letters and digits, A-Z lowered. Every n-gram of an item that at most RARE corpus texts
+hold is a seed, so that copies with different edits each have the seeds that their edits left. Every item is
+cut into zones of ZONE n-grams; of a zone of frequent n-grams those are seeds that at most COMMON times as many
+texts hold as its median one, so that also an item that is everywhere has seeds in all places. Passages of
+the texts around seeds are aligned with the item; the score is the local alignment's share of the item's full score."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from pyspark.sql import Window
 from .common import Bits, brief, checkpoint, grams, passes, signed
 
 SEED, ZONE = 4, 8
+#: Texts that may hold a seed, and how many times as many as its zone's median n-gram if that is more.
+RARE, COMMON = 1_000, 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's full score from which a text counts as holding the item.
 LEAST_SCORE = 0.4
@@ -132,6 +135,8 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples():
             item, text = np.frombuffer(r.item, dtype=np.int64), np.frombuffer(r.words, dtype=np.int64)
             a, z = max(0, r.low - SLACK - len(item) // 4), min(len(text), r.high + len(item) + SLACK + len(item) // 4)
+            if MATCH * np.isin(text[a:z], item).sum() < LEAST_SCORE * MATCH * len(item):
+                continue  # too few of the item's words for the score, in whatever order
             best, start, end = align(item, text[a:z])
             if best >= LEAST_SCORE * MATCH * len(item):
                 out.append((r.key, r.item_id, best / (MATCH * len(item)), r.start + a + start, r.start + a + end))
@@ -151,8 +156,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _FOUND)
     each = items.select("item_id", "words", F.explode(F.arrays_zip("at", "h")).alias("g")).select("item_id", "words", "g.*")
     counts = _counts(texts, Bits.of(each.select("h").distinct(), "h"))
-    zone = Window.partitionBy("item_id", "words", F.floor(F.col("at") / ZONE)).orderBy("df", "h", "at")
-    seeds = checkpoint(each.join(counts, "h").withColumn("k", F.row_number().over(zone)).where("k = 1").select("item_id", "words", "at", "h"))
+    zone = Window.partitionBy("item_id", "words", F.floor(F.col("at") / ZONE))
+    most = F.greatest(F.lit(RARE), COMMON * F.median("df").over(zone))
+    seeds = checkpoint(each.join(counts, "h").withColumn("most", most).where("df <= most").select("item_id", "words", "at", "h"))
     # Copies meet before passages are compared: a passage depends on its text alone.
     found = checkpoint(_passages(texts, Bits.of(seeds.select("h").distinct(), "h"), int(longest) + SLACK).dropDuplicates(["key", "no"]))
     hits = found.select("key", "no", F.explode(F.arrays_zip("at", "h")).alias("g")).select("key", "no", F.col("g.at").alias("there"), F.col("g.h").alias("h"))

@@ -73,6 +73,38 @@ def test_item_that_is_everywhere(spark):
     assert dc.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 40
 
 
+@pytest.mark.parametrize("n,copies", [(17, 1), (40, 1), (40, 30)])
+def test_copy_edited_in_every_zone_beside_exact_ones(spark, monkeypatch, n, copies):
+    """Also where all n-grams of the item are frequent."""
+    monkeypatch.setattr(dc, "RARE", 8, raising=False)
+    rng = random.Random(n)
+    items = [_words(rng, n) for _ in range(4)]
+    texts = []
+    for item in items:
+        texts += [_words(rng, 50) + item + _words(rng, 50) for _ in range(copies)]
+        for first in (4, 6, 8, 9):
+            edited = list(item)
+            for at in range(first, n, dc.ZONE):
+                edited[at] = f"x{at}"
+            texts.append(_words(rng, 50) + edited + _words(rng, 50))
+    number = {w: i for i, w in enumerate({w for t in [*items, *texts] for w in t})}
+    coded = [[number[w] for w in t] for t in [*items, *texts]]
+    items_, texts_ = coded[: len(items)], coded[len(items) :]
+    want = {}
+    for i, t in enumerate(texts_):
+        for k, item in enumerate(items_):
+            if 40 < i < len(texts) - 20 and i % 5:  # enough of the many copies
+                continue
+            score = _plain_align(item, t) / (dc.MATCH * n)
+            if score >= dc.LEAST_SCORE:
+                want[i, k] = score
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.leaks(rows, bench).collect()}
+    assert len(want) >= 20 or copies > 1
+    assert {k: got.get(k) for k in want} == want and len(got) == len(texts)
+
+
 def test_passages(spark):
     rng = random.Random(4)
     passage = " ".join(_words(rng, 60)) + "."
