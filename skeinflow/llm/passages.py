@@ -3,6 +3,8 @@
 Paragraphs are lines of LINE words or more, compared by MinHash bands and exact Jaccard similarity, and, so
 that a passage pasted into other text is found as well, the sentences inside lines, which are paragraphs of
 their own that only their equals match (their few shingles leave a changed sentence under the similarity).
+Passages that keep to no lines and sentences are found by stretches of the whole text that start where its
+content says (winnowing): two texts that share PASSAGE words share a stretch of RUN of them at least.
 A document's repeated paragraphs that lie next to one another make a passage; passages of RUN words or more
 count. Of a class of equal or similar paragraphs one document's stay, all others go."""
 
@@ -23,6 +25,8 @@ from .near_duplicates import SHINGLE, SIMILAR, SKETCH, _checked, bands, darts, l
 
 #: Words of a line that is compared by MinHash; of a sentence; of a passage; between paragraphs of one passage.
 LINE, SENTENCE, RUN, GAP = 20, 5, 20, 8
+#: Words of a passage that is found wherever it starts and ends.
+PASSAGE = 51
 #: A stretch without a sentence's end is cut by its content from so many words on, and at the latest after so many.
 UNSPLIT, LONGEST = 40, 64
 RECALL = 0.99
@@ -82,17 +86,45 @@ def _content_cuts(h: np.ndarray, a: int, z: int, reach: int = 4) -> list[int]:
     return cuts
 
 
-def _spans(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end words of paragraphs, and whether each is a line for MinHash."""
+def _stretches(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of stretches of each text, wherever lines and sentences end.
+
+    Of each PASSAGE words of a text the last run of RUN words with the least hash is a stretch. Where the next
+    stretch starts behind its end, a longer one that reaches it is put beside it."""
+    none = np.zeros(0, dtype=np.int64)
+    if len(h) < PASSAGE:
+        return none, none
+    first = np.arange(len(h) - RUN + 1)
+    g = _run_hashes(h, first, first + RUN)
+    width, least = 1, first
+    while width < PASSAGE - RUN + 1:
+        step = min(width, PASSAGE - RUN + 1 - width)
+        a, b = least[:-step], least[step:]
+        least, width = np.where(g[b] <= g[a], b, a), width + step
+    inside = words.doc[: len(least)] == words.doc[PASSAGE - 1 :]
+    chosen = np.zeros(len(h), dtype=bool)
+    chosen[least[inside]] = True
+    a = np.flatnonzero(chosen)
+    on = np.flatnonzero((words.doc[a[1:]] == words.doc[a[:-1]]) & (a[1:] - a[:-1] > RUN))
+    return np.concatenate([a, a[on]]), np.concatenate([a + RUN, a[on + 1]])
+
+
+def _spans(words: Words, hashes: np.ndarray, lines: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end words of paragraphs, and whether each is a line for MinHash. lines: these alone."""
     line, sentence = _starts(words, hashes)
     n = len(hashes)
     a = np.flatnonzero(line)
     z = np.append(a[1:], n)
     long = z - a >= LINE
+    if lines:
+        return a[long], z[long], np.ones(long.sum(), bool)
     s = np.flatnonzero(sentence)
     e = np.append(s[1:], n)
     own = (e - s >= SENTENCE) & ~np.isin(s * (n + 1) + e, (a * (n + 1) + z)[long])
-    return np.concatenate([a[long], s[own]]), np.concatenate([z[long], e[own]]), np.concatenate([np.ones(long.sum(), bool), np.zeros(own.sum(), bool)])
+    sa, sz = _stretches(words, hashes)
+    new = ~np.isin(sa * (n + 1) + sz, np.concatenate([(a * (n + 1) + z)[long], (s * (n + 1) + e)[own]]))
+    sa, sz = sa[new], sz[new]
+    return np.concatenate([a[long], s[own], sa]), np.concatenate([z[long], e[own], sz]), np.concatenate([np.ones(long.sum(), bool), np.zeros(own.sum() + len(sa), bool)])
 
 
 def _run_hashes(hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -164,8 +196,7 @@ def _line_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
             keys, texts = [], []
             for _, _, words in passes(b.column("text")):
                 hashes = words.hashes()
-                a, z, is_line = _spans(words, hashes)
-                a, z = a[is_line], z[is_line]
+                a, z, _ = _spans(words, hashes, lines=True)
                 h = _run_hashes(hashes, a, z)
                 for i in np.flatnonzero(may(h)) if len(h) else ():
                     keys.append(int(signed(h)[i]))

@@ -123,6 +123,32 @@ def test_passages(spark):
     assert passages.repeated(rows.limit(0)).count() == 0
 
 
+def test_passages_of_any_form(spark):
+    """Pasted in mid-sentence, wrapped anew, and in lines of four words: each is found, and only where it stands."""
+    rng = random.Random(6)
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    sentences = lambda w: [x + "." if i in (17, 34) else x for i, x in enumerate(w)]
+    docs, at, kinds = [], {}, {}
+    for k in range(40):
+        words = _words(rng, passages.PASSAGE, 10**6)
+        for copy in range(2):
+            before, after = _words(rng, 20 + rng.randrange(30), 10**6), _words(rng, 20 + rng.randrange(30), 10**6)
+            w = sentences(words) if k % 4 == 1 else words
+            body = lines(w, 4) if k % 4 == 2 else lines(w, 7 + 6 * copy) if k % 4 == 3 else " ".join(w)
+            ends = "\n" if k % 4 == 2 else " "
+            i = len(docs)
+            docs.append((i, " ".join(before) + ends + body + ends + " ".join(after)))
+            at[i], kinds[i] = (len(before), len(before) + passages.PASSAGE), k
+    got = passages.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    covered = {}
+    for r in got:
+        a, z = r["start_word"], r["start_word"] + r["n_words"]
+        assert at[r["doc_id"]][0] <= a and z <= at[r["doc_id"]][1]
+        assert r["first_doc_id"] == 2 * kinds[r["doc_id"]] and r["removed"] == bool(r["doc_id"] % 2)
+        covered.setdefault(r["doc_id"], set()).update(range(a, z))
+    assert covered.keys() == at.keys() and min(map(len, covered.values())) >= passages.RUN
+
+
 def test_passages_are_tuned():
     n, rows = passages.tune()
     assert 1 - (1 - passages.SIMILAR**rows) ** n >= passages.RECALL
