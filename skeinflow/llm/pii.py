@@ -35,6 +35,10 @@ FOUND = re.compile(
     r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\+\d{1,3}(?:[ \-]\d{2,4}){2,4}|\+\d{1,3}(?:\.\d{2,4}){2,4}|\+\d{8,15}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w]|[\-.]\d)"
     r"|(?<![A-Za-z0-9])(?P<secret>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 )
+#: The kinds by themselves, in their order.
+EACH = {k: re.compile(x) for x in re.split(r"\|(?=\(\?<!)", FOUND.pattern) for k in re.findall(r"\?P<(\w+)>", x)}
+#: Length of an IBAN by country; in other countries any length that passes the check counts.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
 
 class Feistel:
@@ -170,12 +174,16 @@ class Pseudonyms:
         return _into(v, plain[:2] + f"{check(plain[:2], account):02}" + account)
 
     def _card(self, v: str) -> str | None:
+        """The Luhn sum of the places moved by one stays too, so that a longer number around the card still fails or passes."""
         digits = re.sub(r"\D", "", v)
         if not luhn_ok(digits):
             return None
         n = len(digits) - 1
-        body = f"{self.number('card', int(digits[:n]), 10**n):0{n}}"
-        return _into(v, body + str(-_luhn_sum(body + "0") % 10))
+        moved, got = _luhn_sum(digits + "0") % 10, ""
+        while not got or _luhn_sum(got + "0") % 10 != moved:
+            body = f"{self.number('card', int((got or digits)[:n]), 10**n):0{n}}"
+            got = body + str(-_luhn_sum(body + "0") % 10)
+        return _into(v, got)
 
     def _phone(self, v: str) -> str:
         """The country code stays, all other digits are permuted together."""
@@ -193,21 +201,57 @@ def _into(form: str, signs: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in form)
 
 
+def _candidates(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """Kinds and ends of the values that may start where the match does: the match, its shorter forms, other kinds."""
+    a = m.start()
+    yield m.lastgroup or "", m.end()
+    for kind, form in EACH.items():
+        if found := form.match(text, a):
+            if kind != m.lastgroup:
+                yield kind, found.end()
+            if kind in ("card", "iban"):
+                for i in reversed([i for i, c in enumerate(found[0]) if c in " -"]):
+                    n = sum(map(str.isalnum, found[0][:i]))
+                    if 13 <= n <= 19 if kind == "card" else n == IBAN_LENGTHS.get(found[0][:2], n):
+                        yield kind, a + i
+
+
 def replace(text: str, to: Pseudonyms) -> tuple[str, dict[str, int]]:
-    """The text with pseudonyms, and how many values of each kind had one."""
+    """The text with pseudonyms, and how many values of each kind had one.
+
+    What fails the check of its kind may hold a value that passes: shorter forms and other kinds are tried,
+    then the signs behind its first one. Such a value's pseudonym is permuted on while with it something passes
+    that failed before, so that the way back, from the last value to the first, finds the same values."""
+    spans: list[tuple[str, int, int, list[tuple[str, int, int]]]] = []
+    failed: list[tuple[str, int, int]] = []
+    at = 0
+    while m := FOUND.search(text, at):
+        a = m.start()
+        at = a + 1
+        failed = [x for x in failed if x[2] > a]
+        for kind, z in _candidates(text, m):
+            if to.of(kind, text[a:z]) is not None:
+                spans.append((kind, a, z, list(failed)))
+                at = z
+                break
+            failed.append((kind, a, z))
     counts: dict[str, int] = {}
-
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup or ""
-        got = to.of(kind, m[0])
-        if got is None and kind in ("card", "iban"):
-            got, kind = to.of("phone", m[0]) if re.fullmatch(r"\d{3}[.\-]\d{3}[.\-]\d{4}", m[0]) else None, "phone"
-        if got is None:
-            return m[0]
+    now = list(text) if any(x[3] for x in spans) else []
+    new = []
+    for kind, a, z, near in reversed(spans) if to.back else spans:
+        got = to.of(kind, text[a:z])
+        if near and len(got) == z - a:
+            now[a:z] = got
+            while any(to.of(k, "".join(now[i:j])) is not None for k, i, j in near):
+                got = to.of(kind, got)
+                now[a:z] = got
         counts[kind] = counts.get(kind, 0) + 1
-        return got
-
-    return FOUND.sub(one, text), counts
+        new.append((a, z, got))
+    out, done = [], 0
+    for a, z, got in sorted(new):
+        out += [text[done:a], got]
+        done = z
+    return "".join([*out, text[done:]]), counts
 
 
 #: Texts with neither can hold no value of any kind: addresses have an at sign, all others digits.

@@ -33,6 +33,33 @@ def test_what_fails_its_check_stays(text):
     assert pii.replace(text, TO)[0] == text
 
 
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("card 4111 1111 1111 1111 123 is", "4111 1111 1111 1111", "card"),
+        ("card 4111-1111-1111-1111 7", "4111-1111-1111-1111", "card"),
+        ("order 1234 4111 1111 1111 1111.", "4111 1111 1111 1111", "card"),
+        ("to AT61 1904 3002 3457 3201 OK", "AT61 1904 3002 3457 3201", "iban"),
+        ("to AT611904300234573201 12 times", "AT611904300234573201", "iban"),
+        ("call 415-555-2671 1234 now", "415-555-2671", "phone"),
+    ],
+)
+def test_value_inside_what_fails(text, value, kind):
+    got, counts = pii.replace(text, TO)
+    assert counts == {kind: 1} and got == text.replace(value, TO.of(kind, value)) and value not in got
+    assert pii.replace(got, BACK)[0] == text
+
+
+def test_value_inside_what_fails_and_back():
+    for i in range(300):
+        body = f"4{i * 7919:014}"
+        card = body + str(-pii._luhn_sum(body + "0") % 10)
+        card = " ".join(card[j : j + 4] for j in range(0, 16, 4))
+        for text in (f"{card} {i:03}", f"{card}", f"{i + 1000} {card}", f"{card} {i % 10} {card}"):
+            got, counts = pii.replace(text, TO)
+            assert counts and pii.replace(got, BACK)[0] == text
+
+
 @hyp(max_examples=60, deadline=None)
 @given(st.integers(2, 5000), st.data())
 def test_permutation(size, data):
