@@ -22,6 +22,8 @@ from .common import brief as small, checkpoint
 
 #: Most labelled documents that the model is fitted on, those of the smallest hash, and most words for each target.
 FIT_ROWS, FIT_WORDS = 8_000, 200
+#: Words of a block, within which the variety of a text's words is taken.
+BLOCK = 200
 #: A word must stand in so many of them, and its chi-square must be so large.
 LEAST_DOCS, LEAST_CHI2 = 5, 25.0
 TARGETS = ("junk", "toxic")
@@ -36,6 +38,16 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def variety(words: list[str]) -> float:
+    """The mean share of distinct words over all blocks of BLOCK words, the last one reaching back; a text
+    of fewer words is one block."""
+    n = len(words)
+    if n <= BLOCK:
+        return len(set(words)) / max(1, n)
+    starts = [*range(0, n - BLOCK, BLOCK), n - BLOCK]
+    return sum(len(set(words[i : i + BLOCK])) for i in starts) / (BLOCK * len(starts))
+
+
 def shape(text: str) -> list[float]:
     """Figures of a text's form, all bounded."""
     words = text.split()
@@ -47,7 +59,7 @@ def shape(text: str) -> list[float]:
     marks = sum(map(text.count, "!?"))
     upper = sum(len(w) > 1 for w in filter(str.isupper, words))
     digits = sum(map(text.count, "0123456789"))
-    return [np.log1p(len(words)), min(20.0, sum(map(len, words)) / n), min(2.0, symbols / n), upper / n, min(1.0, 5 * digits / chars), alone / n, len(set(words)) / n if len(words) < 200 else len(set(words[:200])) / 200, same / n, np.log1p(len(words) / max(1, len(lines))), sum(w.endswith((".", ",")) for w in words) / n, min(2.0, marks / n)]
+    return [np.log1p(len(words)), min(20.0, sum(map(len, words)) / n), min(2.0, symbols / n), upper / n, min(1.0, 5 * digits / chars), alone / n, variety(words), same / n, np.log1p(len(words) / max(1, len(lines))), sum(w.endswith((".", ",")) for w in words) / n, min(2.0, marks / n)]
 
 
 def tokens(text: str) -> set[str]:

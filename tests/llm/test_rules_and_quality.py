@@ -90,6 +90,16 @@ def test_held_out(spark):
     assert right / len(held) > 0.95
 
 
+def test_variety_is_of_the_whole_text():
+    at = quality_model.SHAPE.index("variety")
+    of = lambda words: quality_model.shape(" ".join(words))[at]
+    varied, same = [f"v{i}" for i in range(200)], [f"s{i % 7}" for i in range(3000)]
+    assert of(varied) == 1 and of([f"v{i}" for i in range(3100)]) == 1
+    assert of(varied + same) < 0.15 and of(same + varied) < 0.15  # one block in 16 is varied
+    assert of(varied + ["s"]) == 1 and of(varied + ["s"] * 100) == (1 + 101 / 200) / 2
+    assert of([]) == 0 and of(["a", "a"]) == 0.5
+
+
 def test_lone_site(spark):
     """A site of one document is judged by the document and the rates above."""
     docs, labels = _corpus(spark)
