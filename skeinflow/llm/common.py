@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 _BASE, _COMB = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: Bytes of text that one vectorised pass holds; a longer text is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 #: Letters and digits of ASCII, and all bytes of other characters: punctuation parts words.
@@ -200,6 +200,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have: this one, or with underscores behind it."""
+    has = {c.lower() for c in df.columns}
+    while name.lower() in has:
+        name += "_"
+    return name
+
+
 def brief(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marks a checkpointed, narrow table for a broadcast if it has so few rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

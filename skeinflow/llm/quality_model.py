@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import brief as small, checkpoint
+from .common import brief as small, checkpoint, free
 
 #: Most labelled documents that the model is fitted on, those of the smallest hash, and most words for each target.
 FIT_ROWS, FIT_WORDS = 8_000, 200
@@ -28,6 +28,7 @@ BLOCK = 200
 LEAST_DOCS, LEAST_CHI2 = 5, 25.0
 TARGETS = ("junk", "toxic")
 REJECT_FROM = 0.5
+ADDED = ("junk_probability", "toxic_probability", "rejected")
 #: Bounds of the strength of a prior, in documents.
 STRENGTH = (1.0, 10_000.0)
 SHAPE = ("log_words", "word_length", "symbols", "upper", "digits", "bars", "variety", "repeats", "line_words", "stops", "marks")
@@ -69,11 +70,21 @@ def tokens(text: str) -> set[str]:
     return plain.union(*map(WORD.findall, pieces - plain))
 
 
+def worst(labels: DataFrame) -> DataFrame:
+    """One row for each labelled id: junk (quality 0) and toxic, 0 or 1. Of several labels the worst counts; null
+    ids and null labels say nothing."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("junk"), F.max("toxic").cast("double").alias("toxic"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their labels: junk (quality 0) and toxic, 0 or 1. Of several labels of a document
-    the worst counts; labels without a document, and null labels, say nothing."""
-    own = labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("junk"), F.max("toxic").cast("double").alias("toxic"))
-    return docs.where("doc_id is not null").join(own, "doc_id")
+    """Rows (text, junk, toxic) of at most FIT_ROWS labelled documents, those whose ids have the smallest hash.
+
+    They are chosen among ids alone, and their texts are then found by a broadcast of so few ids, so texts of other
+    documents are never shuffled. Of several texts of an id the least one is taken."""
+    both = worst(labels).where("junk is not null and toxic is not null")
+    chosen = both.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    texts = docs.join(F.broadcast(checkpoint(chosen)), "doc_id").groupBy("doc_id", "junk", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.select("text", "junk", "toxic")
 
 
 @dataclass
@@ -113,10 +124,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, steps: int = 6
 
 
 def fit(known: DataFrame) -> Model:
-    """The model of `known(doc_id, text, junk, toxic)`: at most FIT_ROWS rows are read, those of the
-    smallest hash. Without labels of both kinds a target has no evidence."""
-    rows = known.where("junk is not null and toxic is not null").withColumn("_h", F.xxhash64("doc_id", "text")).orderBy("_h", "doc_id").limit(FIT_ROWS)
-    rows = checkpoint(rows.select("text", "junk", "toxic"))
+    """The model of `known(text, junk, toxic)`, at most FIT_ROWS rows. Without labels of both kinds a target has
+    no evidence."""
+    rows = checkpoint(known)
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
     total = rows.agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     n = total["n"]
@@ -175,12 +185,20 @@ def _strength(groups: DataFrame, n: str, s: str, of: Column, out: str) -> DataFr
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """Adds junk_probability, toxic_probability (double) and rejected (boolean) to `docs`.
 
-    keep: the columns of `docs` to return, by default all. Name those needed where the texts aren't: evidence is
-    then written beside them and taken once, whereas with texts it is taken anew for the result.
+    keep: the columns of `docs` to return, by default all. Name those needed where the texts aren't: otherwise the
+    judgements are joined back to the texts.
 
     host: by default the source; path: by default the language section of the source. Null hosts and paths
-    are sites of their own; a null text has the evidence of an empty one. Known labels count in place of
-    evidence in a site's rate. Added columns replace columns of these names."""
+    are sites of their own; a null text has the evidence of an empty one. Equal rows are judged alike, each has its
+    row. Known labels count in place of evidence in a site's rate, but a document's own label has no part in its
+    own posterior. Without documents, or without labels of both kinds, nothing is rejected. Added columns replace
+    columns of these names."""
+    if keep is None:
+        id_, key, row = (free(docs, c) for c in ("_id", "_key", "_row"))
+        own = docs.withColumns(_row_key(docs, id_, key))
+        fresh = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+        judged = checkpoint(classify(own, labels, host, path, [id_, key]).dropDuplicates([id_, key]))
+        return own.select(id_, key, F.struct(*fresh).alias(row)).join(judged, [id_, key]).select(f"{row}.*", *ADDED)
     host = F.coalesce(F.col("source") if host is None else host, F.lit(""))
     path = F.coalesce(F.col("lang") if path is None else path, F.lit(""))
     model = fit(labelled(docs.select("doc_id", "text"), labels))
@@ -190,13 +208,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         for s in batches:
             yield pd.DataFrame(model.evidence(list(s)), columns=list(TARGETS))
 
-    fresh = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in ("junk_probability", "toxic_probability", "rejected")]
-    scored = docs.select("doc_id", F.struct(*fresh).alias("_row"), host.alias("_host"), path.alias("_path"), evidence("text").alias("_e"))
-    scored = scored if keep is None else checkpoint(scored)
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("_junk"), F.max("toxic").cast("double").alias("_toxic")).withColumnRenamed("doc_id", "_id")
-    brief = scored.select("doc_id", "_host", "_path", "_e").join(known, F.col("doc_id") == F.col("_id"), "left")
+    fresh = [F.col(f"`{c}`") for c in keep if c not in ADDED]
+    scored = checkpoint(docs.select("doc_id", F.struct(*fresh).alias("_row") if fresh else F.lit(None).alias("_row"), host.alias("_host"), path.alias("_path"), evidence("text").alias("_e")))
+    known = worst(labels).select(F.col("doc_id").alias("_id"), *[F.col(t).alias(f"_{t}") for t in TARGETS])
     p = {t: 1 / (1 + F.exp(-(F.col(f"_e.{t}") + F.lit(float(model.base[i]))))) for i, t in enumerate(TARGETS)}
-    sites = checkpoint(brief.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.coalesce(f"_{t}", p[t])).alias(t) for t in TARGETS]))
+    # What a document adds to the sums of its site: its label, else its probability.
+    scored = scored.join(known, F.col("doc_id") == F.col("_id"), "left").select("_row", "_host", "_path", "_e", *[F.coalesce(f"_{t}", p[t]).alias(f"_{t}") for t in TARGETS])
+    sites = checkpoint(scored.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *[F.sum(f"_{t}").alias(t) for t in TARGETS]))
     hosts = sites.groupBy("_host").agg(F.sum("n").alias("hn"), *[F.sum(t).alias(f"h_{t}") for t in TARGETS])
     rates = checkpoint(sites.join(hosts, "_host"))
     total = hosts.agg(F.sum("hn").alias("n"), *[F.sum(f"h_{t}").alias(t) for t in TARGETS]).first()
@@ -208,8 +226,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     out = {}
     for i, t in enumerate(TARGETS):
         up, low = strong[t]
-        at_host = (F.col(f"h_{t}") - p[t] + up * of[t]) / (F.col("hn") - 1 + up)
-        at_path = (F.col(t) - p[t] + low * at_host) / (F.col("n") - 1 + low)
+        at_host = (F.col(f"h_{t}") - F.col(f"_{t}") + up * of[t]) / (F.col("hn") - 1 + up)
+        at_path = (F.col(t) - F.col(f"_{t}") + low * at_host) / (F.col("n") - 1 + low)
         out[f"{t}_probability"] = 1 / (1 + F.exp(-(F.col(f"_e.{t}") + _logit(at_path)))) if model.weights[i].any() else F.lit(0.0)
     got = back.withColumns(out).withColumn("rejected", (F.col("junk_probability") >= REJECT_FROM) | (F.col("toxic_probability") >= REJECT_FROM))
-    return got.select("_row.*", "junk_probability", "toxic_probability", "rejected")
+    return got.select(*["_row.*"] * bool(fresh), *ADDED)
+
+
+def _row_key(docs: DataFrame, id_: str, key: str) -> dict[str, Column]:
+    """A row's id as text, and a hash of the whole row."""
+    return {id_: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """`docs` without those that `classify` rejects. Evidence is taken once, who goes is settled without the texts,
+    and these are shuffled only where too many go for a broadcast."""
+    id_, key = free(docs, "_id"), free(docs, "_key")
+    own = docs.withColumns(_row_key(docs, id_, key))
+    go = checkpoint(classify(own, labels, keep=[id_, key], **how).where("rejected").select(id_, key).distinct())
+    return own.join(small(go), [id_, key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

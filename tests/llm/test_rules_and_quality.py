@@ -109,12 +109,66 @@ def test_lone_site(spark):
     assert 0 <= got["toxic_probability"] <= 1 and got["rejected"]
 
 
+def _plain_posteriors(rows, known, model):
+    """The posteriors of rows (doc_id, text, host, path), by the formulas, one document at a time."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    clip = lambda x: min(max(x, 1e-6), 1 - 1e-6)
+    evidence = model.evidence([r[1] for r in rows])
+    out = [[] for _ in rows]
+    for k in range(2):
+        adds = [known.get(r[0], (None, None))[k] for r in rows]
+        adds = [sig(e[k] + model.base[k]) if a is None else a for a, e in zip(adds, evidence, strict=True)]
+        hosts, paths = {}, {}
+        for r, a in zip(rows, adds, strict=True):
+            for at, i in ((hosts, r[2]), (paths, r[2:4])):
+                n, s = at.get(i, (0, 0))
+                at[i] = n + 1, s + a
+        of = sum(s for _, s in hosts.values()) / len(rows)
+
+        def strength(groups):
+            apart = sum(n * (s / n - m) ** 2 for n, s, m in groups)
+            inside, least = sum(m * (1 - m) for _, _, m in groups), sum(n * m * (1 - m) for n, _, m in groups)
+            between = max((apart - inside) / max(least - inside, 1e-9), 1e-9)
+            return min(max(1 / between - 1, quality_model.STRENGTH[0]), quality_model.STRENGTH[1])
+
+        up = strength([(n, s, of) for n, s in hosts.values()])
+        low = strength([(n, s, hosts[i[0]][1] / hosts[i[0]][0]) for i, (n, s) in paths.items()])
+        for o, r, a, e in zip(out, rows, adds, evidence, strict=True):
+            (hn, hs), (n, s) = hosts[r[2]], paths[r[2:4]]
+            rate = (s - a + low * (hs - a + up * of) / (hn - 1 + up)) / (n - 1 + low)
+            assert 0 <= rate <= 1
+            o.append(sig(e[k] + math.log(clip(rate) / (1 - clip(rate)))))
+    return out
+
+
+def test_posteriors(spark):
+    """Against plain Python; one text alone on three sites is judged alike, whatever its own label says."""
+    docs, labels = _corpus(spark)
+    rows = [tuple(r) for r in docs.collect()]
+    text = rows[70][1]
+    rows = [(i, t, "site9" if i % 6 == 0 and i % 7 == 0 else s, "de" if i % 4 == 0 else "en") for i, t, s, _ in rows] + [(900 + i, text, f"alone{i}", "en") for i in range(3)]
+    given = [x for x in labels if x[0] % 3] + [(901, 1, 0), (902, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    known = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["junk_probability"], r["toxic_probability"]) for r in quality_model.classify(docs, known).collect()}
+    want = _plain_posteriors(rows, {i: (1.0 - q, float(t)) for i, q, t in given}, quality_model.fit(quality_model.labelled(docs, known)))
+    for r, w in zip(rows, want, strict=True):
+        assert max(abs(a - b) for a, b in zip(got[r[0]], w, strict=True)) < 1e-9
+    assert got[900] == got[901] == got[902]
+    kept = {r["doc_id"] for r in quality_model.keep_good(docs, known).collect()}
+    assert kept == {i for i, p in got.items() if max(p) < quality_model.REJECT_FROM}
+
+
 def test_odd_rows(spark):
     docs, labels = _corpus(spark, 40)
     odd = spark.createDataFrame([(None, None, None, None), (5, "", "s", "l"), (5, "", "s", "l")], "doc_id long, text string, source string, lang string").withColumn("rejected", F.lit("old"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_model.classify(odd, none)
     assert got.count() == 3 and got.where("rejected").isEmpty() and got.columns[:4] == docs.columns
-    assert quality_model.classify(docs.limit(0), none).count() == 0
+    assert quality_model.classify(docs.limit(0), none).count() == quality_model.keep_good(docs.limit(0), none).count() == 0
+    kept = quality_model.keep_good(odd.withColumns({c: F.lit("mine") for c in ("_id", "_key", "_row", "n", "junk", "toxic")}), none)
+    assert kept.count() == 3 and kept.columns[-6:] == ["_id", "_key", "_row", "n", "junk", "toxic"]
+    long = spark.createDataFrame([(1, "good1 " * 300_000, "s", "l"), (2, "x" * 10**6, "s", "l")], docs.schema)
+    assert quality_model.classify(docs.unionByName(long), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == docs.count() + 2
     twice = spark.createDataFrame([(1, 1, 0), (1, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality_model.classify(docs, twice).count() == docs.count()
