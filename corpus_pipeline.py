@@ -16,8 +16,7 @@ from skeinflow.llm.common import shared_folder, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects as junk or toxic."""
-    got = quality_model.classify(docs, table(spark, sf_dir, "labels"))
-    return got.where("not rejected").select(*docs.columns)
+    return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
