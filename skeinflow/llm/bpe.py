@@ -26,8 +26,9 @@ from tokenizers import Tokenizer
 
 #: Characters of a leaf.
 LEAF = 32_768
-#: Words, and runs of words, kept with their tokens in a worker, and words that the library encodes at once.
-KEPT_WORDS, WORDS_AT_ONCE = 400_000, 1_000
+#: Bytes of the words that a worker keeps with their ids, of which Python takes about so many for an entry beside its
+#: signs, and words that the library encodes at once.
+KEPT_BYTES, ENTRY_BYTES, WORDS_AT_ONCE = 64 << 20, 200, 1_000
 #: A change of the text can alter a split so many characters before it: the longest contraction.
 REACH = 3
 #: Characters for which Python's and the tokenizer's Unicode tables surely agree, composed as they are.
@@ -62,15 +63,19 @@ WORD_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Words:
-    """Of each word, and each run of words without white space, the library's ids and decoded text, as text."""
+    """The library's ids, as text, of words and of runs of words without white space between them.
+
+    Those asked for last are kept, up to KEPT_BYTES: when the young half is full it becomes the old half, and what
+    the old half held and nothing asked for since goes."""
 
     def __init__(self, tok: Tokenizer, suffix: str):
         self.tok = tok
-        self.words: dict[str, tuple[str, str]] = {}
-        self.runs: dict[str, tuple[str, str]] = {}
-        self.signs = [tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())]
-        self.numbers = [str(i) for i in range(len(self.signs))]
-        self.closes = [tok.id_to_token(i).endswith(suffix) for i in range(len(self.signs))]
+        self.numbers = [str(i) for i in range(tok.get_vocab_size())]
+        self.sign = {n: tok.decode([i], skip_special_tokens=False) for i, n in enumerate(self.numbers)}
+        self.closes = [tok.id_to_token(i).endswith(suffix) for i in range(len(self.numbers))]
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.bytes = 0
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
         """The ids of each word. Many words are encoded as one text, whose ids part after those that close a word."""
@@ -83,32 +88,45 @@ class _Words:
             return out[:-1]
         return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def of(self, runs: list[str]) -> list[tuple[str, str]]:
+    def ids(self, runs: list[str]) -> str:
+        """The ids of all runs, in their order."""
+        if 2 * self.bytes > KEPT_BYTES:  # between two texts, so that what a text needs stays
+            self.old, self.young, self.bytes = self.young, {}, 0
         try:
-            return list(map(self.runs.__getitem__, runs))
+            return " ".join(map(self.young.__getitem__, runs))
         except KeyError:
             self._learn(set(runs))
-            return list(map(self.runs.__getitem__, runs))
+            return " ".join(map(self.young.__getitem__, runs))
+
+    def _put(self, key: str, ids: str) -> None:
+        self.young[key] = ids
+        self.bytes += ENTRY_BYTES + len(key) + len(ids)
+
+    def _lack(self, keys: set[str]) -> list[str]:
+        """The keys that are not kept; the others are young from now on."""
+        out = []
+        for k in keys:
+            if k not in self.young:
+                if (ids := self.old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self._put(k, ids)
+        return out
 
     def _learn(self, runs: set[str]) -> None:
-        lack = [r for r in runs if r not in self.runs]
-        if len(self.runs) + len(lack) > KEPT_WORDS:
-            self.runs.clear()
-            lack = list(runs)
+        lack = self._lack(runs)
         parts = [WORD.findall(r) for r in lack]
-        needed = {w for p in parts for w in p}
-        new = [w for w in needed if w not in self.words]
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-            new = list(needed)
-        signs, numbers, words = self.signs, self.numbers, self.words
+        new = self._lack({w for p in parts for w in p})
         for at in range(0, len(new), WORDS_AT_ONCE):
             some = new[at : at + WORDS_AT_ONCE]
             for word, ids in zip(some, self._encoded(some), strict=True):
-                words[word] = (" ".join([numbers[i] for i in ids]), " ".join([signs[i] for i in ids]))
+                self._put(word, " ".join([self.numbers[i] for i in ids]))
         for run, part in zip(lack, parts, strict=True):
-            got = [words[w] for w in part]
-            self.runs[run] = got[0] if len(got) == 1 else (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]))
+            if len(part) > 1:
+                self._put(run, " ".join([self.young[w] for w in part]))
+
+    def decoded(self, ids: str) -> str:
+        return " ".join(map(self.sign.__getitem__, ids.split(" "))) if ids else ""
 
 
 class Codec:
@@ -134,9 +152,8 @@ class Codec:
     def texts(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids as decimals joined by spaces, and the decoded text."""
         if self.by_word and PLAIN.fullmatch(text) and not self.is_special(text):
-            got = self.words.of(text.lower().split())
-            ids = " ".join([x[0] for x in got])
-            return (ids.count(" ") + 1 if ids else 0), ids, " ".join([x[1] for x in got])
+            ids = self.words.ids(text.lower().split())
+            return (ids.count(" ") + 1 if ids else 0), ids, self.words.decoded(ids)
         ids = self.ids(text)
         return len(ids), " ".join(map(str, ids)), self.tok.decode(ids, skip_special_tokens=False)
 
