@@ -8,6 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from .common import free
 
 #: Shards of a rack, racks of a region, in the standard layout.
 RACK, REGION = 2, 2
@@ -60,8 +63,9 @@ def shard_of(key: Column, node: Node) -> Column:
 
 
 def assign(df: DataFrame, tree: Node, key: str = "doc_id", out: str = "shard") -> DataFrame:
-    """Adds the shard of each row. Rows of one key share it; a null key counts as the text 'null'."""
-    return df.withColumn(out, shard_of(F.coalesce(F.col(key).cast("string"), F.lit("null")), tree))
+    """Adds the shard of each row, in place of a column of that name; other columns stay, whatever their names. Rows of
+    one key share it; a null key counts as the text 'null', an empty one as any other."""
+    return df.withColumn(out, shard_of(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), tree))
 
 
 def slots(df: DataFrame, order: Sequence[Column], shard: str = "shard", out: str = "slot", parts: int = 1024) -> DataFrame:
@@ -69,15 +73,16 @@ def slots(df: DataFrame, order: Sequence[Column], shard: str = "shard", out: str
 
     No task holds a shard: each is cut into `parts` by a hash of all order columns, parts are counted (a
     row for each), the counts added up, and rows numbered within their part. Rows that agree in all
-    order columns fall into one part; equal rows take their numbers in any order."""
-    cut = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = cut.groupBy(shard, "_part").agg(F.count("*").alias("_n"))
-    sums = counts.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("_l"))
-    base = sums.select(shard, F.explode(F.expr("transform(_l, (x, i) -> struct(x._part as _part, aggregate(slice(_l, 1, i), 0L, (s, y) -> s + y._n) as _base))")).alias("x")).select(shard, "x._part", "x._base")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(shard, "_part").orderBy(*order)
-    return cut.withColumn("_k", F.row_number().over(w)).join(base, [shard, "_part"]).withColumn(out, (F.col("_base") + F.col("_k") - 1).cast("long")).drop("_part", "_k", "_base")
+    order columns fall into one part; equal rows take their numbers in any order. Nulls come first. Columns of any
+    name stay, but one named `out` is replaced."""
+    part, k, base, n, at = (free(df, c) for c in ("_part", "_k", "_base", "_n", "_l"))
+    text = F.concat_ws("|", *[c.cast("string") for c in order])
+    cut = df.drop(out).withColumn(part, (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % parts).cast("int"))
+    counts = cut.groupBy(shard, part).agg(F.count("*").alias(n))
+    sums = counts.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(part, n))).alias(at))
+    sums = sums.select(shard, F.explode(F.expr(f"transform({at}, (x, i) -> struct(x.{part} as {part}, aggregate(slice({at}, 1, i), 0L, (s, y) -> s + y.{n}) as {base}))")).alias(at)).select(shard, f"{at}.*")
+    w = Window.partitionBy(shard, part).orderBy(*order)
+    return cut.withColumn(k, F.row_number().over(w)).join(sums, [shard, part]).withColumn(out, (F.col(base) + F.col(k) - 1).cast("long")).drop(part, k, base)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -92,3 +97,29 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows = assign(assign(rows, layout(shards)), layout(shards + 1), out="grown_shard")
     out = slots(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _sql_shard(node: Node) -> str:
+    """The SQL of `shard_of` over a column k."""
+    if not node.children:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _sql_shard(node.children[0])
+    clock = lambda c: f"-ln((('0x' || substr(md5(k || '/{c.name}'), 1, 12))::bigint + 1.0::double) / {1 << 48}.0::double) / {c.weight}::double"
+    won = f"list_position(l{node.name}, list_min(l{node.name}))"
+    cases = " ".join(f"when {i + 1} then {_sql_shard(c)}" for i, c in enumerate(node.children))
+    return f"(select case {won} {cases} end from (select [{', '.join(map(clock, node.children))}] as l{node.name}))"
+
+
+def _crc(half: int) -> int:
+    """The checksum's step for half a byte."""
+    for _ in range(4):
+        half = half >> 1 ^ 0xEDB88320 * (half & 1)
+    return half
+
+
+SQL = f"""with d as (select doc_id, coalesce(text, '') as t, coalesce(doc_id::varchar, 'null') as k from documents),
+h as (select *, list_transform(string_split(regexp_replace(hex(encode(t)), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: (instr('0123456789ABCDEF', x) - 1)::bigint) as nibbles from d),
+c as (select doc_id, k, (octet_length(encode(t)) + 1)::bigint as size, case when t = '' then 0 else xor(list_reduce(list_prepend(4294967295::bigint, nibbles), lambda a, b: xor(a >> 4, [{', '.join(str(_crc(i)) for i in range(16))}][(xor(a, b) & 15) + 1])), 4294967295) end::bigint as text_crc32 from h),
+s as (select doc_id, size, text_crc32, 'key' as law, {_sql_shard(layout(8))}::int as shard, {_sql_shard(layout(9))}::int as grown_shard from c)
+select doc_id, size, text_crc32, law, shard, row_number() over (partition by shard order by ('0x' || substr(md5(concat_ws('|', doc_id, text_crc32, size)), 1, 8))::bigint % 1024, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard from s"""
