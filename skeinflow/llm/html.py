@@ -1,62 +1,123 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A token is a tag with its place in the page, or a whole run of text with its place. Over the pages of a
-host, each token has an occurrence vector: how often it stands in each page. Tokens with equal vectors make
-a class. Classes that most pages of the host hold are its template: the root class stands once in every
-page, others nest in its gaps. The gap that holds the article is the container, and what is left of it
-without template text and furniture is the page's main text. Vectors are never gathered: a vector is
-known by the sum of a hash of (page, count) over its pages, which adds up before the shuffle."""
+A token is an element at its place in the page (the elements down to it, with their names), or a block of text
+at its place. Over the pages of a host each token has an occurrence vector: how often it stands in each page.
+Tokens of equal vectors make a class. Of classes that stand at most once in a page, the elements must keep one
+order without crossing; those that do nest class in class, outermost first, into the host's template. The
+gaps between the template's elements are the slots; the slot with most text that is no link and no template
+text is the article's, and the element around it and around what belongs to it is the container. What is
+left of it without template text and furniture is the page's main text.
+
+Vectors are never gathered: a vector is known by sums of hashes of (page, count) over its pages, which add up
+before the shuffle. A host without three different pages at least has no classes; its pages are each taken for
+themselves, every element that stands once being template."""
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix
+from .common import brief, checkpoint, mix
 
-#: Fixed names of HTML: elements without content, with raw content, and those that stand inside a line.
+#: Fixed names of HTML: elements without content, with raw content, inside a line, and of running text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math".split())
+RAW = frozenset("script style noscript template textarea iframe svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split())
-#: Elements, and words of class, id and role, that mark furniture.
+FLOW = frozenset("p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hr address math".split())
+#: Elements, and words of class, id and role, that mark furniture; and words that may stand beside these in a name.
 FURNITURE = frozenset("head title nav footer aside form button select dialog menu".split()) | RAW
 FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar widget widgets related recommended menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus reply replies respond share sharing social toolbar pagination pager complementary contentinfo search".split())
-MAIN = ("article", "main")
-MAIN_WORDS = frozenset("articlebody maincontent main".split())
-#: A class belongs to the template if this share of the host's pages hold it; hosts with fewer pages use the template of all pages.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 5
-#: Text that stands once in every page of a host counts as template from so many pages on.
-TEXT_PAGES = 20
+PLAIN_WORDS = frozenset("site page top bottom left right main box bar list section area block container wrapper wrap inner outer item items link links form button buttons user reader post article primary secondary global message text slot unit".split())
+HEADERS = frozenset("header site-header page-header top-header".split())
+MAIN_NAMES = frozenset("articlebody maincontent main-content".split())
+#: A class belongs to the template if this share of the host's pages hold it, and two at least.
+SHARE = 0.5
+#: Different pages that a host's template, and a template's text, must stand in.
+EVIDENCE = 3
+#: Text that makes up more of the container than this is the article of copied pages, and no template text.
+MOST_TEXT = 0.5
 #: Templates up to this size in all are sent to every task.
 BROADCAST_BYTES = 16 << 20
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_FLIP = 0x5555555555555555
 
 
 class Node:
-    """An open element: its tag, its place (tags and classes down to it), and whether it is furniture."""
+    """An open element: its tag, its place, the place of the last element down to it that is no running text, and of
+    that before; whether it is furniture, in a marked main part, in a link, in the container; 2 for an article, 1 for
+    a main part, else 0."""
 
-    __slots__ = ("tag", "place", "furniture", "main")
+    __slots__ = ("tag", "place", "box", "up", "furniture", "main", "link", "inside", "mark")
 
-    def __init__(self, tag: str, place: str, furniture: bool, main: bool):
-        self.tag, self.place, self.furniture, self.main = tag, place, furniture, main
+    def __init__(self, tag: str, place: int, box: int, up: int, furniture: bool, main: bool, link: bool, inside: bool, mark: int):
+        self.tag, self.place, self.box, self.up, self.furniture, self.main, self.link, self.inside, self.mark = tag, place, box, up, furniture, main, link, inside, mark
 
 
-def events(page: str) -> Iterator[tuple[str, Node, str]]:
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+@lru_cache(maxsize=100_000)
+def _marks_furniture(name: str) -> bool:
+    """Whether a whole class name, id or role is of words that mark furniture, alone or beside plain ones."""
+    parts = [p for p in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
+    return any(p in FURNITURE_WORDS for p in parts) and all(p in FURNITURE_WORDS or p in PLAIN_WORDS for p in parts)
+
+
+def _node(above: Node, tag: str, attrs: str, container: int | None, by_names: bool) -> Node:
+    names, hidden, roles, mark = [], False, [], 2 if tag == "article" else 1 if tag == "main" else 0
+    for m in ATTR.finditer(attrs) if attrs else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden":
+            hidden = True
+        elif key in ("class", "id", "role"):
+            own = value.split()
+            names += own
+            if not re.search(r"\d", value):
+                roles.append(" ".join(own))
+            if key == "role" and value.lower() in ("main", "article"):
+                mark = max(mark, 2 if value.lower() == "article" else 1)
+        if key in ("class", "id", "itemprop") and any(x.lower() in MAIN_NAMES for x in value.split()):
+            mark = max(mark, 1)
+    furniture = above.furniture
+    if tag not in ("html", "body"):
+        furniture |= hidden or tag in FURNITURE and (by_names or tag != "form") or tag == "header" and not above.main
+        if by_names:
+            furniture |= any(_marks_furniture(x) for x in names) or not above.main and any(x.lower() in HEADERS for x in names)
+    main = above.main or mark > 0
+    if tag in INLINE:
+        return Node(tag, above.place, above.box, above.up, furniture, main, above.link or tag == "a", above.inside, above.mark)
+    place = _hash(f"{above.place}/{tag}[{' '.join(roles)}]")
+    if tag in FLOW:
+        return Node(tag, place, above.box, above.up, furniture, main, above.link, above.inside, mark)
+    return Node(tag, place, place, above.box, furniture, main, above.link, above.inside or place == container, mark)
+
+
+def events(page: str, container: int | None = None, by_names: bool = True) -> Iterator[tuple[str, Node, str]]:
     """('open' | 'close', element, '') and ('text', element it is in, text), in page order.
     Tags left open are closed by the end of what holds them; a new paragraph or item closes the last."""
-    root = Node("", "", False, False)
-    stack, at, known = [root], 0, {}
+    root = Node("", 0, 0, 0, False, False, False, False, 0)
+    stack, open_, at, known = [root], Counter(), 0, {}
     n = len(page)
+
+    def close(to: int) -> Iterator[tuple[str, Node, str]]:
+        while len(stack) > to:
+            node = stack.pop()
+            open_[node.tag] -= 1
+            yield "close", node, ""
+
     while at < n:
         m = TAG.search(page, at)
         end = m.start() if m else n
@@ -70,224 +131,298 @@ def events(page: str) -> Iterator[tuple[str, Node, str]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    yield "close", stack[i], ""
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                yield from close(i)
             continue
-        above = stack[-1]
         if tag == "br":
-            yield "text", above, " "
+            yield "text", stack[-1], " "
             continue
         if tag not in INLINE:  # a block ends an open paragraph; an item ends the item before it
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i].tag
                 if t == "p" or t == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                    yield "close", stack[i], ""
-                    del stack[i:]
+                    yield from close(i)
                     break
                 if t not in INLINE:
                     break
-            above = stack[-1]
-        key = (above.place, above.furniture, above.main, tag, m[3])
+        above = stack[-1]
+        key = (above.place, above.furniture, above.main, above.link, tag, m[3])
         node = known.get(key)
         if node is None:
-            node = known[key] = _node(above, tag, m[3])
+            node = known[key] = _node(above, tag, m[3], container, by_names)
         if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag != "p":
             yield "open", node, ""
             yield "close", node, ""
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = found.end() if found else n
             yield "open", node, ""
             yield "close", node, ""
             continue
         yield "open", node, ""
         stack.append(node)
+        open_[tag] += 1
+    yield from close(1)
 
 
-def _node(above: Node, tag: str, attrs: str) -> Node:
-    words, names, hidden = set(), [], False
-    if attrs:
-        for k, a, b, c in ATTR.findall(attrs):
-            value = (a or b or c).lower()
-            hidden |= k.lower() == "hidden"
-            words |= set(re.split(r"[^a-z]+", value)) | {re.sub(r"[^a-z]", "", value)}
-            if k.lower() in ("class", "role", "id") and not re.search(r"\d", value):
-                names.append(value)
-    main = above.main or tag in MAIN or bool(words & MAIN_WORDS)
-    furniture = above.furniture or hidden or tag in FURNITURE or bool(words & FURNITURE_WORDS) or tag == "header" and not above.main
-    place = above.place if tag in INLINE else f"{above.place}/{tag}" + (f"[{' '.join(names)}]" if names else "")
-    return Node(tag, place, furniture, main)
-
-
-def _tokens(page: str) -> tuple[dict[str, int], dict[str, int]]:
-    """How often each token stands in a page, and the text characters at each place that is not furniture."""
-    counts: dict[str, int] = defaultdict(int)
-    chars: dict[str, int] = defaultdict(int)
-    for kind, node, text in events(page):
+def blocks(page: str, container: int | None = None, by_names: bool = True) -> Iterator[tuple[str, Node, str, int]]:
+    """('open' | 'close', element, '', 0) of elements outside lines, and ('block', element it is in, text, characters
+    of it in links): the text between two of these, its white space made single, furniture left out."""
+    now: list[str] = []
+    at, links = None, 0
+    for kind, node, text in events(page, container, by_names):
         if kind == "text":
-            if not node.furniture and (line := " ".join(text.split())):
-                counts[f"{node.place}#{line}"] += 1
-                chars[node.place] += len(line)
-        elif node.tag not in INLINE:
-            counts[node.place + (">" if kind == "open" else "<")] += 1
-    return counts, chars
-
-
-_STATS = "host string, token string, pages long, total long, vector decimal(38,0), chars long"
-
+            if not node.furniture:
+                at = at or node
+                now.append(text)
+                links += len(text) * node.link
+            continue
+        if node.tag in INLINE:
+            continue
+        if at is not None:
+            if line := " ".join("".join(now).split()):
+                yield "block", at, line, min(links, len(line))
+            now, at, links = [], None, 0
+        yield kind, node, "", 0
+    if at is not None and (line := " ".join("".join(now).split())):
+        yield "block", at, line, min(links, len(line))
+
+
+#: Of an element: where it is, its mark, and by page: how often, first place and end, text and link characters in it.
+#: Of a text: the place it is at; its characters.
+_FIGURES = ("up", "mark", "count", "pos", "end", "chars", "links")
+ELEMENT, TEXT = 0, 1
+
+
+def _tokens(page: str, by_names: bool = True) -> dict[tuple[int, int], list[int]]:
+    """The tokens (kind, hash) of a page outside furniture, with their figures."""
+    places: dict[int, list[int]] = {}
+    texts: dict[tuple[int, int], list[int]] = {}
+    for i, (kind, node, line, links) in enumerate(blocks(page, None, by_names)):
+        if node.furniture:
+            continue
+        if kind == "block":
+            g = texts.get(key := (TEXT, _hash(f"{node.place}#{line}")))
+            if g is None:
+                g = texts[key] = [node.box, 0, 0, i, i, len(line), 0]
+            g[2] += 1
+            if (at := places.get(node.box)) is not None:
+                at[5] += len(line)
+                at[6] += links
+        elif node.box == node.place:
+            g = places.get(node.place)
+            if g is None:
+                g = places[node.place] = [node.up, node.mark, 0, i, i, 0, 0]
+            if kind == "open":
+                g[2] += 1
+            else:
+                g[4] = max(g[4], i)
+    for place in reversed(places):
+        g = places[place]
+        if (up := places.get(g[0])) is not None:
+            up[5] += g[5]
+            up[6] += g[6]
+    return {(ELEMENT, p): g for p, g in places.items()} | texts
+
+
+_STATS = "host string, kind int, token long, up long, mark int, pages long, total long, v1 long, v2 long, pos long, end long, chars long, links long, b1 long, b2 long, b3 long, b4 long"
+_SUMS = ("pages", "total", "v1", "v2", "pos", "end", "chars", "links")
+_LOW31 = (1 << 31) - 1
 
-def _hash(text: str) -> int:
-    return hash_bytes(text.encode("utf-8", "surrogatepass"))
 
+def _stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each batch and host: of each token its sums over the pages, and the extremes of the pages' hashes."""
+    for pdf in batches:
+        got: dict[tuple[str, int, int], list[int]] = {}
+        for host, key, body, page in zip(pdf["host"], pdf["key"].tolist(), pdf["body"].tolist(), pdf["html"], strict=True):
+            tokens = _tokens(page or "")
+            counts = np.fromiter((g[2] for g in tokens.values()), dtype=np.uint64, count=len(tokens))
+            weights = mix(np.uint64(key & (2**64 - 1)) ^ mix(counts)).tolist()
+            other = body ^ _FLIP
+            for (kind, token), f, w in zip(tokens, tokens.values(), weights, strict=True):
+                g = got.get((host, kind, token))
+                if g is None:
+                    g = got[host, kind, token] = [f[0], f[1], 0, 0, 0, 0, 0, 0, 0, 0, body, body, other, other]
+                g[2] += 1
+                g[3] += f[2]
+                g[4] += w & _LOW31
+                g[5] += w >> 31 & _LOW31
+                g[6] += f[3]
+                g[7] += f[4]
+                g[8] += f[5]
+                g[9] += f[6]
+                if body < g[10]:
+                    g[10] = body
+                elif body > g[11]:
+                    g[11] = body
+                if other < g[12]:
+                    g[12] = other
+                elif other > g[13]:
+                    g[13] = other
+        yield pd.DataFrame([(*k, *g) for k, g in got.items()], columns=[x.split()[0] for x in _STATS.split(", ")])
+
+
+def _different() -> str:
+    """SQL: how many different pages the extremes of the pages' hashes show, four at most."""
+    return f"size(array_distinct(array(b1, b2, b3 ^ {_FLIP}L, b4 ^ {_FLIP}L)))"
 
-def hash_bytes(data: bytes) -> int:
-    import hashlib
 
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big")
+def classes(pages: DataFrame) -> DataFrame:
+    """Equivalence classes of each host of `pages(page_id, url, html, host)`: rows (host, of, pages, total, v1, v2,
+    tokens): `of` pages of the host, in `pages` of which the tokens stand, `total` times in all.
+
+    Only hosts with EVIDENCE different pages have classes, and only those that a fixed share of the host's pages hold:
+    as such tokens fill that share of all pages, a host has no more of them than a few pages have tokens."""
+    body = pages.select("host", F.xxhash64("page_id", "url", "html").alias("key"), F.xxhash64("html").alias("body"), "html")
+    extremes = [F.min("b1").alias("b1"), F.max("b2").alias("b2"), F.min("b3").alias("b3"), F.max("b4").alias("b4")]
+    other = F.expr(f"body ^ {_FLIP}L")
+    hosts = body.select("host", F.col("body").alias("b1"), F.col("body").alias("b2"), other.alias("b3"), other.alias("b4")).groupBy("host").agg(F.count("*").alias("of"), *extremes)
+    hosts = checkpoint(hosts.where(f"{_different()} >= {EVIDENCE}").select("host", "of"))
+    stats = body.mapInPandas(_stats, _STATS)
+    by_host = stats.groupBy("host", "kind", "token").agg(F.min("up").alias("up"), F.max("mark").alias("mark"), *[F.sum(c).alias(c) for c in _SUMS], *extremes).where("pages > 1")
+    common = by_host.join(brief(hosts), "host").where(F.col("pages") >= F.col("of") * SHARE).withColumn("shown", F.expr(_different()))
+    token = F.struct("kind", "token", "up", "mark", "pos", "end", "chars", "links", "shown")
+    return common.groupBy("host", "of", "pages", "total", "v1", "v2").agg(F.collect_list(token).alias("tokens"))
+
+
+def ordered(tokens: list[dict]) -> list[dict]:
+    """The elements of a class that keep one order: spans, by their mean places in the class's pages, that lie one in
+    another or apart. Of two that cross the one with less text goes."""
+    kept: dict[int, dict] = {}
+    open_: list[dict] = []
+    for x in sorted(tokens, key=lambda x: (x["pos"], -x["end"], x["token"])):
+        while open_ and open_[-1]["end"] < x["pos"]:
+            open_.pop()
+        while open_ and open_[-1]["end"] < x["end"] and open_[-1]["chars"] < x["chars"]:
+            del kept[open_.pop()["token"]]
+        if not open_ or x["end"] <= open_[-1]["end"]:
+            kept[x["token"]] = x
+            open_.append(x)
+    return list(kept.values())
+
+
+def nest(of: int, found: list[tuple[int, int, list[dict]]]) -> dict:
+    """The template of one host from its classes (pages, total, tokens): its container, a place, and template texts.
+
+    Classes that stand once in each of their pages nest, those of most pages first, then those of most tokens: an
+    element is taken if the element around it, running text aside, is in the template already."""
+    once = sorted((c for c in found if c[0] == c[1]), key=lambda c: (-c[0], -len(c[2]), min(x["token"] for x in c[2])))
+    tree: dict[int, dict] = {}
+    waiting = [x for c in once for x in ordered([x for x in c[2] if x["kind"] == ELEMENT])]
+    while waiting:
+        rest = []
+        for x in waiting:
+            if x["up"] == 0 or x["up"] in tree:
+                tree[x["token"]] = x
+            else:
+                rest.append(x)
+        if len(rest) == len(waiting):
+            break
+        waiting = rest
+    held = {x["token"]: x for c in found for x in c[2] if x["kind"] == TEXT and x["shown"] >= EVIDENCE}
+    inside: dict[int, list[int]] = {}  # template text by the element of the template around it
+    parents = {x["token"]: x["up"] for c in found for x in c[2] if x["kind"] == ELEMENT}
+    for t, x in held.items():
+        p = x["up"]
+        while p and p not in tree:
+            p = parents.get(p, 0)
+        inside.setdefault(p, []).append(t)
+    fixed = dict.fromkeys(tree, 0)
+    for p, ts in inside.items():
+        n = sum(held[t]["chars"] for t in ts)
+        while p in tree:
+            fixed[p] += n
+            p = tree[p]["up"]
+    container = _container(tree, fixed)
+    texts = sorted(held)
+    if container is not None and fixed[container] > MOST_TEXT * tree[container]["chars"]:
+        texts = []
+    return {"container": container, "texts": texts}
+
+
+def _container(tree: dict[int, dict], fixed: dict[int, int]) -> int | None:
+    """The element around the slot with most text: the article it is in, else the main part, else as far out as what
+    comes in is mostly text of the pages' own."""
+    own = {p: x["chars"] - x["links"] - fixed[p] for p, x in tree.items()}
+    slot = dict(own)
+    for p, x in tree.items():
+        if x["up"] in slot:
+            slot[x["up"]] -= own[p]
+    if not slot or max(slot.values()) <= 0:
+        return None
+    best = min(tree, key=lambda p: (-slot[p], tree[p]["pos"], p))
+    around = []
+    p = best
+    while p in tree:
+        around.append(p)
+        p = tree[p]["up"]
+    for mark in (2, 1):
+        if marked := [p for p in around if tree[p]["mark"] == mark]:
+            return marked[-1]
+    for p in around[1:]:
+        more = tree[p]["chars"] - tree[best]["chars"]
+        if own[p] - own[best] < 0.5 * more:
+            break
+        best = p
+    return best
 
 
-def _stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each batch and host: of each token the pages, occurrences, vector sum and text."""
-    from decimal import Decimal
+def alone(page: str, by_names: bool = True) -> dict:
+    """The template of a page by itself: elements that stand once are of one class."""
+    tokens = [dict(zip(_FIGURES, g, strict=True), kind=k, token=t, shown=1) for (k, t), g in _tokens(page, by_names).items() if k == ELEMENT and g[2] == 1]
+    return nest(1, [(1, 1, tokens)]) if tokens else {"container": None, "texts": []}
 
-    for pdf in batches:
-        got: dict[tuple[str, str], list[int]] = {}
-        for host, key, page in zip(pdf["host"], pdf["key"], pdf["html"], strict=True):
-            counts, chars = _tokens(page or "")
-            counts["*"] = 1
-            weights = mix(np.uint64(key & (2**64 - 1)) ^ mix(np.fromiter(counts.values(), dtype=np.uint64, count=len(counts))))
-            for (token, n), w in zip(counts.items(), weights.tolist(), strict=True):
-                if "#" in token:  # a text is known by its place and hash
-                    place, _, line = token.partition("#")
-                    token = f"{place}#{_hash(line):016x}"
-                g = got.setdefault((host, token), [0, 0, 0, 0])
-                g[0] += 1
-                g[1] += n
-                g[2] += w
-            for place, n in chars.items():
-                g = got.setdefault((host, place + ">"), [0, 0, 0, 0])
-                g[3] += n
-        yield pd.DataFrame([(h, t, g[0], g[1], Decimal(g[2]), g[3]) for (h, t), g in got.items()], columns=["host", "token", "pages", "total", "vector", "chars"])
 
+def slots(page: str, template: dict | None) -> str:
+    """The main text of a page: what its container holds besides template text and furniture.
 
-def classes(pages: DataFrame) -> DataFrame:
-    """Equivalence classes of each host, and of all pages as host '*': rows (host, of, pages, once, vector,
-    tokens, chars): `of` pages of the host, `pages` with the class, once: exactly once in each of these.
-    Only classes that a fixed share of the host's pages hold are kept; as such tokens fill that share of
-    all pages, a host has no more of them than a few pages have tokens."""
-    stats = pages.select("host", F.xxhash64("page_id", "url", "html").alias("key"), "html").mapInPandas(_stats, _STATS)
-    sums = [F.sum(c).alias(c) for c in ("pages", "total", "vector", "chars")]
-    by_host = stats.groupBy("host", "token").agg(*sums)
-    of_all = by_host.where(~F.col("token").contains("#")).groupBy(F.lit("*").alias("host"), "token").agg(*sums)
-    every = by_host.unionByName(of_all)
-    of = every.where("token = '*'").select("host", F.col("pages").alias("of"))
-    common = every.where("token <> '*'").join(of, "host").where(F.col("pages") >= F.col("of") * TEMPLATE_SHARE).where("of > 1")
-    return common.groupBy("host", "of", "pages", F.expr("total = pages").alias("once"), "vector").agg(F.collect_list("token").alias("tokens"), F.collect_list("chars").alias("chars"))
-
-
-def nest(rows: list[tuple[int, int, bool, list[str], list[int]]]) -> dict[str, list[str]]:
-    """The template of one host from its classes (of, pages, once, tokens, chars).
-
-    Valid classes nest: a class is kept if the place of each of its tokens lies in a place that the template
-    holds already, outermost first. The container is the outermost main element of the template, else the
-    place outside furniture with most text. Text of the root class is template text."""
-    texts, places, weight = [], set(), {}
-    found = []
-    for of, pages, once, tokens, chars in rows:
-        for t, n in zip(tokens, chars, strict=True):
-            if "#" in t:
-                if once and pages == of >= TEXT_PAGES:
-                    texts.append(t)
-            elif t.endswith(">"):
-                found.append((t.count("/"), t[:-1]))
-                weight[t[:-1]] = max(n, weight.get(t[:-1], 0))
-    for depth, place in sorted(found):
-        if depth <= 1 or place.rpartition("/")[0] in places:
-            places.add(place)
-    mains = sorted((p for p in places if re.search(r"/(article|main)(\[[^/]*\])?$", p)), key=lambda p: (p.count("/"), -_within(p, weight)))
-    inner = [p for p in mains if "/article" in p] or mains
-    if inner and _within(inner[0], weight):
-        return {"container": [inner[0]], "texts": texts}
-    held = [p for p in places if weight.get(p)]
-    if not held:
-        return {"container": [], "texts": texts}
-    best = max(held, key=lambda p: (weight[p], p))
-    return {"container": [best.rpartition("/")[0] or best], "texts": texts}
-
-
-def _within(place: str, weight: dict[str, int]) -> int:
-    return sum(n for p, n in weight.items() if p == place or p.startswith(place + "/"))
-
-
-def slots(page: str, template: dict[str, list[str]]) -> str:
-    """The main text of a page: what its container holds besides template text and furniture."""
-    text = _slots(page, template)
-    return text if text or not template["container"] else _slots(page, {"container": [], "texts": []})
-
-
-def _slots(page: str, template: dict[str, list[str]]) -> str:
-    inside, texts = tuple(template["container"]), frozenset(template["texts"])
-    starts = tuple(p + "/" for p in inside)
-    blocks: list[str] = []
-    now: list[str] = []
+    A page that has no text there, being of another form than its host's others, is taken by itself; one whose text
+    is all in a form or in elements of furniture's names is taken again without regard to these."""
+    for t, by_names in ((template, True), (None, True), (None, False)):
+        if t is None and (t := alone(page, by_names))["container"] is None:
+            t = {"container": 0, "texts": []}
+        if text := _slots(page, t, by_names):
+            return text
+    return ""
 
-    def end() -> None:
-        if line := " ".join(entities.unescape("".join(now)).split()):
-            blocks.append(line)
-        now.clear()
 
-    for kind, node, text in events(page):
-        if kind != "text":
-            if node.tag not in INLINE:
-                end()
-        elif not node.furniture and (not inside or node.place in inside or node.place.startswith(starts) or not inside and node.main):
-            if texts and (line := " ".join(text.split())) and f"{node.place}#{_hash(line):016x}" in texts:
-                continue
-            now.append(text)
-    end()
-    return "\n\n".join(blocks)
+def _slots(page: str, template: dict, by_names: bool) -> str:
+    container, texts = template["container"], frozenset(template["texts"])
+    out = []
+    for kind, node, line, _ in blocks(page, container, by_names):
+        if kind == "block" and (not container or node.inside) and not (texts and _hash(f"{node.place}#{line}") in texts):
+            if text := " ".join(entities.unescape(line).split()):
+                out.append(text)
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page of `pages(page_id, url, html)`.
 
-    A null or empty page gives the empty text. A page whose url has no host is of the host ''. Hosts with
-    fewer than TEMPLATE_PAGES pages use the template of all pages together."""
+    A null or empty page gives the empty text. A page whose url has no host is of the host ''. Equal rows each have
+    a row. A page's text depends on its host's other pages: from three different ones on they share a template, and
+    text that stands at one place in half of them is dropped, unless it is most of the container's text."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", "html", host.alias("host"))
-    found = classes(own)
-    rows = F.struct("of", "pages", "once", "tokens", "chars")
+    rows = F.struct("pages", "total", "tokens")
 
     @F.pandas_udf("string")
-    def nested(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: json.dumps(nest([(r["of"], r["pages"], r["once"], list(r["tokens"]), list(r["chars"])) for r in x])))
+    def nested(of: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(nest(n, [(r["pages"], r["total"], list(r["tokens"])) for r in x])) for n, x in zip(of, found, strict=True)], dtype=object)
 
-    templates = found.groupBy("host").agg(F.collect_list(rows).alias("rows"), F.max("of").alias("of")).select("host", "of", nested("rows").alias("template"))
-    templates = checkpoint(templates)
-    general = templates.where("host = '*'").select("template").first()  # one row, no larger than a few pages' tokens
-    default = general[0] if general else json.dumps({"container": [], "texts": []})
+    templates = checkpoint(classes(own).groupBy("host", "of").agg(F.collect_list(rows).alias("rows")).select("host", nested("of", "rows").alias("template")))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        read: dict[str, dict[str, list[str]]] = {}
+        read = lru_cache(maxsize=1000)(json.loads)
         for html, template in batches:
-            out = []
-            for h, t in zip(html, template, strict=True):
-                t = t or default
-                if t not in read:
-                    if len(read) > 1000:
-                        read.clear()
-                    read[t] = json.loads(t)
-                out.append(slots(h or "", read[t]))
-            yield pd.Series(out, dtype=object)
-
-    own_templates = templates.where(F.col("of") >= TEMPLATE_PAGES).where("host <> '*'").select("host", "template")
-    if (own_templates.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
-        own_templates = F.broadcast(own_templates)  # else pages are shuffled by host, a large host in parts
-    joined = own.join(own_templates, "host", "left")
-    got = joined.select("page_id", "url", text("html", "template").alias("text"))
+            yield pd.Series([slots(h or "", None if t is None else read(t)) for h, t in zip(html, template, strict=True)], dtype=object)
+
+    if (templates.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+        templates = F.broadcast(templates)  # else pages are shuffled by host, a large host in parts
+    got = own.join(templates, "host", "left").select("page_id", "url", text("html", "template").alias("text"))
     return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
