@@ -3,9 +3,11 @@ buffers, checkpoints in the cluster's shared folder, connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,22 @@ LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """After a task of `run` its worker, which Spark keeps for later ones, gives freed memory back to the machine."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(U64, copy=True)
@@ -142,30 +160,29 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Bits:
-    """A Bloom filter of a fixed size for 64-bit hashes: 2**23 bits, whatever the number of hashes.
+    """A Bloom filter for 64-bit hashes, of 16 bits or more for each, up to 2**MOST bits in all (4 MB).
     It only spares rows: what passes is joined exactly."""
 
-    LOG = 23
+    LEAST, MOST = 16, 25
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.log = words, 6 + len(words).bit_length() - 1
 
     @classmethod
     def of(cls, df: DataFrame, column: str) -> "Bits":
-        """Of a long column. At most 2**17 rows, of 64 bits each, reach the driver."""
-        n = cls.LOG
+        """Of a long column of a narrow, checkpointed table. At most 2**19 rows, of 64 bits each, reach the driver."""
+        n = min(cls.MOST, max(cls.LEAST, (16 * df.count()).bit_length()))
         ats = F.array(*[F.shiftrightunsigned(F.shiftleft(F.col(column), i * n), 64 - n) for i in range(2)])
-        bits = df.select(F.explode(ats).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b"))
+        bits = df.select(F.explode(ats).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
         words = np.zeros(1 << (n - 6), dtype=np.int64)
-        for r in bits.collect():
-            words[r["w"]] = r["b"]
+        words[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
         return cls(words.view(U64))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Which hashes may be among them."""
-        n = U64(64 - self.LOG)
+        n = U64(64 - self.log)
         with np.errstate(over="ignore"):
-            a, b = h >> n, (h << U64(self.LOG)) >> n
+            a, b = h >> n, (h << U64(self.log)) >> n
         on = lambda at: (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)
         return (on(a) & on(b)).astype(bool)
 

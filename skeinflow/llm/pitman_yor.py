@@ -1,46 +1,46 @@
-"""Hierarchical Pitman-Yor language model: seating by Gibbs sweeps, averaged predictions.
+"""Hierarchical Pitman-Yor language model: seating sweep by sweep, averaged predictions.
 
 Each context (the word before) is a restaurant whose customers are the words that follow it; each table that
 is opened there for a word sends a customer to the parent restaurant of all contexts, whose own parent deals
-alike with the V known words and the unknown one. Contexts are the CONTEXTS most frequent training words; all
-others share one restaurant. A sweep seats the customers of each dish anew, given the totals and the parent's
-probabilities of the sweep before; predictions are averaged over the last sweeps.
+alike with the V known words and the unknown one. Every training word is a context. A sweep takes the customers of
+each dish out and seats them anew, one after another, given all other dishes' tables of the sweep before; predictions are
+averaged over the last sweeps.
 
-Tokens are dealt to buckets by word, frequent words by word and context, so no word is one task's load. The
-tokens of a bucket stay packed in the shared checkpoint folder; each sweep is a pass over them, and what
-tasks share are arrays of the fixed length CONTEXTS. A seating depends on hashes of dish, sweep and customer
-alone, so any task can repeat it, also after a loss."""
+Tokens are dealt to buckets by word, those of the HEAD most frequent words by word and context, so no word is one
+task's load, and stay packed in the shared checkpoint folder. From the first pass over them a bucket keeps its pairs of
+word and context with their counts, which the sweeps go over. What buckets must know of each other are figures of
+words and contexts: of the HEAD most frequent ones as arrays of that length, of all others by an exchange, for which
+the hashes are dealt to parts that add up what the buckets send and send the sums back. A seating depends on hashes of
+dish, sweep and customer alone, so any task can repeat it, also after a loss."""
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, mix, passes, signed, unit
+from .common import U64, checkpoint, mix, passes, release, signed, tidied, unit
 
-#: Frequent words: contexts of their own. The last id is the shared context, so ids fit 16 bits.
-CONTEXTS = 65_535
-RARE = CONTEXTS
+#: Words whose figures all tasks hold as arrays; others are exchanged. Both are contexts of their own.
+HEAD = 65_536
 #: Sweeps, and how many of the last ones are averaged.
 SWEEPS, KEPT = 3, 2
 #: Concentration of both levels; discounts come from the numbers of dishes with one and two customers.
 THETA = 1.0
-#: Customers that are seated one by one; further ones in blocks of a sixteenth.
-ONE_BY_ONE = 128
+#: Customers that are seated one by one; further ones in blocks of this share of those before.
+ONE_BY_ONE, BLOCK_SHARE = 128, 32
 #: Tokens of a bucket, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 48
-#: Tokens that are packed together.
-BLOCK_TOKENS = 1_000_000
-#: The end of a text counts as a word; no word of a text has this hash but by chance of 2**-64.
+#: Tokens that are packed together, and texts at most.
+BLOCK_TOKENS, BLOCK_TEXTS = 1_000_000, 1 << 18
 END = mix(np.array([0x656E64], dtype=U64))[0]
 _TAIL, _MASK = U64(1 << 63), (1 << 64) - 1
 FOLDS, HELD = 7, 2
@@ -94,67 +94,106 @@ def _loosen(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U64).reshape(-1), dtype=U64)
 
 
-_PACKED = "bucket int, src long, n int, keys binary, tail binary"
+def _pressed(data: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed: the high bytes of small ones cost nothing."""
+    planes = np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.dtype.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unpressed(data: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, size * n)), dtype=np.uint8)
+    return np.array(planes.reshape(size, n).T, order="C").view(kind).reshape(-1)
+
+
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences."""
+    return _pressed(np.diff(keys, prepend=U64(0)))
+
+
+def _loosen(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpressed(data, U64, n), dtype=U64)
+
+
+_PACKED = "bucket int, src long, n int, bits int, keys binary, tail binary"
 
 
 def _pack(head: np.ndarray, buckets: int):
-    """Rows of packed tokens for each block of texts and bucket: keys (word, context, train, text) in order,
-    word below 2**16 a frequent word's id, else 2**16 plus the place of its hash in `tail`. Negative buckets
-    have the texts: their ids, whether these are null or train, and their numbers of tokens."""
+    """Rows of packed tokens for each block of texts and bucket: keys (word, context, train, text) in order, the
+    numbers of a word and a context having so many `bits`. Below HEAD they are frequent words' ids, else HEAD plus the
+    place of their hash in `tail`. Negative buckets have the texts: their ids, whether these are null or train, and
+    their numbers of tokens."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
         for b in batches:
-            hs, docs, size, first = [], [], 0, 0
+            hs: list[np.ndarray] = []
+            docs: list[np.ndarray] = []
+            size, first = 0, 0
+
+            def block(hi: int) -> pa.RecordBatch:
+                return _block((part << 24) | no, b.column("doc_id").slice(first, hi - first), np.concatenate(hs), np.concatenate(docs), head, buckets)  # noqa: B023
+
             for lo, hi, h, doc in _tokens(b.column("text")):
+                if hs and (size + len(h) > BLOCK_TOKENS or hi - first > BLOCK_TEXTS):
+                    yield block(lo)
+                    hs, docs, size, first, no = [], [], 0, lo, no + 1
                 hs.append(h)
                 docs.append(doc + (lo - first))
                 size += len(h)
-                if size >= BLOCK_TOKENS or hi == b.num_rows:
-                    yield _block((part << 24) | no, b.column("doc_id").slice(first, hi - first), np.concatenate(hs), np.concatenate(docs), head, buckets)
-                    hs, docs, size, first, no = [], [], 0, hi, no + 1
+            if hs:
+                yield block(b.num_rows)
+                no += 1
 
     return run
 
 
+def _numbered(h: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Ids of hashes: places in the head, else HEAD plus the place in the tail. Both are in order, and each hash is in one."""
+    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+    return np.where(head[at] == h, at, HEAD + np.searchsorted(tail, h))
+
+
 def _block(src: int, ids: pa.Array, h: np.ndarray, doc: np.ndarray, head: np.ndarray, buckets: int) -> pa.RecordBatch:
     train = np.array([not held_out(i) for i in ids.to_pylist()], dtype=bool)
     nulls = np.array(ids.is_null().to_pylist(), dtype=bool)
     per = np.bincount(doc, minlength=len(train)).astype(np.int64)
-    out = [(-1 - src % buckets, src, len(train), np.array(ids.fill_null(0), dtype=np.int64).tobytes(), nulls.tobytes() + train.tobytes() + per.tobytes())]
-    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-    known = head[at] == h
-    ctx = np.empty(len(h), dtype=np.int64)
-    ctx[0] = np.searchsorted(head, END)
-    ctx[1:] = np.where(known[:-1], at[:-1], RARE)
-    tail, place = np.unique(h[~known] | _TAIL, return_inverse=True)
-    bucket = np.empty(len(h), dtype=np.uint16 if buckets < 1 << 16 else np.int64)
-    bucket[known] = mix((at[known].astype(U64) << U64(16)) | ctx[known].astype(U64)) % U64(buckets)
-    bucket[~known] = (mix(tail) % U64(buckets))[place]
-    word = at.astype(U64)
-    word[~known] = place.astype(U64) + U64(1 << 16)
-    key = (word << U64(36)) | (ctx.astype(U64) << U64(20)) | (train[doc].astype(U64) << U64(19)) | doc.astype(U64)
+    out = [(-1 - src % buckets, src, len(train), 0, np.array(ids.fill_null(0), dtype=np.int64).tobytes(), nulls.tobytes() + train.tobytes() + per.tobytes())]
+    tail = np.setdiff1d(h, head)
+    word = _numbered(h, head, tail)
+    ctx = np.empty_like(word)
+    ctx[0], ctx[1:] = np.searchsorted(head, END), word[:-1]  # a text starts behind the end of another
+    own = mix(np.concatenate([head, np.zeros(HEAD - len(head), U64), tail]))
+    with np.errstate(over="ignore"):
+        bucket = np.where(word < HEAD, mix(own[word] + own[ctx] * U64(3)), own[word]) % U64(buckets)
+    bucket = bucket.astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    key = key[order]
+    word, ctx, doc = word[order], ctx[order], doc[order]
+    low = int(len(train)).bit_length()
     for i in np.flatnonzero(np.diff(edges)):
-        k = np.sort(key[edges[i] : edges[i + 1]])
-        w = (k >> U64(36)).astype(np.int64)
-        far = w >= 1 << 16
-        own, local = np.unique(w[far], return_inverse=True)
-        w[far] = local + (1 << 16)
-        k = (w.astype(U64) << U64(36)) | (k & U64((1 << 36) - 1))
-        out.append((int(i), src, len(k), _squeeze(k), tail[own - (1 << 16)].tobytes()))
+        w, c, d = word[edges[i] : edges[i + 1]], ctx[edges[i] : edges[i + 1]], doc[edges[i] : edges[i + 1]]
+        far = np.unique(np.concatenate([w[w >= HEAD], c[c >= HEAD]]))
+        w, c = (np.where(x < HEAD, x, HEAD + np.searchsorted(far, x)) for x in (w, c))
+        bits = max(16, (HEAD + len(far)).bit_length())
+        if 2 * bits + 1 + low > 64:
+            raise ValueError("a block of texts has too many words")
+        key = (w.astype(U64) << U64(bits + 1 + low)) | (c.astype(U64) << U64(1 + low)) | (train[d].astype(U64) << U64(low)) | d.astype(U64)
+        out.append((int(i), src, len(key), bits << 8 | low, _squeeze(np.sort(key)), tail[far - HEAD].tobytes()))
     cols = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["bucket", "src", "n", "keys", "tail"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], _names(_PACKED))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 @dataclass
 class State:
-    """What all tasks know before a sweep: for each context its customers and tables, for each frequent word
-    its customers and tables in the parent restaurant, and the parent's totals. All of fixed length."""
+    """What all tasks know before a sweep: for each frequent word its tables as a context, its customers and tables as a
+    dish of the parent restaurant, and the parent's totals. All of fixed length."""
 
-    customers: np.ndarray
     tables: np.ndarray
     word_customers: np.ndarray
     word_tables: np.ndarray
@@ -168,7 +207,7 @@ class Plan:
 
     n: int
     v: int
-    counts: np.ndarray  # of frequent words
+    counts: np.ndarray  # of frequent words, as words and as contexts: each is followed by one token
     discount: tuple[float, float] = (0.5, 0.5)
     states: list[State] = field(default_factory=list)
 
@@ -182,24 +221,42 @@ class Plan:
         return (np.maximum(c - d * t, 0) + (THETA + d * s.parent_tables) * self.base) / (THETA + s.parent_customers)
 
 
-def seat(c: np.ndarray, opens: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
-    """Tables that c customers of each dish take: a customer opens a table with odds `opens` (concentration
-    and discount times all tables, times the parent's probability) against its dish's customers less the discounts."""
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Binomial draws from uniform numbers: by inversion where the mean is small, else by the normal shape."""
+    mean, out = n * p, np.zeros(len(n))
+    large = mean >= 30
+    spread = np.sqrt(mean * (1 - p))
+    normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
+    out[large] = np.clip(np.floor(mean + spread * normal + 0.5), 0, n)[large]
+    left = np.flatnonzero(~large)
+    term = np.exp(n * np.log1p(-np.minimum(p, 1 - 1e-12)))
+    below, j = term.copy(), 0
+    while len(left := left[(below[left] < u[left]) & (out[left] < n[left]) & (term[left] > 1e-18)]):
+        term[left] *= (n[left] - j) / (j + 1) * p[left] / (1 - p[left])
+        below[left] += term[left]
+        out[left] += 1
+        j += 1
+    return out
+
+
+def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, key: np.ndarray, one_by_one: int = ONE_BY_ONE) -> np.ndarray:
+    """Tables that c customers of each dish take, in a restaurant with so many tables of other dishes: a customer opens
+    a table with odds (concentration and discount times all tables) times the parent's probability p, against the
+    dish's customers less the discounts of its tables. After the first ones customers come in blocks, whose odds are
+    those of its middle one."""
     t = np.minimum(c, 1).astype(np.float64)
     left = np.flatnonzero(c > 1)
     k = 1
     while len(left):
-        n = 1 if k < ONE_BY_ONE else max(1, k // 16)
+        n = 1 if k < one_by_one else k // BLOCK_SHARE
         n_now = np.minimum(n, c[left] - k)
-        p = opens[left] / (np.maximum(k - discount * t[left], 1e-9) + opens[left])
+        opens = (THETA + discount * (others[left] + t[left])) * p[left]
+        odds = opens / (np.maximum(k + (n_now - 1) / 2 - discount * t[left], 1e-9) + opens)
         u = unit(mix(key[left] + U64(k * 0x9E3779B97F4A7C15 & _MASK)))
         if n == 1:
-            t[left] += u < p
-        else:  # a block of customers: its number of new tables by the normal shape of their sum
-            spread = np.sqrt(n_now * p * (1 - p))
-            v = unit(mix(key[left] + U64(k * 0xD1342543DE82EF95 + 1 & _MASK)))
-            normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
-            t[left] += np.clip(np.floor(n_now * p + spread * normal + 0.5), 0, n_now)
+            t[left] += u < odds
+        else:
+            t[left] += binomial(n_now, odds, u, unit(mix(key[left] + U64(k * 0xD1342543DE82EF95 + 1 & _MASK))))
         k += n
         left = left[c[left] > k]
     return t
@@ -212,133 +269,243 @@ def _news(k: np.ndarray) -> np.ndarray:
     return new
 
 
+def _hashes(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """By id, a hash of each word."""
+    return mix(np.concatenate([head, np.zeros(HEAD - len(head), U64), tail]))
+
+
 class Bucket:
-    """The tokens of one bucket."""
-
-    def __init__(self, rows: list[dict]):
-        dictionary = [np.frombuffer(r["tail"], dtype=U64) for r in rows]
-        self.tail = np.unique(np.concatenate(dictionary))
-        self.keys, self.doc, train = [], [], []
-        for r, own in zip(rows, dictionary, strict=True):
-            k = _loosen(r["keys"], r["n"])
-            w = (k >> U64(36)).astype(np.int64)
-            far = w >= 1 << 16
-            w[far] = (np.searchsorted(self.tail, own) + (1 << 16))[w[far] - (1 << 16)]
-            pair = (w.astype(U64) << U64(16)) | ((k >> U64(20)) & U64(0xFFFF))
-            self.keys.append(pair)  # in order: places in the dictionaries are in the order of hashes
-            self.doc.append((k & U64((1 << 19) - 1)).astype(np.int32))
-            train.append(pair[(k >> U64(19)) & U64(1) == 1])
-        k = np.sort(np.concatenate(train))
-        at = np.flatnonzero(_news(k))
-        self.pair, self.c = k[at], np.diff(np.append(at, len(k)))
-        self.word, self.ctx = (self.pair >> U64(16)).astype(np.int64), (self.pair & U64(0xFFFF)).astype(np.int64)
-        self.rng = mix(np.where(self.word < 1 << 16, self.word.astype(U64), self.tail[np.maximum(self.word - (1 << 16), 0)] if len(self.tail) else U64(0)) + mix(self.ctx.astype(U64)))
-
-    def seated(self, plan: Plan, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """After each sweep: tables of each pair, and customers and tables of the bucket's rare words in the parent."""
-        rare, place = self.word >= 1 << 16, np.maximum(self.word - (1 << 16), 0)
-        t = np.ones(len(self.c))
-        n_tail = len(self.tail)
-        wc = np.bincount(place[rare], weights=t[rare], minlength=n_tail)
-        wt = np.minimum(wc, 1)
-        for i in range(sweeps):
-            s = plan.states[i]
-            p = plan.parent(s, np.where(rare, wc[place] if n_tail else 0, s.word_customers[np.minimum(self.word, CONTEXTS)]), np.where(rare, wt[place] if n_tail else 0, s.word_tables[np.minimum(self.word, CONTEXTS)]))
-            opens = (THETA + plan.discount[0] * s.tables[self.ctx]) * p
-            t = seat(self.c, opens, plan.discount[0], self.rng + U64(i + 1))
-            wc = np.bincount(place[rare], weights=t[rare], minlength=n_tail)
-            wt = seat(wc.astype(np.int64), np.full(n_tail, (THETA + plan.discount[1] * s.parent_tables) * plan.base), plan.discount[1], mix(self.tail + U64(i + 1)))
-            yield t, wc, wt
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """A partition's rows by bucket: packed, it is small; buckets are unpacked one at a time."""
-    rows = defaultdict(list)
-    for b in batches:
-        for r in b.to_pylist():
-            rows[r["bucket"]].append(r)
-    yield from sorted(rows.items())
-
-
-#: Kinds of sums that a pass returns, each with an index of fixed range.
-T_CONTEXT, T_WORD, T_TOTAL = 0, 1, 2
-_SUMS = "kind int, at int, x double"
-
-
-def _sums(plan: Plan, sweeps: int):
-    """Tables by context and frequent word after the last sweep; totals (0) parent's customers, (1) its tables
-    of rare words; after no sweep also customers by context (kind 3) and (2, 3) pairs of one and two
-    customers, (4, 5) rare words of one and two contexts."""
+    """A bucket's pairs, in order: word and context ids below HEAD, else places in `tail` behind it; training counts
+    (0 for pairs of held-out texts alone); tables. Of the tail's words: customers and tables as dishes of the parent, and
+    as contexts, over all buckets, customers (c) and tables."""
+
+    #: The first two are in order.
+    FIELDS = (("tail", U64), ("pair", U64), ("c", np.int64), ("t", np.float64), ("dish_t", np.float64), ("ctx_c", np.int64), ("ctx_t", np.float64))
+
+    def __init__(self, **of: np.ndarray):
+        for name, _ in self.FIELDS:
+            setattr(self, name, of[name])
+        self.word, self.ctx = (self.pair >> U64(32)).astype(np.int64), (self.pair & U64(0xFFFFFFFF)).astype(np.int64)
+
+    @classmethod
+    def of_tokens(cls, rows: list[dict]) -> tuple["Bucket", list[tuple[np.ndarray, np.ndarray]]]:
+        """The bucket of packed tokens, and for each row the place of each token's pair, and its text."""
+        own = [np.frombuffer(r["tail"], dtype=U64) for r in rows]
+        tail = np.unique(np.concatenate(own))
+        keys, docs, train = [], [], []
+        for r, t in zip(rows, own, strict=True):
+            k, bits, low = _loosen(r["keys"], r["n"]), r["bits"] >> 8, r["bits"] & 255
+            to = np.concatenate([np.arange(HEAD), HEAD + np.searchsorted(tail, t)]).astype(U64)
+            mask = U64((1 << bits) - 1)
+            keys.append((to[k >> U64(bits + 1 + low)] << U64(32)) | to[(k >> U64(1 + low)) & mask])  # ids keep the order of hashes
+            train.append((k >> U64(low)) & U64(1) == 1)
+            docs.append((k & U64((1 << low) - 1)).astype(np.int32))
+        pair = np.unique(np.concatenate([k[_news(k)] for k in keys]))
+        places = []
+        c = np.zeros(len(pair), np.int64)
+        for k, t in zip(keys, train, strict=True):
+            new = _news(k)
+            place = np.searchsorted(pair, k[new])[np.cumsum(new) - 1]
+            places.append(place)
+            c += np.bincount(place[t], minlength=len(pair))
+        zero = lambda kind: np.zeros(len(tail), kind)
+        got = cls(tail=tail, pair=pair, c=c, t=np.minimum(c, 1).astype(float), dish_t=zero(float), ctx_c=zero(np.int64), ctx_t=zero(float))
+        got.dish_t = np.minimum(got.dish_c(), 1)
+        return got, list(zip(places, docs, strict=True))
+
+    def dish_c(self) -> np.ndarray:
+        """The tail's words' customers in the parent. All pairs of a word outside the head are in its bucket."""
+        far = self.word >= HEAD
+        return np.bincount(self.word[far] - HEAD, weights=self.t[far], minlength=len(self.tail))
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ctx, weights=x, minlength=HEAD + len(self.tail))
+
+    def tables_at(self, s: State) -> np.ndarray:
+        """All tables of each pair's context."""
+        return np.concatenate([s.tables, self.ctx_t])[self.ctx]
+
+    def parents(self, plan: Plan, s: State) -> np.ndarray:
+        """The parent's probability of each pair's word."""
+        return plan.parent(s, np.concatenate([s.word_customers, self.dish_c()]), np.concatenate([s.word_tables, self.dish_t]))[self.word]
+
+    def sweep(self, plan: Plan, head: np.ndarray, i: int) -> None:
+        """Seats all customers anew, given the state before."""
+        s, d = plan.states[i], plan.discount
+        p, own = self.parents(plan, s), _hashes(head, self.tail)
+        with np.errstate(over="ignore"):
+            key = mix(own[self.word] + own[self.ctx] * U64(3)) + U64(i + 1)
+        self.t = seat(self.c, self.tables_at(s) - self.t, p, d[0], key)
+        self.dish_t = seat(self.dish_c().astype(np.int64), s.parent_tables - self.dish_t, np.full(len(self.tail), plan.base), d[1], own[HEAD:] + U64(i + 1))
+
+    def predict(self, plan: Plan, s: State) -> np.ndarray:
+        """The probability of each pair's word after its context."""
+        d = plan.discount[0]
+        tables = self.tables_at(s)
+        customers = np.concatenate([plan.counts, self.ctx_c])[self.ctx]
+        return (np.maximum(self.c - d * self.t, 0) + (THETA + d * tables) * self.parents(plan, s)) / (THETA + customers)
+
+    def counts(self, plan: Plan) -> np.ndarray:
+        """The training count of each pair's word."""
+        far = self.word >= HEAD
+        own = np.bincount(self.word[far] - HEAD, weights=self.c[far], minlength=len(self.tail))
+        return np.concatenate([plan.counts, own])[self.word]
+
+
+#: Rows that buckets and parts send each other, by kind: a bucket's model after a sweep; its figures of contexts outside
+#: the head, for a part; a part's sums of them, for a bucket; a bucket's figures of frequent words and totals; a model that
+#: predictions use, with what it was told after its sweep.
+MODEL, ASKED, ANSWERED, FIGURES, USED = range(5)
+_SENT = "kind int, at int, src int, n int, m int, data array<binary>"
+#: Totals among the figures: customers of the parent; tables of the tail's words there; pairs of one and of two customers;
+#: the tail's words of one and of two contexts.
+TOTALS = 6
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int32()] * 5 + [pa.list_(pa.binary())]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _names(_SENT))
+
+
+def _model(b: Bucket, at: int, kind: int = MODEL) -> tuple:
+    return (kind, at, at, len(b.tail), len(b.pair), [_squeeze(b.tail), _squeeze(b.pair), *[_pressed(getattr(b, name)) for name, _ in Bucket.FIELDS[2:]]])
+
+
+def _restored(row: dict) -> Bucket:
+    sizes = {name: row["m"] if name in ("pair", "c", "t") else row["n"] for name, _ in Bucket.FIELDS}
+    return Bucket(**{name: _loosen(x, sizes[name]) if kind is U64 else _unpressed(x, kind, sizes[name]) for (name, kind), x in zip(Bucket.FIELDS, row["data"], strict=True)})
+
+
+def _asked(b: Bucket, at: int, parts: int) -> Iterator[tuple]:
+    """For each part its hashes of the bucket's tail, with customers and tables of these contexts here."""
+    part = (b.tail % U64(parts)).astype(np.int64)
+    c, t = b.by_context(b.c)[HEAD:].astype(np.int64), b.by_context(b.t)[HEAD:].astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edges)):
+        own = order[edges[p] : edges[p + 1]]
+        yield (ASKED, int(p), at, len(own), 0, [_squeeze(b.tail[own]), _pressed(c[own]), _pressed(t[own])])
+
+
+def _figures(b: Bucket, at: int, first: bool) -> tuple:
+    near = b.word < HEAD
+    ctx, word = b.by_context(b.t)[:HEAD], np.bincount(b.word[near], weights=b.t[near], minlength=HEAD)
+    dishes = b.dish_c()
+    total = [b.t.sum(), b.dish_t.sum(), *[(x == k).sum() if first else 0 for x in (b.c, dishes) for k in (1, 2)]]
+    return (FIGURES, 0, at, 0, 0, [_pressed(ctx), _pressed(word), np.array(total, dtype=float).tobytes()])
+
+
+def _started(parts: int):
+    """A bucket's packed tokens to its model, figures and questions."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = key[0].as_py()
+        b, _ = Bucket.of_tokens(table.to_pylist())
+        return _sent([_model(b, at), _figures(b, at, True), *_asked(b, at, parts)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx, word, tot, cus = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1), np.zeros(6), np.zeros(CONTEXTS + 1)
-        for _, rows in _by_bucket(batches):
-            b = Bucket(rows)
-            rare = b.word >= 1 << 16
-            if sweeps:
-                for t, wc, wt in b.seated(plan, sweeps):
-                    pass
-            else:
-                t = np.ones(len(b.c))
-                wc = np.bincount(b.word[rare] - (1 << 16), minlength=len(b.tail))
-                wt = np.minimum(wc, 1)
-                cus += np.bincount(b.ctx, weights=b.c, minlength=CONTEXTS + 1)
-                tot[2:] += (b.c == 1).sum(), (b.c == 2).sum(), (wc == 1).sum(), (wc == 2).sum()
-            ctx += np.bincount(b.ctx, weights=t, minlength=CONTEXTS + 1)
-            word += np.bincount(b.word[~rare], weights=t[~rare], minlength=CONTEXTS + 1)
-            tot[:2] += t.sum(), wt.sum()
-        for kind, x in enumerate((ctx, word, tot, cus)):
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["kind", "at", "x"])
+    return run
+
+
+def _answered(key: tuple, table: pa.Table) -> pa.Table:
+    """A part's sums of customers and tables of its contexts, for each bucket that asked."""
+    rows = table.to_pylist()
+    hashes = [_loosen(r["data"][0], r["n"]) for r in rows]
+    all_ = np.unique(np.concatenate(hashes))
+    sums = np.zeros((2, len(all_)), np.int64)
+    places = [np.searchsorted(all_, h) for h in hashes]
+    for r, place in zip(rows, places, strict=True):
+        for k in (0, 1):
+            sums[k, place] += _unpressed(r["data"][1 + k], np.int64, r["n"])
+    return _sent([(ANSWERED, r["src"], key[0].as_py(), r["n"], 0, [_pressed(sums[0, p]), _pressed(sums[1, p])]) for r, p in zip(rows, places, strict=True)])
+
+
+def _told(b: Bucket, answers: list[dict], parts: int) -> None:
+    """Takes a part's answers into a bucket: they come in the order of its hashes of that part."""
+    part = (b.tail % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for r in answers:
+        own = order[edges[r["src"]] : edges[r["src"] + 1]]
+        b.ctx_c[own] = _unpressed(r["data"][0], np.int64, r["n"])
+        b.ctx_t[own] = _unpressed(r["data"][1], np.int64, r["n"])
+
+
+def _swept(plan: Broadcast, head: Broadcast, parts: int, i: int):
+    """A bucket's model after i sweeps and what it was told to the model after the next, with its figures and questions,
+    and to the one that predictions use, if they do."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows, at, out = table.to_pylist(), key[0].as_py(), []
+        b = _restored(next(r for r in rows if r["kind"] == MODEL))
+        _told(b, [r for r in rows if r["kind"] == ANSWERED], parts)
+        if i > SWEEPS - KEPT:
+            out.append(_model(b, at, USED))
+        if i < SWEEPS:
+            b.sweep(plan.value, head.value, i)
+            out += [_model(b, at), _figures(b, at, False), *_asked(b, at, parts)]
+        return _sent(out)
 
     return run
 
 
-def _collected(packed: DataFrame, plan: Plan, sweeps: int) -> list[np.ndarray]:
-    """The sums of all partitions: at most three arrays of CONTEXTS + 1 reach the driver."""
-    out = [np.zeros(CONTEXTS + 1) for _ in range(4)]
-    for r in packed.mapInArrow(_sums(plan, sweeps), _SUMS).groupBy("kind", "at").agg(F.sum("x").alias("x")).collect():
-        out[r["kind"]][r["at"]] = r["x"]
-    return out
+def _state(sent: DataFrame, plan: Plan, head: np.ndarray, i: int) -> np.ndarray:
+    """Adds the state after so many sweeps to the plan. Partitions add up their buckets' figures; so many rows of three
+    arrays reach the driver one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(HEAD), np.zeros(HEAD), np.zeros(TOTALS)]
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                for s, x in zip(sums, (_unpressed(data[0], float, HEAD), _unpressed(data[1], float, HEAD), np.frombuffer(data[2])), strict=True):
+                    s += x
+        at = [np.flatnonzero(x) for x in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(3), list(map(len, at))).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate([s[a] for s, a in zip(sums, at, strict=True)]))], ["kind", "at", "x"])
+
+    got = sent.where(F.col("kind") == FIGURES).select("data").mapInArrow(run, "kind int, at int, x double").groupBy("kind", "at").agg(F.sum("x").alias("x")).toArrow()
+    ctx, word, tot = np.zeros(HEAD), np.zeros(HEAD), np.zeros(TOTALS)
+    for k, out in enumerate((ctx, word, tot)):
+        own = got.filter(pc.equal(got["kind"], k))
+        out[own["at"].to_numpy()] = own["x"].to_numpy()
+    if i == 0:
+        plan.discount = (_discount(tot[2], tot[3]), _discount(tot[4] + (word == 1).sum(), tot[5] + (word == 2).sum()))
+        tables = np.minimum(word, 1)
+    else:
+        s = plan.states[-1]
+        own = _hashes(head, np.zeros(0, U64))
+        tables = seat(word.astype(np.int64), s.parent_tables - s.word_tables, np.full(HEAD, plan.base), plan.discount[1], own + U64(i))
+    plan.states.append(State(ctx, word, tables, tot[0], tot[1] + tables.sum()))
+    return tot
 
 
 def _discount(one: float, two: float) -> float:
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
 
 
-def _scored(plan: Plan):
-    """For each batch of texts and bucket the sums of its tokens: score, base score and known tokens of each text."""
+_SCORED = "src long, bucket int, n int, data binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_bucket(batches):
-            b = Bucket(rows)
-            n_tail = len(b.tail)
-            seen = np.bincount(b.word[b.word >= 1 << 16] - (1 << 16), weights=b.c[b.word >= 1 << 16], minlength=n_tail)
-            asked = np.unique(np.concatenate([k[_news(k)] for k in b.keys]))
-            word, ctx = (asked >> U64(16)).astype(np.int64), (asked & U64(0xFFFF)).astype(np.int64)
-            rare, place = word >= 1 << 16, np.maximum(word - (1 << 16), 0)
-            at = np.minimum(np.searchsorted(b.pair, asked), max(0, len(b.pair) - 1))
-            has = b.pair[at] == asked if len(b.pair) else np.zeros(len(asked), bool)
-            c = np.where(has, b.c[at], 0) if len(b.pair) else np.zeros(len(asked))
-            total = np.where(rare, seen[place] if n_tail else 0, plan.counts[np.minimum(word, CONTEXTS)])
-            p = np.zeros(len(asked))
-            for i, (t, wc, wt) in enumerate(b.seated(plan, SWEEPS)):
-                if i < SWEEPS - KEPT:
-                    continue
-                s, d = plan.states[i + 1], plan.discount[0]
-                tables = np.where(has, t[at], 0) if len(b.pair) else np.zeros(len(asked))
-                up = plan.parent(s, np.where(rare, wc[place] if n_tail else 0, s.word_customers[np.minimum(word, CONTEXTS)]), np.where(rare, wt[place] if n_tail else 0, s.word_tables[np.minimum(word, CONTEXTS)]))
-                p += (np.maximum(c - d * tables, 0) + (THETA + d * s.tables[ctx]) * up) / (THETA + s.customers[ctx])
-            score = np.log10(p / KEPT)
-            base = np.log10((total + 1) / (plan.n + plan.v + 1))
-            for r, doc, k in zip(rows, b.doc, b.keys, strict=True):
-                new = _news(k)
-                to = np.searchsorted(asked, k[new])[np.cumsum(new) - 1]
+
+def _scored(plan: Broadcast):
+    """Of a bucket's tokens and its models after the kept sweeps, for each block of texts the sums of its tokens: score,
+    base score and known tokens of each text."""
+
+    def run(key: tuple, tokens: pa.Table, models: pa.Table) -> pa.Table:
+        out = []
+        if tokens.num_rows:
+            plan_, rows = plan.value, tokens.to_pylist()
+            fresh, places = Bucket.of_tokens(rows)
+            p = np.zeros(len(fresh.pair))
+            for r in models.to_pylist():  # `src` tells the state that a model goes with
+                p += _restored(r).predict(plan_, plan_.states[r["src"]])
+            total = fresh.counts(plan_)
+            score, base = np.log10(p / KEPT), np.log10((total + 1) / (plan_.n + plan_.v + 1))
+            for r, (place, doc) in zip(rows, places, strict=True):
                 n = int(doc.max()) + 1
                 used = np.flatnonzero(np.bincount(doc, minlength=n))
-                sums = [np.bincount(doc, weights=x[to], minlength=n)[used] for x in (score, base, total > 0)]
-                data = used.astype(np.int32).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r["src"]], pa.int64()), pa.array([len(used)], pa.int32()), pa.array([data], pa.binary())], ["src", "n", "data"])
+                sums = [np.bincount(doc, weights=x[place], minlength=n)[used] for x in (score, base, total > 0)]
+                out.append((r["src"], key[0].as_py(), len(used), used.astype(np.int32).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes()))
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], _names(_SCORED))
 
     return run
 
@@ -354,7 +521,7 @@ def _by_text(table: pa.Table) -> pa.Table:
     ids, rest = np.frombuffer(texts["ids"], dtype=np.int64), texts["data"]
     nulls, train, per = np.frombuffer(rest[:n], dtype=bool), np.frombuffer(rest[n : 2 * n], dtype=bool), np.frombuffer(rest[2 * n :], dtype=np.int64)
     sums = np.zeros((3, n))
-    for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["data"]):
+    for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"]):
         m, data = r["n"], r["data"]
         used = np.frombuffer(data[: 4 * m], dtype=np.int32)
         sums[0, used] += np.frombuffer(data[4 * m : 12 * m], dtype=np.float64)
@@ -365,34 +532,39 @@ def _by_text(table: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame) -> DataFrame:
     """One row for each of `docs(doc_id, text)`: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score. A null text is an empty one, whose only token is its end. Equal rows each have a row."""
+    base_score, score. A null text is an empty one, whose only token is its end. Equal rows each have a row; without
+    texts there are none. A null doc_id counts as the empty text for holding out."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = checkpoint(word_counts(docs))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(CONTEXTS - 1).collect()  # of fixed length
-    of = {int(r["h"]) & (2**64 - 1): r["c"] for r in top}
+    top = counts.orderBy(F.desc("c"), "h").limit(HEAD - 1).toArrow()  # of fixed length
+    of = dict(zip(top["h"].to_numpy().view(U64).tolist(), top["c"].to_pylist(), strict=True))
     of.setdefault(int(END), 0)
     head = np.array(sorted(of), dtype=U64)
-    plan = Plan(n, v, np.zeros(CONTEXTS + 1))
+    plan = Plan(n, v, np.zeros(HEAD))
     plan.counts[: len(head)] = [of[int(h)] for h in head]
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_TOKENS))
-    shared = spark.sparkContext.broadcast(head)
+    shared = spark.sparkContext.broadcast(head)  # half a megabyte
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pack(shared.value, buckets)(batches)
 
     packed = checkpoint(docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket"))
-    texts = packed.where("bucket < 0").select("src", "n", F.col("keys").alias("ids"), F.col("tail").alias("data"))
+    release(spark)
+    texts = packed.where("bucket < 0").select("src", "bucket", "n", F.col("keys").alias("ids"), F.col("tail").alias("data"))
     tokens = packed.where("bucket >= 0")
-    ctx, word, tot, cus = _collected(tokens, plan, 0)
-    plan.discount = (_discount(tot[2], tot[3]), _discount(tot[4] + (word == 1).sum(), tot[5] + (word == 2).sum()))
-    plan.states.append(State(cus, ctx, word, np.minimum(word, 1), tot[0], tot[1] + np.minimum(word, 1).sum()))
-    for i in range(SWEEPS):
-        ctx, word, tot, _ = _collected(tokens, plan, i + 1)
-        s = plan.states[-1]
-        tables = seat(word.astype(np.int64), np.full(len(word), (THETA + plan.discount[1] * s.parent_tables) * plan.base), plan.discount[1], mix(np.arange(len(word)).astype(U64) + U64(i + 1)))
-        plan.states.append(State(cus, ctx, word, tables, tot[0], tot[1] + tables.sum()))
-    told = tokens.mapInArrow(_scored(plan), "src long, n int, data binary").withColumn("ids", F.lit(None).cast("binary"))
+    sent = checkpoint(tokens.groupBy("bucket").applyInArrow(_started(buckets), _SENT))
+    models = None
+    for i in range(SWEEPS + 1):
+        _state(sent, plan, head, i)
+        known = spark.sparkContext.broadcast(plan)  # three arrays of fixed length for each sweep
+        asked = sent.where(F.col("kind") == ASKED).repartition(buckets, "at")
+        both = sent.where(F.col("kind") == MODEL).unionByName(asked.groupBy("at").applyInArrow(_answered, _SENT))
+        sent = checkpoint(both.repartition(buckets, "at").groupBy("at").applyInArrow(_swept(known, shared, buckets, i), _SENT))
+        used = sent.where(F.col("kind") == USED).withColumn("src", F.lit(i))
+        models = used if models is None else models.unionByName(used)
+        release(spark)
+    told = tokens.groupBy("bucket").cogroup(models.repartition(buckets, "at").groupBy("at")).applyInArrow(_scored(known), _SCORED).withColumn("ids", F.lit(None).cast("binary"))
     got = told.unionByName(texts).groupBy("src").applyInArrow(_by_text, _OUT)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
