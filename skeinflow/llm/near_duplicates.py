@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import brief, checkpoint, components, distinct, grams, mix, passes, release, signed, unit
+from .common import brief, checkpoint, components, distinct, grams, mix, passes, release, signed, tidied, unit
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of rows: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
@@ -128,6 +128,7 @@ def near(a: str, b: str, least: float) -> Column:
 
 
 def _signed_texts(n_bands: int, rows: int, counted: bool):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, words in passes(b.column("text")):
@@ -184,7 +185,7 @@ def _sketched(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(near("ma", "mb", least)).select("a", "b")
 
 
-def linked(buckets: DataFrame, marks: DataFrame, texts: DataFrame, check, least: float, star_rounds: int = 2) -> DataFrame:
+def linked(buckets: DataFrame, marks: DataFrame, texts: DataFrame, check, least: float, star_rounds: int = 2, ready: bool = False) -> DataFrame:
     """Rows (node, root) of the components of similar texts: of `buckets(bucket, key)`, the keys that share a
     bucket are compared by their sketches, `marks(key, n, bits)`, and where these can be similar to the degree `least`,
     by `check` on their `texts(key, text)`.
@@ -193,12 +194,17 @@ def linked(buckets: DataFrame, marks: DataFrame, texts: DataFrame, check, least:
     of many copies costs one comparison for each. Then, in buckets that still hold several components, each
     key outside the bucket's largest component meets the keys of the other components. A pair within a component needs
     no comparison, and a join gives only pairs whose sketches can be similar, so that a group of texts that are
-    all somewhat alike gives few; no other pair of a bucket is left out."""
+    all somewhat alike gives few; no other pair of a bucket is left out.
+    ready: marks and texts are written already and hold each key once."""
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = checkpoint(buckets.join(shared, "bucket").select("bucket", "key"))
-    need = shared.select("key").distinct()
-    marks = checkpoint(marks.join(need, "key", "left_semi").select("key", "n", "bits").dropDuplicates(["key"]))
-    own_texts = checkpoint(texts.join(need, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))  # the one shuffle of texts
+    need = checkpoint(shared.select("key").distinct())
+    own_texts = texts
+    if not ready:
+        few = brief(need)  # then the texts that meet no other aren't shuffled
+        marks = checkpoint(marks.join(few, "key", "left_semi").select("key", "n", "bits").dropDuplicates(["key"]))
+        own_texts = checkpoint(texts.join(few, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
+    release(need.sparkSession)
     tested, edges, roots = None, None, None
     for turn in range(star_rounds + 1):
         if roots is None:
@@ -255,15 +261,18 @@ def groups(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, least: float
     return linked(buckets, marks, texts, _checked(least, counted), least)
 
 
-def classes(docs: DataFrame, **how) -> DataFrame:
+def classes(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
     """`docs` (doc_id, text, ...; columns of any name stay, these two are replaced) with class_id, the least doc_id of the document's group of near and exact
     copies, and n_in_class, the documents of the group. A document without words is a group of its own, as is
-    one of a null doc_id without other copies, whose class_id is null."""
+    one of a null doc_id without other copies, whose class_id is null.
+
+    keep: the columns of `docs` to return, by default all. Name those needed where the texts aren't, as rows are shuffled."""
     docs = docs.drop("class_id", "n_in_class")
-    rows = _keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
-    found = checkpoint(groups(docs, **how))
+    keep = docs.columns if keep is None else keep
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = rows.join(found.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_class", F.when(word, F.coalesce("root", "_key")))
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))).select("doc_id", "_key", "_row", word.alias("_word"))
+    found = checkpoint(groups(docs, **how))
+    rows = rows.join(brief(found).withColumnRenamed("node", "_key"), "_key", "left").withColumn("_class", F.when(F.col("_word"), F.coalesce("root", "_key")))
     # One row for each class: copies meet before the shuffle.
     size = rows.where("_class is not null").groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
     out = rows.join(size, F.col("_class") == F.col("_c"), "left")
