@@ -9,24 +9,27 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from calendar import monthrange
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free
+
 ROUNDS = 10
-#: Days that a pseudonym of a date can be.
-FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
-DEFAULT_KEY = "corpus-pseudonyms"
+#: First days of the ranges within which dates are permuted, so that living people's stay likely ones.
+RANGES = (date.min, date(1900, 1, 1), date(2100, 1, 1))
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 #: One pass finds all kinds; the first alternative that fits at a place wins.
 FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+\-]*[^\W_][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)"
+    r"(?<![A-Za-z0-9._%+\-])(?P<email>(?=[._%+\-]*+[A-Za-z0-9])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)"
     r"|(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"
     r"|(?<![\w\-/.])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w\-/]|\.\d)"
     r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
@@ -74,6 +77,23 @@ class Feistel:
         return n
 
 
+def _end(first: date) -> int:
+    """The ordinal behind the last day of a range."""
+    return min((x.toordinal() for x in RANGES if x > first), default=date.max.toordinal() + 1)
+
+
+def _late(first: date) -> tuple[np.ndarray, int]:
+    """For the months of a range: how many days after the twelfth, which no month can be, are before it; and in all."""
+    return _late_counts(first.year, date.fromordinal(_end(first) - 1).year)
+
+
+@lru_cache(maxsize=4)
+def _late_counts(first: int, last: int) -> tuple[np.ndarray, int]:
+    n = np.array([monthrange(y, m)[1] - 12 for y in range(first, last + 1) for m in range(1, 13)])
+    before = np.concatenate([[0], np.cumsum(n)])
+    return before[:-1], int(before[-1])
+
+
 def luhn_ok(digits: str) -> bool:
     return _luhn_sum(digits) % 10 == 0
 
@@ -89,7 +109,7 @@ def _luhn_sum(digits: str) -> int:
 class Pseudonyms:
     """Permutes values within their formats under a key. back: the other way round."""
 
-    def __init__(self, key: str = DEFAULT_KEY, back: bool = False):
+    def __init__(self, key: str, back: bool = False):
         self.key, self.back = key, back
         self._nets = lru_cache(maxsize=4096)(lambda kind, size: Feistel(key, kind, size))
         #: By value, so that a value seen again costs nothing; bounded.
@@ -133,21 +153,30 @@ class Pseudonyms:
         return ".".join(map(str, n.to_bytes(4, "big")))
 
     def _date(self, v: str) -> str | None:
+        """Where the month stands first, a day that can't be one says that the day does; such days are permuted among
+        themselves, so that the way back reads them alike."""
         sep = next(c for c in v if not c.isdigit())
         parts = v.split(sep)
-        order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0) if sep == "." else (2, 0, 1)
-        y, m, d = (int(parts[i]) for i in order)
-        try:
-            day = date(y, m, d)
-        except ValueError:
-            return None
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
-        n = self.number("date", (day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1)
-        got = FIRST_DAY + timedelta(n)
-        for i, x in zip(order, (f"{got.year:04}", f"{got.month:02}", f"{got.day:02}"), strict=True):
-            parts[i] = x
-        return sep.join(parts)
+        orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0)] if sep == "." else [(2, 0, 1), (2, 1, 0)]
+        for order in orders:
+            try:
+                day = date(*(int(parts[i]) for i in order))
+            except ValueError:
+                continue
+            late = order != orders[0]
+            first = max(x for x in RANGES if x <= day)
+            if late:
+                before, size = _late(first)
+                n = self.number(f"late{first}", int(before[12 * (day.year - first.year) + day.month - 1]) + day.day - 13, size)
+                month = int(np.searchsorted(before, n, side="right")) - 1
+                got = date(first.year + month // 12, month % 12 + 1, n - int(before[month]) + 13)
+            else:
+                n = self.number(f"date{first}", day.toordinal() - first.toordinal(), _end(first) - first.toordinal())
+                got = date.fromordinal(first.toordinal() + n)
+            for i, x in zip(order, (f"{got.year:04}", f"{got.month:02}", f"{got.day:02}"), strict=True):
+                parts[i] = x
+            return sep.join(parts)
+        return None
 
     def _ssn(self, v: str) -> str | None:
         """Area 001-899 but 666, group and serial not zero, and the pseudonym likewise."""
@@ -258,10 +287,12 @@ def replace(text: str, to: Pseudonyms) -> tuple[str, dict[str, int]]:
 MAYBE = re.compile(r"@|\d")
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", back: bool = False) -> DataFrame:
-    """Puts pseudonyms into the text column, and adds pii_counts (map of kind to number).
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
+    """Puts pseudonyms into the text column, and adds pii_counts (map of kind to number), in place of a column of
+    that name.
 
-    A null text stays null with an empty map; other columns stay. Rows are independent: no shuffle."""
+    key: the secret with which `back` undoes them. A null text stays null with an empty map, an empty one stays;
+    other columns stay, and equal rows get equal texts. Rows are independent: no shuffle."""
     out = T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))])
 
     @F.pandas_udf(out)
@@ -271,11 +302,18 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", ba
             got = [(None, {}) if t is None else replace(t, to) if MAYBE.search(t) else (t, {}) for t in s]
             yield pd.DataFrame({"text": [x[0] for x in got], "counts": [x[1] for x in got]})
 
-    got = docs.withColumn("_pii", put(F.col(text)))
-    return got.withColumn(text, F.col("_pii.text")).withColumn("pii_counts", F.col("_pii.counts")).drop("_pii")
+    made = free(docs, "_pii")
+    got = docs.withColumn(made, put(F.col(f"`{text}`")))
+    return got.withColumns({text: F.col(f"{made}.text"), "pii_counts": F.col(f"{made}.counts")}).drop(made)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names in spark.skeinflow.pseudonyms.key; without one, a sample key, whose pseudonyms
+    any reader of this file can undo."""
+    return spark.conf.get("spark.skeinflow.pseudonyms.key", "a sample key, not a secret")
 
 
-def pii_report(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pii_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the text with pseudonyms, its SHA-256, and the number of values by kind and in all."""
     out = pseudonymise(docs.select("doc_id", "text"), key)
     n = F.aggregate(F.map_values("pii_counts"), F.lit(0).cast("long"), lambda s, x: s + x)

@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
 def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_report(table(spark, sf_dir, "documents"))
+    return pii.pii_report(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_controlled_rules": quality_rules.SQL}
+    return {"op6_controlled_rules": quality_rules.SQL, "op7_hash_tree_shards": sharding.SQL}
