@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of ECMAScript, as a regular expression class that Java and RE2 both read.
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: Fixed value: the same, sign by sign.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Decimal numbers with sign, fraction and exponent; hexadecimal, octal and binary forms are not taken.
 DECIMAL = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 MARKER = "{TOPIC}"

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jstext
+from ..functions import jstext, labels
 from .ordered import by_number, running
 
 
@@ -24,11 +24,11 @@ def _closes() -> Column:
     return F.col("kind").isin("done", "clear")
 
 
-def segments(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
-    """The log with `segment`, the number of earlier `done` and `clear` events of the session, `segment_total`,
+def segments(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None, stamp: str | None = None) -> DataFrame:
+    """The log, and its column `stamp`, with `segment`, the number of earlier `done` and `clear` events of the session, `segment_total`,
     `clears`, `clears_total`, and `question`, the last final transcript so far."""
     block = by_number(order[0]) if block is None else block
-    known = log.where(F.col("kind").isin("final", "chunk", "done", "clear")).select("session", "kind", "text", *order)
+    known = log.where(F.col("kind").isin("final", "chunk", "done", "clear")).select("session", "kind", "text", *order, *[c for c in [stamp] if c and c not in order])
     return running(known, ["session"], order, block, counts={"segment": _closes(), "clears": F.col("kind") == "clear"}, lasts={"question": _text("final")})
 
 
@@ -36,22 +36,25 @@ def _draft(order: Sequence[str]) -> Column:
     return F.expr(f"coalesce(listagg(case when kind = 'chunk' then text end, '') within group (order by {', '.join(order)}), '')")
 
 
-def items(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
+def items(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None, stamp: str | None = None) -> DataFrame:
     """All questions with their answers, also those that a later `clear` hides: session, the order columns of the
-    `done` event, question, answer, visible. Blank answers and answers without a question are none.
+    `done` event and its `stamp`, the time that its source gave it, question, answer, visible. Blank answers and
+    answers without a question are none.
 
     Only drafts that a `done` or `clear` ends are put together: one that stays open is no item."""
-    rows = segments(log, order, block).where("kind <> 'final'").where("segment < segment_total")
+    rows = segments(log, order, block, stamp).where("kind <> 'final'").where("segment < segment_total")
+    order_ = [*order, *[c for c in [stamp] if c and c not in order]]
     end = lambda c: F.max(F.when(F.col("kind") == "done", F.col(c))).alias(c)  # noqa: E731  one event ends a segment
-    drafts = rows.groupBy("session", "segment").agg(_draft(order).alias("draft"), *[end(c) for c in (*order, "question", "clears", "clears_total")])
+    drafts = rows.groupBy("session", "segment").agg(_draft(order).alias("draft"), *[end(c) for c in (*order_, "question", "clears", "clears_total")])
     done = drafts.where(F.col(order[0]).isNotNull()).withColumn("answer", jstext.trim(F.col("draft")))
     kept = done.where("question <> '' and answer <> ''")
-    return kept.select("session", *order, "question", "answer", (F.col("clears") == F.col("clears_total")).alias("visible"))
+    return kept.select("session", *order_, "question", "answer", (F.col("clears") == F.col("clears_total")).alias("visible"))
 
 
-def feed(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
-    """The items that the user sees; newest first is by descending order columns."""
-    return items(log, order, block).where("visible").drop("visible")
+def feed(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None, stamp: str | None = None) -> DataFrame:
+    """The items that the user sees; newest first is by descending order columns. A log with late results goes
+    through `status.heard` first."""
+    return items(log, order, block, stamp).where("visible").drop("visible")
 
 
 def newest_first(shown: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
@@ -67,8 +70,10 @@ def _last(log: DataFrame, order: Sequence[str], kinds: Sequence[str]) -> DataFra
 
 
 def live_transcript(log: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
-    """session, transcript: the last transcript of any kind, empty after `clear`."""
-    got = _last(log, order, ("interim", "final", "clear"))
+    """session, transcript: the last transcript of any kind, errors of the speech service being some, empty after
+    `clear`. A log with late results goes through `status.heard` first."""
+    said = log.withColumn("text", F.when(F.col("kind") == "error", labels.failure("stt", F.col("text"))).otherwise(F.col("text")))
+    got = _last(said, order, ("interim", "final", "error", "clear"))
     return got.select("session", F.when(F.col("_e.kind") == "clear", "").otherwise(F.col("_e.text")).alias("transcript"))
 
 

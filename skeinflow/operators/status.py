@@ -1,7 +1,9 @@
 """The status of sessions, and what is said of their audio.
 
-Kinds of the log: `start` and `stop` as the user asks for them, `final` transcripts, `done`, `error` of the
-speech service, `audio` chunks (a null text is an empty chunk). A session is active from a start to the next stop."""
+Kinds of the log: `start` and `stop` as the user asks for them, `failed` where a start fails (the user's side then
+stops), `keys` where new keys are saved (the pipeline is dropped without a stop: its connection stays open, but gets no
+audio and no stop), `interim` and `final` transcripts, `done`, `error` of the speech service, `audio` chunks (a null
+text is an empty chunk). A session is active from a start to the next stop, failed start or saving of keys."""
 
 from __future__ import annotations
 
@@ -13,53 +15,85 @@ from pyspark.sql import functions as F
 from ..functions import labels, question
 from .ordered import by_number, running
 
+#: Kinds that switch a session on or off.
+SWITCHES = ("start", "stop", "failed", "keys")
+#: Kinds that come from the speech service.
+RESULTS = ("interim", "final", "error")
+
 
 def activity(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
-    """The log with `active` (before the event), `starts` and `stops` (earlier events of these kinds)."""
+    """The log with, before each event: `active`; `piped`, whether there is a pipeline, be it stopped; `open`, whether a
+    connection is, be it one whose pipeline was dropped; `closed`, whether the last switch but for saved keys was off;
+    `starts`, start calls so far; `stops`, switches off so far."""
     block = by_number(order[0]) if block is None else block
     kind = F.col("kind")
-    got = running(log, ["session"], order, block, counts={"starts": kind == "start", "stops": kind == "stop"}, before={"_switch": F.when(kind.isin("start", "stop"), kind)})
-    return got.withColumn("active", F.coalesce(F.col("_switch") == "start", F.lit(False))).drop("_switch", "starts_total", "stops_total")
+    got = running(log, ["session"], order, block, counts={"starts": kind == "start", "stops": kind.isin("stop", "failed", "keys")}, before={"_switch": F.when(kind.isin(*SWITCHES), kind), "_asked": F.when(kind.isin("start", "stop", "failed"), kind), "_pipe": F.when(kind.isin("start", "keys"), kind)})
+    on = lambda c: F.coalesce(F.col(c) == "start", F.lit(False))
+    got = got.withColumns({"active": on("_switch"), "piped": on("_pipe")}).drop("starts_total", "stops_total")
+    # Where a session's first pipeline was dropped: few switches tell, one row for such a session.
+    switches = running(log.where(kind.isin(*SWITCHES)).select("session", "kind", *order), ["session"], order, block, before={"_before": kind})
+    dropped = switches.where("kind = 'keys' and _before = 'start'").groupBy(F.col("session").alias("_s")).agg(F.min(F.struct(*order)).alias("_from"))
+    got = got.join(dropped, F.col("session") == F.col("_s"), "left")
+    apart = F.coalesce(F.struct(*order) > F.col("_from"), F.lit(False))
+    closed = F.coalesce(F.col("_asked").isin("stop", "failed"), F.lit(False))
+    return got.withColumns({"open": F.col("active") | apart, "closed": closed}).drop("_switch", "_asked", "_pipe", "_s", "_from")
+
+
+def heard(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
+    """The log without late results: what the speech service sends after a stop or a failed start is lost, unless a
+    connection is still open. A session whose log tells of no switch is one of results alone and stays whole."""
+    rows = activity(log, order, block)
+    return rows.where(~(F.col("kind").isin(*RESULTS) & F.col("closed") & ~F.col("open"))).select(*log.columns)
 
 
 def timeline(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
     """session, the order columns and status, one row for each status that is sent.
 
-    Starting an active session and stopping an inactive one send nothing; transcripts and errors after a stop
-    are lost. An answer that is done sends `capturing`, also after a stop."""
+    Starting an active session and stopping an inactive one send nothing; transcripts and errors without an open
+    connection are lost. An answer that is done sends `capturing`, also after a stop. A failed start stops a session
+    that is active; saving keys sends nothing, and a stop after it sends nothing either."""
     rows = question.classified(activity(log.select("session", "kind", "text", *order), order, block))
-    kind, active = F.col("kind"), F.col("active")
-    status = (
+    return rows.withColumn("status", _sent()).where("status is not null").select("session", *order, "status")
+
+
+def _sent() -> Column:
+    kind, active, open_ = F.col("kind"), F.col("active"), F.col("open")
+    return (
         F.when((kind == "start") & ~active, "capturing")
-        .when((kind == "stop") & active, "idle")
-        .when((kind == "final") & active & F.col("is_question"), "answering")
-        .when((kind == "error") & active, "error")
+        .when(kind.isin("stop", "failed") & active, "idle")
+        .when((kind == "final") & open_ & F.col("is_question"), "answering")
+        .when((kind == "error") & open_, "error")
         .when(kind == "done", "capturing")
     )
-    return rows.withColumn("status", status).where("status is not null").select("session", *order, "status")
 
 
 def last_status(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
-    """session, status, running and label: how each session ends, `idle` before any status."""
-    last = timeline(log, order, block).groupBy("session").agg(F.max_by("status", F.struct(*order)).alias("_status"))
-    switch = log.where("session is not null").groupBy("session").agg(F.max_by("kind", F.when(F.col("kind").isin("start", "stop"), F.struct(*order))).alias("_switch"))
-    both = switch.join(last, "session", "left")
+    """session, status, running and label: how each session ends in the user's view, `idle` before any status.
+
+    The view also sets statuses itself: `capturing` when a start succeeds while it isn't running, `idle` at its stop,
+    and `error` when a start fails, after which it isn't running."""
+    place = F.struct(*order)
+    rows = question.classified(activity(log.select("session", "kind", "text", *order), order, block))
+    kind = F.col("kind")
+    own = F.when(kind == "failed", "error").when((kind == "stop") & (F.col("starts") > 0) & ~F.col("closed"), "idle").when((kind == "start") & ((F.col("starts") == 0) | F.col("closed")), "capturing")
+    shown = rows.withColumn("_own", F.coalesce(own, _sent()))
+    ends = shown.groupBy("session").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), place)).alias("_status"), F.max_by("kind", F.when(kind.isin("start", "stop", "failed"), place)).alias("_switch"))
     running_ = F.coalesce(F.col("_switch") == "start", F.lit(False))
     status = F.coalesce("_status", F.lit("idle"))
-    return both.select("session", status.alias("status"), running_.alias("running"), labels.status_label(running_, status).alias("label"))
+    return ends.select("session", status.alias("status"), running_.alias("running"), labels.status_label(running_, status).alias("label"))
 
 
 def audio_kept(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
-    """The audio chunks of active sessions; those before a start or after a stop are dropped."""
+    """The audio chunks of active sessions; those before a start, after a stop or after keys were saved are dropped."""
     rows = activity(log, order, block)
     return rows.where("kind = 'audio' and active and text is not null").select(*log.columns)
 
 
 def audio_counts(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
-    """session, starts, chunks: chunks that are not empty since each start call, also of an inactive session, from the
-    first start on."""
+    """session, starts, chunks: chunks that are not empty since each start call, also of an inactive session, while
+    there is a pipeline."""
     rows = activity(log, order, block)
-    return rows.where("kind = 'audio' and text is not null and starts > 0").groupBy("session", "starts").agg(F.count("*").alias("chunks"))
+    return rows.where("kind = 'audio' and text is not null and piped").groupBy("session", "starts").agg(F.count("*").alias("chunks"))
 
 
 def diagnostics(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
@@ -68,7 +102,7 @@ def diagnostics(log: DataFrame, order: Sequence[str] = ("seq",), block: Column |
     rows = activity(log, order, block)
     place = F.min(F.struct(*order)).alias("_p")
     sound = rows.where("kind = 'audio' and text is not null")
-    heard = sound.where("starts > 0").groupBy("session", "starts").agg(place).select("session", "_p.*", F.lit(labels.FIRST_SOUND).alias("text"))
+    heard = sound.where("piped").groupBy("session", "starts").agg(place).select("session", "_p.*", F.lit(labels.FIRST_SOUND).alias("text"))
     sent = sound.where("active").groupBy("session", "stops").agg(place).select("session", "_p.*", F.lit(labels.FIRST_SENT).alias("text"))
     connected = rows.where("kind = 'start' and not active").select("session", *order, F.lit(labels.CONNECTED).alias("text"))
     return heard.unionByName(sent).unionByName(connected)

@@ -27,6 +27,8 @@ SPEECH = [
 #: By event_id modulo 5, messages of the answer service.
 ANSWER = ['{"choices":[{"delta":{"content":" {}"}}]}', '{"choices":[{"delta":{"content":""}}]}', '{"choices":[{"delta":{"role":"assistant"}}]}', '{"choices":[]}', '{"choices":[{"delta":{"content":"{} "}},{"delta":{"content":"no"}}]}']
 GAIN = 16.0
+#: What an error event is in the full log, by event_id.
+OFF = ["clear", "stop", "error", "keys", "failed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,23 @@ def control_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", "event_id", made.alias("kind"), text.alias("text"))
 
 
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The control log with failed starts, saved keys and interim transcripts."""
+    kind, n = F.col("kind"), F.col("event_id")
+    made = F.when((kind == "stop") & (n % 3 == 0), "failed").when((kind == "final") & (n % 11 == 0), "keys").when((kind == "audio") & (n % 7 == 0), "interim").otherwise(kind)
+    text = F.when((kind == "audio") & (n % 7 == 0), F.concat(F.lit("so far "), n.cast("string"))).when(~((kind == "final") & (n % 11 == 0)), F.col("text"))
+    return control_log(spark, sf_dir).select("session", "ts", "event_id", made.alias("kind"), text.alias("text"))
+
+
+def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all kinds in the schema of the event log, in the order of event_id."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    off = F.element_at(F.array(*map(F.lit, OFF)), (n % len(OFF) + 1).cast("int"))
+    made = F.when(kind == "signup", F.when(n % 2 == 0, "start").otherwise("final")).when(kind == "click", "chunk").when(kind == "view", F.when(n % 5 == 0, "audio").when(n % 5 == 1, "interim").otherwise("chunk")).when(kind == "purchase", "done").when(kind == "error", off)
+    text = F.when(~made.isin("start", "done", *OFF) | (made == "error"), F.concat(F.when(made == "final", "what is ").otherwise(" "), n.cast("string")))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), n.alias("seq"), made.alias("kind"), text.alias("text"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+
+
 def topic_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation's name as the session's topic from each purchase on."""
     bought = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id", (F.col("event_id") % 25).cast("int").alias("n"))
@@ -94,6 +113,8 @@ SQL = {
     "answer_messages": f"select event_id, {_sql(ANSWER)} as message from events",
     "event_log": "select user_id as session, ts, event_id, case event_type when 'signup' then 'final' when 'click' then 'chunk' when 'view' then 'chunk' when 'purchase' then 'done' when 'error' then 'clear' end as kind, case event_type when 'signup' then 'what is ' || event_id when 'click' then ' c' || event_id when 'view' then 'v' || event_id || ' ' end as text from events",
     "control_log": f"select user_id as session, ts, event_id, case event_type when 'signup' then 'start' when 'error' then 'stop' when 'click' then 'final' when 'purchase' then (case when event_id % 2 = 0 then 'done' else 'error' end) when 'view' then 'audio' end as kind, case when event_type = 'click' then {_sql(UTTERANCES)} when event_type = 'view' and event_id % 3 <> 0 then 'sound' end as text from events",
+    "call_log": "select session, ts, event_id, case when kind = 'stop' and event_id % 3 = 0 then 'failed' when kind = 'final' and event_id % 11 = 0 then 'keys' when kind = 'audio' and event_id % 7 = 0 then 'interim' else kind end as kind, case when kind = 'audio' and event_id % 7 = 0 then 'so far ' || event_id when not (kind = 'final' and event_id % 11 = 0) then text end as text from control_log",
+    "full_log": f"select *, case when kind not in ('start', 'done', 'clear', 'stop', 'keys', 'failed') then (case kind when 'final' then 'what is ' else ' ' end) || seq end as text from (select user_id::varchar as session, event_id as seq, case event_type when 'signup' then (case when event_id % 2 = 0 then 'start' else 'final' end) when 'click' then 'chunk' when 'view' then (case event_id % 5 when 0 then 'audio' when 1 then 'interim' else 'chunk' end) when 'purchase' then 'done' when 'error' then {OFF}[event_id % 5 + 1] end as kind, epoch_ms(ts) as ts_ms from events)",
     "topic_changes": "select user_id, ts, event_id, n_name as topic from events join nation on n_nationkey = event_id % 25 where event_type = 'purchase'",
     "blocks": f"select vec_id, list_transform(embedding, lambda x: (x * {GAIN}::float)::float) as samples from embeddings",
 }

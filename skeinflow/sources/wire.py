@@ -16,7 +16,7 @@ SPEECH = "type STRING, channel STRUCT<alternatives: ARRAY<STRUCT<transcript: STR
 ANSWER = "choices ARRAY<STRUCT<delta: STRUCT<content: STRING>>>"
 EVENT_LOG = "session STRING, seq BIGINT, kind STRING, text STRING, ts_ms BIGINT"
 #: Kinds of the event log.
-KINDS = ["interim", "final", "chunk", "done", "clear", "status", "start", "stop", "error", "audio"]
+KINDS = ["interim", "final", "chunk", "done", "clear", "status", "start", "stop", "failed", "keys", "error", "audio"]
 STORED = "topic STRING, topicPromptTemplate STRING, overlay STRUCT<x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE, opacity: DOUBLE>, deepgramApiKey STRING, openAiApiKey STRING"
 
 

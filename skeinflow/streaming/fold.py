@@ -11,56 +11,81 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions import question
+from ..functions import jstext, labels, question
 from ..sources import wire
 
-#: Fixed value: the white space that trimming takes off.
-SPACE = "\t\n\x0b\f\r \xa0                　﻿"
-STATE = "question STRING, draft STRING, live STRING, status STRING, active BOOLEAN"
-OUT = "session STRING, seq BIGINT, kind STRING, question STRING, answer STRING"
+STATE = "question STRING, draft STRING, active BOOLEAN, piped BOOLEAN, apart BOOLEAN, closed BOOLEAN, sound BOOLEAN, sent BOOLEAN"
+OUT = "session STRING, seq BIGINT, kind STRING, text STRING, question STRING, answer STRING, ts_ms BIGINT"
+#: Kinds that every window gets; the overlay alone gets statuses.
+SHARED = ("interim", "final", "chunk", "done")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Fold(StatefulProcessor):
-    """Rows out: `item` (question, answer), `clear`, and `status` with the status in `answer`."""
+    """Rows out, with the time of the event that makes them: `interim` and `final` transcripts, errors and what is said
+    of the audio being interim ones, `chunk` and `done` of answers, `status`, all with `text`; `item` (question,
+    answer); `clear`. Switches are as in `operators.status`: late results of a closed connection are lost."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        asked, draft, live, status, active = tuple(self.state.get()) if self.state.exists() else ("", "", "", "idle", False)
+        asked, draft, active, piped, apart, closed, sound, sent = tuple(self.state.get()) if self.state.exists() else ("", "", False, False, False, False, False, False)
         out = []
 
-        def tell(seq: int, kind: str, question: str | None = None, answer: str | None = None) -> None:
-            out.append(Row(session=key[0], seq=seq, kind=kind, question=question, answer=answer))
+        def tell(r: Row, kind: str, text: str | None = None, question: str | None = None, answer: str | None = None) -> None:
+            out.append(Row(session=key[0], seq=r.seq, kind=kind, text=text, question=question, answer=answer, ts_ms=r.ts_ms))
 
         for r in sorted(rows, key=lambda r: r.seq):
-            text, now = r.text or "", None
-            if r.kind in ("interim", "final"):
-                live = text
-            if r.kind == "final":
-                asked = text
-                now = "answering" if active and r.is_question else None
+            text = r.text or ""
+            if r.kind in ("interim", "final", "error"):
+                if closed and not (active or apart):
+                    continue
+                if r.kind == "error":
+                    prefix, unknown = labels.FALLBACKS["stt"]
+                    tell(r, "interim", prefix + (unknown if r.text is None else r.text))
+                else:
+                    tell(r, r.kind, text)
+                if r.kind == "final":
+                    asked = text
+                if active or apart:
+                    if r.kind == "error":
+                        tell(r, "status", "error")
+                    elif r.kind == "final" and r.is_question:
+                        tell(r, "status", "answering")
             elif r.kind == "chunk":
                 draft += text
+                tell(r, "chunk", text)
             elif r.kind == "done":
-                answer = draft.strip(SPACE)
+                tell(r, "done")
+                answer = draft.strip(jstext.WHITE)
                 if asked and answer:
-                    tell(r.seq, "item", asked, answer)
-                draft, now = "", "capturing"
+                    tell(r, "item", None, asked, answer)
+                draft = ""
+                tell(r, "status", "capturing")
             elif r.kind == "clear":
-                draft, live = "", ""
-                tell(r.seq, "clear")
-            elif r.kind == "start" and not active:
-                active, now = True, "capturing"
-            elif r.kind == "stop" and active:
-                active, now = False, "idle"
-            elif r.kind == "error" and active:
-                now = "error"
-            if now:
-                status = now
-                tell(r.seq, "status", None, now)
-        self.state.update((asked, draft, live, status, active))
+                draft = ""
+                tell(r, "clear")
+            elif r.kind == "start":
+                if not active:
+                    tell(r, "status", "capturing")
+                    tell(r, "interim", labels.CONNECTED)
+                active, piped, closed, sound = True, True, False, False
+            elif r.kind in ("stop", "failed"):
+                if active:
+                    tell(r, "status", "idle")
+                active, closed, sent = False, True, False
+            elif r.kind == "keys":
+                apart = apart or active
+                active, piped, sent = False, False, False
+            elif r.kind == "audio" and piped and r.text is not None:
+                if not sound:
+                    sound = True
+                    tell(r, "interim", labels.FIRST_SOUND)
+                if active and not sent:
+                    sent = True
+                    tell(r, "interim", labels.FIRST_SENT)
+        self.state.update((asked, draft, active, piped, apart, closed, sound, sent))
         yield from out
 
     def close(self) -> None:
@@ -68,17 +93,34 @@ class Fold(StatefulProcessor):
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """Items, clears and statuses of a streamed event log (session, seq, kind, text, ...). Questions are told apart
-    before the shuffle, in the JVM. The session's store must be RocksDB: see PROVIDER."""
-    rows = question.classified(log.where("session is not null and seq is not null").select("session", "seq", "kind", "text")).drop("words", "reason")
+    """Transcripts, pieces of answers, items, clears and statuses of a streamed event log (session, seq, kind, text,
+    ts_ms). Questions are told apart before the shuffle, in the JVM. The session's store must be RocksDB: see PROVIDER."""
+    rows = question.classified(log.where("session is not null and seq is not null").select("session", "seq", "kind", "text", "ts_ms")).drop("words", "reason")
     return rows.groupBy("session").transformWithState(Fold(), OUT, "Append", "None")
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """What every window gets: transcripts, chunks and ends of answers."""
+    return rows.where(F.col("kind").isin(*SHARED)).select("session", "seq", "kind", "text", "ts_ms")
+
+
+def statuses(rows: DataFrame) -> DataFrame:
+    """What the overlay gets besides."""
+    return rows.where("kind = 'status'").select("session", "seq", F.col("text").alias("status"), "ts_ms")
+
+
+def now(written: DataFrame) -> DataFrame:
+    """session, transcript, status from what a sink has: the last of each, empty after a clear, and `idle` before any."""
+    last = lambda *kinds: F.max_by(F.when(F.col("kind") == "clear", "").otherwise(F.col("text")), F.when(F.col("kind").isin(*kinds), F.col("seq")))
+    got = written.groupBy("session").agg(last("interim", "final", "clear").alias("transcript"), last("status").alias("status"))
+    return got.select("session", F.coalesce("transcript", F.lit("")).alias("transcript"), F.coalesce("status", F.lit("idle")).alias("status"))
+
+
 def visible(written: DataFrame) -> DataFrame:
     """session, seq, question, answer of the items that no later `clear` hides, from what a sink has."""
     clears = written.where("kind = 'clear'").groupBy("session").agg(F.max("seq").alias("_clear"))
     items = written.where("kind = 'item'").join(clears, "session", "left")
-    return items.where(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear"))).select("session", "seq", "question", "answer")
+    return items.where(F.col("_clear").isNull() | (F.col("seq") > F.col("_clear"))).select("session", "seq", "question", "answer", F.col("ts_ms").alias("created_ms"))
 
 
 def transcripts(messages: DataFrame) -> DataFrame:
@@ -102,6 +144,11 @@ def to_sinks(rows: DataFrame, sinks: Sequence[Callable[[DataFrame], None]], chec
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def to_windows(rows: DataFrame, overlay: Callable[[DataFrame], None], others: Sequence[Callable[[DataFrame], None]], checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Sends the rows of `fold` to the overlay, and all but statuses, items and clears to the other windows."""
+    return to_sinks(rows, [overlay, *[lambda batch, sink=sink: sink(shared(batch)) for sink in others]], checkpoint, once)
+
+
 def to_files(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Appends to Parquet files, each row once."""
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)

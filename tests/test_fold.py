@@ -75,21 +75,44 @@ def test_as_of_ties(spark):
     assert {r["id"]: r["topic"] for r in got.collect()} == {10: "t0", 11: "t5", 12: None}
 
 
+#: A call whose keys are saved: its connection stays open, a stop says nothing, and later calls still hear it.
+CALLS = ["final:what is early", "start", "keys", "audio:s", "final:what is it now", "stop", "error:", "start", "failed", "final:why is it", "interim:so", "done", "audio:s", "error:lost"]
+#: A start that fails; results after it are late.
+FAILED = ["start", "interim:hm", "failed", "final:what is late", "interim:late", "error:late", "chunk:A", "done", "failed"]
 CONTROL = ["start", "start", "audio:", "audio:s", "final:what is it now", "stop", "stop", "final:what is it now", "error:late", "done", "start", "error:x", "audio:s"]
 
 
 def _control(spark):
-    rows = [("s", i, e.split(":")[0], (e.split(":") + [None])[1] or None, 0) for i, e in enumerate(CONTROL)]
+    rows = [(s, i, e.split(":")[0], (e.split(":") + [None])[1] or None, 0) for s, events in (("s", CONTROL), ("calls", CALLS), ("failed", FAILED)) for i, e in enumerate(events)]
     return spark.createDataFrame(rows, wire.EVENT_LOG)
 
 
+@pytest.mark.parametrize("size", [1, 3, 65536])
+def test_calls(spark, size):
+    log, block = _control(spark), ordered.by_number("seq", size)
+    got = {}
+    for r in status.timeline(log, block=block).orderBy("seq").collect():
+        got.setdefault(r["session"], []).append((r["seq"], r["status"]))
+    assert got["calls"] == [(1, "capturing"), (4, "answering"), (6, "error"), (7, "capturing"), (8, "idle"), (9, "answering"), (11, "capturing"), (13, "error")]
+    assert got["failed"] == [(0, "capturing"), (2, "idle"), (7, "capturing")]
+    last = {r["session"]: (r["status"], r["running"], r["label"]) for r in status.last_status(log, block=block).collect()}
+    assert last["calls"] == ("error", False, "Stopped") and last["failed"] == ("error", False, "Stopped")
+    heard = {(r["session"], r["seq"]) for r in status.heard(log, block=block).where("kind in ('interim', 'final', 'error')").collect()}
+    assert heard == {("s", 4), ("s", 11), ("failed", 1)} | {("calls", i) for i in (0, 4, 6, 9, 10, 13)}
+    assert [r["seq"] for r in status.audio_kept(log, block=block).where("session = 'calls'").collect()] == []
+    assert {(r["session"], r["starts"], r["chunks"]) for r in status.audio_counts(log, block=block).collect()} == {("s", 2, 1), ("s", 3, 1), ("calls", 2, 1)}
+    assert {r["session"]: r["transcript"] for r in feed.live_transcript(status.heard(log, block=block)).collect()} == {"s": "STT error: x", "calls": "STT error: lost", "failed": "hm"}
+    assert feed.feed(status.heard(log, block=block)).count() == 0 and feed.feed(log).where("session = 'failed'").count() == 1
+
+
 def test_status(spark):
-    got = [(r["seq"], r["status"]) for r in status.timeline(_control(spark), block=ordered.by_number("seq", 3)).orderBy("seq").collect()]
+    log = _control(spark).where("session = 's'")
+    got = [(r["seq"], r["status"]) for r in status.timeline(log, block=ordered.by_number("seq", 3)).orderBy("seq").collect()]
     assert got == [(0, "capturing"), (4, "answering"), (5, "idle"), (9, "capturing"), (10, "capturing"), (11, "error")]
-    last = status.last_status(_control(spark)).first()
+    last = status.last_status(log).first()
     assert (last["status"], last["running"], last["label"]) == ("error", True, "Error")
-    assert [r["seq"] for r in status.audio_kept(_control(spark)).orderBy("seq").collect()] == [3, 12]
-    told = sorted((r["seq"], r["text"]) for r in status.diagnostics(_control(spark)).collect())
+    assert [r["seq"] for r in status.audio_kept(log).orderBy("seq").collect()] == [3, 12]
+    told = sorted((r["seq"], r["text"]) for r in status.diagnostics(log).collect())
     assert [s for s, _ in told] == [0, 3, 3, 10, 12, 12]
 
 
@@ -101,6 +124,41 @@ def test_answers(spark):
     assert [r["chunk"] for r in own] == ["t", "!"]
 
 
+def test_answer_that_fails(spark):
+    """It has no end: what it gave stays in the draft and comes before the next answer."""
+
+    def provider(request):
+        yield "part " if request.question == "what is x" else "whole"
+        if request.question == "what is x":
+            raise ConnectionError("lost")
+
+    finals = spark.createDataFrame([("s", 1, "what is x"), ("s", 2, "why is y")], "session string, seq int, text string")
+    requests = finals.select("session", "seq", F.lit("").alias("topic"), F.lit("").alias("template"), F.col("text").alias("question"))
+    log = answers.conversation(finals, requests, ["seq"], provider)
+    got = [(r["question"], r["answer"]) for r in feed.feed(log, ["seq", "step"], ordered.by_number("seq")).collect()]
+    assert got == [("why is y", "part whole")]
+    assert [r["failure"] for r in answers.told(requests, provider).where("chunk is null").orderBy("seq").collect()] == ["lost", None]
+
+
+def test_source_without_audio(spark):
+    tracks = spark.createDataFrame([("a", "audio"), ("a", "video"), ("b", "audio")], "source string, track string")
+    assert sorted(r["source"] for r in wire.with_audio_track(tracks).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="No audio track"):
+        wire.with_audio_track(tracks.unionByName(spark.createDataFrame([("c", "video")], tracks.schema))).collect()
+
+
+def test_windows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"session": "a", "seq": i, "kind": k, "text": t, "ts_ms": 10 * i}) for i, (k, t) in enumerate([("start", None), ("final", "what is it now"), ("chunk", "A"), ("done", None)])))
+    got = {}
+    sink = lambda name: lambda df: got.setdefault(name, []).extend(sorted((r["seq"], r["kind"], r["text"], r["ts_ms"]) for r in df.collect()))
+    rows = fold.fold(wire.events(spark, str(tmp_path / "in"), streaming=True))
+    fold.to_windows(rows, sink("overlay"), [sink("settings")], str(tmp_path / "cp")).awaitTermination(120)
+    assert got["settings"] == [(0, "interim", "STT connected. Waiting for speech...", 0), (1, "final", "what is it now", 10), (2, "chunk", "A", 20), (3, "done", None, 30)]
+    assert [(k, t) for _, k, t, _ in got["overlay"] if k == "status"] == [("status", "capturing"), ("status", "answering"), ("status", "capturing")]
+    assert [k for _, k, _, _ in got["overlay"] if k == "item"] == ["item"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [r.asDict() for r in _log(spark).where("session is not null and seq is not null").collect()] + [r.asDict() for r in _control(spark).collect()]
     (tmp_path / "in").mkdir()
@@ -114,8 +172,11 @@ def test_stream_equals_batch(spark, tmp_path):
     written = spark.read.schema(fold.OUT).parquet(str(tmp_path / "out"))
     log = _log(spark).unionByName(_control(spark))
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(fold.visible(written)) == key(feed.feed(log).select("session", "seq", "question", "answer"))
-    assert key(written.where("kind = 'status'").select("session", "seq", "answer")) == key(status.timeline(log))
+    assert key(fold.visible(written)) == key(feed.feed(status.heard(log), stamp="ts_ms").select("session", "seq", "question", "answer", "ts_ms"))
+    assert key(fold.statuses(written).drop("ts_ms")) == key(status.timeline(log))
+    shown = {r["session"]: (r["transcript"], r["status"]) for r in fold.now(written).collect()}
+    assert {s: t for s, (t, _) in shown.items() if s in TRACES} == {s: live for s, (_, _, live) in TRACES.items()}
+    assert shown["calls"] == ("STT error: lost", "error")
 
 
 def test_sinks(spark, tmp_path):
