@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import conversation, signals
+from .plans import calls, conversation, signals
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return conversation.QUERIES | signals.QUERIES
+    return conversation.QUERIES | calls.QUERIES | signals.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return conversation.SQL | signals.SQL
+    return conversation.SQL | calls.SQL | signals.SQL

@@ -114,7 +114,7 @@ SQL = {
     "event_log": "select user_id as session, ts, event_id, case event_type when 'signup' then 'final' when 'click' then 'chunk' when 'view' then 'chunk' when 'purchase' then 'done' when 'error' then 'clear' end as kind, case event_type when 'signup' then 'what is ' || event_id when 'click' then ' c' || event_id when 'view' then 'v' || event_id || ' ' end as text from events",
     "control_log": f"select user_id as session, ts, event_id, case event_type when 'signup' then 'start' when 'error' then 'stop' when 'click' then 'final' when 'purchase' then (case when event_id % 2 = 0 then 'done' else 'error' end) when 'view' then 'audio' end as kind, case when event_type = 'click' then {_sql(UTTERANCES)} when event_type = 'view' and event_id % 3 <> 0 then 'sound' end as text from events",
     "call_log": "select session, ts, event_id, case when kind = 'stop' and event_id % 3 = 0 then 'failed' when kind = 'final' and event_id % 11 = 0 then 'keys' when kind = 'audio' and event_id % 7 = 0 then 'interim' else kind end as kind, case when kind = 'audio' and event_id % 7 = 0 then 'so far ' || event_id when not (kind = 'final' and event_id % 11 = 0) then text end as text from control_log",
-    "full_log": f"select *, case when kind not in ('start', 'done', 'clear', 'stop', 'keys', 'failed') then (case kind when 'final' then 'what is ' else ' ' end) || seq end as text from (select user_id::varchar as session, event_id as seq, case event_type when 'signup' then (case when event_id % 2 = 0 then 'start' else 'final' end) when 'click' then 'chunk' when 'view' then (case event_id % 5 when 0 then 'audio' when 1 then 'interim' else 'chunk' end) when 'purchase' then 'done' when 'error' then {OFF}[event_id % 5 + 1] end as kind, epoch_ms(ts) as ts_ms from events)",
+    "full_log": f"select *, case when kind not in ('start', 'done', 'clear', 'stop', 'keys', 'failed') then (case kind when 'final' then 'what is ' else ' ' end) || seq end as text from (select user_id::varchar as session, event_id as seq, case event_type when 'signup' then (case when event_id % 2 = 0 then 'start' else 'final' end) when 'click' then 'chunk' when 'view' then (case event_id % 5 when 0 then 'audio' when 1 then 'interim' else 'chunk' end) when 'purchase' then 'done' when 'error' then {OFF}[event_id % 5 + 1] end as kind, epoch_us(ts) // 1000 as ts_ms from events)",
     "topic_changes": "select user_id, ts, event_id, n_name as topic from events join nation on n_nationkey = event_id % 25 where event_type = 'purchase'",
     "blocks": f"select vec_id, list_transform(embedding, lambda x: (x * {GAIN}::float)::float) as samples from embeddings",
 }
