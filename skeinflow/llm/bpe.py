@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import free, tidied
+
 #: Characters of a leaf.
 LEAF = 32_768
 #: Bytes of the words that a worker keeps with their ids, of which Python takes about so many for an entry beside its
 #: signs, and words that the library encodes at once.
 KEPT_BYTES, ENTRY_BYTES, WORDS_AT_ONCE = 64 << 20, 200, 1_000
+#: Leaves that are encoded before they are handed on.
+LEAVES_AT_ONCE = 32
 #: A change of the text can alter a split so many characters before it: the longest contraction.
 REACH = 3
 #: Characters for which Python's and the tokenizer's Unicode tables surely agree, composed as they are.
@@ -258,75 +262,79 @@ def _leaves(path: str, leaf: int) -> Callable[[Iterator[pd.DataFrame]], Iterator
 
 
 def _encoded(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(path)
         for pdf in batches:
-            got = [codec.part(t) for t in pdf["text"]]
-            yield pdf.assign(**{k: [getattr(p, k).astype("<i4").tobytes() for p in got] for k in ("ids", "starts", "ends")})
+            for at in range(0, len(pdf), LEAVES_AT_ONCE):
+                some = pdf.iloc[at : at + LEAVES_AT_ONCE]
+                got = [codec.part(t) for t in some["text"]]
+                yield some.assign(**{k: [getattr(p, k).astype("<i4").tobytes() for p in got] for k in ("ids", "starts", "ends")})
 
     return run
 
 
-def long_texts(texts: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """Rows (key, ids array<int>) for `texts(key, text)`, one for each key, by tree concatenation."""
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def long_texts(texts: DataFrame, path: str, leaf: int = LEAF, digests: bool = False) -> DataFrame:
+    """Rows (key, ids array<int>) for `texts(key, text)`, one for each key, by tree concatenation. digests: in place of
+    the ids their number and the digests of them and of the decoded text."""
     leaves = texts.mapInPandas(_leaves(path, leaf), "key string, at int, text string")
-    parts = leaves.repartition("key", "at").mapInPandas(_encoded(path), _PART)
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small leaves, slow to encode, stay spread
+    parts = leaves.repartition(n, "key", "at").mapInPandas(_encoded(path), _PART)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
+        codec, key = codec_of(path), pdf["key"].iloc[0]
         of = lambda x: np.frombuffer(x, dtype="<i4").astype(np.int64)
-        got = tree([Part(r.text, of(r.ids), of(r.starts), of(r.ends)) for r in pdf.itertuples()], codec_of(path))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "ids": [got.ids.astype(np.int32)]})
+        ids = tree([Part(r.text, of(r.ids), of(r.starts), of(r.ends)) for r in pdf.itertuples()], codec).ids
+        if not digests:
+            return pd.DataFrame({"key": [key], "ids": [ids.astype(np.int32)]})
+        ids = ids.tolist()
+        return pd.DataFrame([(key, len(ids), _sha(" ".join(map(str, ids))), _sha(codec.tok.decode(ids, skip_special_tokens=False)))])
 
-    return parts.groupBy("key").applyInPandas(whole, "key string, ids array<int>")
+    return parts.groupBy("key").applyInPandas(whole, f"key string, {DIGESTS if digests else 'ids array<int>'}")
 
 
 def _short(column: str, path: str, kind: str):
+    out = "array<int>" if kind == "ids" else DIGESTS
     if kind == "ids":
 
-        @F.pandas_udf("array<int>")
+        @tidied
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             codec = codec_of(path)
             for s in batches:
                 yield pd.Series([np.array(e.ids, dtype=np.int32) for e in codec.tok.encode_batch([t or "" for t in s], add_special_tokens=False)])
     else:
 
-        @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        @tidied
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             codec = codec_of(path)
             for s in batches:
                 yield pd.DataFrame([codec.digests(t or "") for t in s], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run(F.col(column))
+    return F.pandas_udf(run, out)(F.col(f"`{column}`"))
 
 
-def _encode(df: DataFrame, path: str | None, column: str, leaf: int, kind: str) -> DataFrame:
+def _encode(df: DataFrame, path: str | None, column: str, leaf: int, kind: str, got: str) -> DataFrame:
+    """Adds what is asked for of each text as the column `got`."""
     path = path or default_path()
-    long = F.coalesce(F.char_length(column), F.lit(0)) > leaf
-    near = df.where(~long).withColumn("_got", _short(column, path, kind))
-    keyed = df.where(long).withColumn("_key", F.sha2(F.col(column).cast("binary"), 256))
-    ids = long_texts(keyed.groupBy(F.col("_key").alias("key")).agg(F.min(column).alias("text")), path, leaf)
-    if kind != "ids":
-        ids = ids.select("key", _digests(path)(F.col("ids")).alias("ids"))
-    ids = ids.select(F.col("key").alias("_of"), F.col("ids").alias("_got"))
-    far = keyed.join(ids, F.col("_key") == F.col("_of")).drop("_key", "_of")
-    return near.unionByName(far)
-
-
-def _digests(path: str):
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tok = load(path)
-        for s in batches:
-            rows = [(len(x), _sha(" ".join(map(str, x))), _sha(tok.decode(list(map(int, x)), skip_special_tokens=False))) for x in s]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run
+    key, of = free(df, "_key"), free(df, "_of")
+    text = F.col(f"`{column}`")
+    long = F.coalesce(F.char_length(text), F.lit(0)) > leaf
+    near = df.where(~long).withColumn(got, _short(column, path, kind))
+    keyed = df.where(long).withColumn(key, F.sha2(text.cast("binary"), 256))
+    texts = keyed.groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
+    found = F.col("ids") if kind == "ids" else F.struct("n_tokens", "ids_sha256", "decoded_sha256")
+    told = long_texts(texts, path, leaf, kind != "ids").select(F.col("key").alias(of), found.alias(got))
+    return near.unionByName(keyed.join(told, F.col(key) == F.col(of)).drop(key, of))
 
 
 def encode(df: DataFrame, path: str | None = None, column: str = "text", out: str = "ids", leaf: int = LEAF) -> DataFrame:
-    """Adds the ids (array<int>) of each text. Null and empty texts have none; other columns stay."""
-    return _encode(df, path, column, leaf, "ids").withColumnRenamed("_got", out)
+    """Adds the ids (array<int>) of each text, in place of a column of that name. Null and empty texts have none; other
+    columns stay, whatever their names, and equal rows have equal ids."""
+    return _encode(df.drop(out), path, column, leaf, "ids", out)
 
 
 def decode(df: DataFrame, path: str | None = None, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -343,7 +351,8 @@ def decode(df: DataFrame, path: str | None = None, column: str = "ids", out: str
 
 
 def with_digests(df: DataFrame, path: str | None = None, column: str = "text", leaf: int = LEAF) -> DataFrame:
-    """Adds n_tokens and the SHA-256 of the ids and of the decoded text, without shipping the ids.
-    Columns of these names are replaced."""
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return _encode(df.drop(*new), path, column, leaf, "digests").select("*", "_got.*").drop("_got")
+    """Adds n_tokens and the SHA-256 of the ids and of the decoded text, without shipping the ids. A null text has
+    those of an empty one. Columns of these names are replaced, others stay."""
+    df = df.drop("n_tokens", "ids_sha256", "decoded_sha256")
+    got = free(df, "_got")
+    return _encode(df, path, column, leaf, "digests", got).select("*", f"{got}.*").drop(got)

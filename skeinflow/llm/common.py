@@ -160,10 +160,10 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Bits:
-    """A Bloom filter for 64-bit hashes, of 16 bits or more for each, up to 2**MOST bits in all (4 MB).
+    """A Bloom filter for 64-bit hashes, of 64 bits or more for each, from 2**LEAST bits (1 MB) up to 2**MOST in all (4 MB).
     It only spares rows: what passes is joined exactly."""
 
-    LEAST, MOST = 16, 25
+    LEAST, MOST = 23, 25
 
     def __init__(self, words: np.ndarray):
         self.words, self.log = words, 6 + len(words).bit_length() - 1
@@ -171,7 +171,7 @@ class Bits:
     @classmethod
     def of(cls, df: DataFrame, column: str) -> "Bits":
         """Of a long column of a narrow, checkpointed table. At most 2**19 rows, of 64 bits each, reach the driver."""
-        n = min(cls.MOST, max(cls.LEAST, (16 * df.count()).bit_length()))
+        n = min(cls.MOST, max(cls.LEAST, (64 * df.count()).bit_length()))
         ats = F.array(*[F.shiftrightunsigned(F.shiftleft(F.col(column), i * n), 64 - n) for i in range(2)])
         bits = df.select(F.explode(ats).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
         words = np.zeros(1 << (n - 6), dtype=np.int64)
@@ -196,11 +196,10 @@ def shared_folder(spark: SparkSession) -> str:
     tests, a folder of this machine is taken."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get()
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getCheckpointDir()
     return folder
 
 

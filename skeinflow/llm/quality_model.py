@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import brief as small, checkpoint, free
+from .common import brief as small, checkpoint, free, tidied
 
 #: Most labelled documents that the model is fitted on, those of the smallest hash, and most words for each target.
 FIT_ROWS, FIT_WORDS = 8_000, 200
@@ -203,11 +203,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     path = F.coalesce(F.col("lang") if path is None else path, F.lit(""))
     model = fit(labelled(docs.select("doc_id", "text"), labels))
 
-    @F.pandas_udf("junk double, toxic double")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @tidied
+    def weighed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame(model.evidence(list(s)), columns=list(TARGETS))
 
+    @F.pandas_udf("junk double, toxic double")
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from weighed(batches)
+
     fresh = [F.col(f"`{c}`") for c in keep if c not in ADDED]
     scored = checkpoint(docs.select("doc_id", F.struct(*fresh).alias("_row") if fresh else F.lit(None).alias("_row"), host.alias("_host"), path.alias("_path"), evidence("text").alias("_e")))
     known = worst(labels).select(F.col("doc_id").alias("_id"), *[F.col(t).alias(f"_{t}") for t in TARGETS])
