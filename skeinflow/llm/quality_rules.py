@@ -5,14 +5,15 @@ labelled good documents are the holdout: cutoffs of a fixed grid are tried from
 and each is kept while an exact binomial test shows, at the corrected level, that the rule rejects at most its
 share of good documents. The first failure ends the sequence, which needs no correction over cutoffs
 (fixed-sequence testing); strata and rules share the error level equally (Bonferroni), and rules share the
-risk, so that all rules together reject at most RISK of a stratum's good documents, with confidence 1 - ERROR."""
+risk, so that all rules together reject at most RISK of a stratum's good documents that pass the base checks, with
+confidence 1 - ERROR."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free
 
 RISK, ERROR = 0.05, 0.05
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -57,16 +58,17 @@ def measures(docs: DataFrame) -> DataFrame:
     split = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _let(split, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
-    got = docs.withColumn("_w", counted).withColumns(
+    made = free(docs, "_w")
+    got = docs.withColumn(made, counted).withColumns(
         {
-            "n_words": F.col("_w.n"),
+            "n_words": F.col(f"{made}.n"),
             "word_chars": F.char_length(F.regexp_replace(text, SPACE + "+", "")).cast("long"),
             "n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": F.col("_w.r"),
+            "n_repeat_words": F.col(f"{made}.r"),
         }
     )
-    return got.drop("_w").withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
+    return got.drop(made).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
 def _log_factorial(n: Column) -> Column:
@@ -110,19 +112,23 @@ def cutoffs(good: DataFrame, stratum: str = "stratum", risk: float = RISK, error
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: Column | None = None, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """`docs` (doc_id, text and others but the columns added) with the measures, base_failed, rule (the first
-    that rejects, else null) and kept. Good documents are those whose labels all have quality 1; a null
-    stratum is one of its own. Documents of a stratum without a cutoff are kept by the rule."""
+    """`docs` (doc_id, text, ...) without their texts, with the measures, base_failed, rule (the first that rejects,
+    else null) and kept; columns of these names are replaced, others stay. Of a stratum's good documents that pass the
+    base checks a limited share is rejected. Good documents are those whose labels all have quality 1; a null
+    stratum is one of its own. Documents of a stratum without a cutoff are kept by the rules, and so are all without
+    labels. A null or empty text fails the base checks; equal rows are judged alike."""
+    docs = docs.drop("rule", "kept")
+    own, of, limit = (free(docs, c) for c in ("stratum", "_s", "_limits"))
     stratum = F.coalesce(F.col("lang") if stratum is None else stratum, F.lit(""))
-    rows = checkpoint(measures(docs.withColumn("stratum", stratum)).drop("text"))
+    rows = checkpoint(measures(docs.withColumn(own, stratum)).drop("text"))
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    found = cutoffs(rows.where("not base_failed").join(good, "doc_id", "left_semi"), risk=risk, error=error)
-    limits = found.select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_{r}") for r in RULES])
+    found = cutoffs(rows.where("not base_failed").join(good, "doc_id", "left_semi"), own, risk, error)
+    limits = found.select(F.col(own).alias(of), F.struct(*RULES).alias(limit))
     rule = F.when(F.col("base_failed"), F.lit("base"))
     for r, (score, _) in RULES.items():
-        rule = rule.when(F.col("n_words").isNotNull() & (F.expr(f"if(n_words = 0, 0D, {score})") > F.col(f"_{r}")), F.lit(r))
-    got = rows.join(limits, rows["stratum"] == F.col("_s"), "left").withColumn("rule", rule)
-    return got.withColumn("kept", F.col("rule").isNull()).drop("_s", "stratum", *[f"_{r}" for r in RULES])
+        rule = rule.when(F.col("n_words").isNotNull() & (F.expr(f"if(n_words = 0, 0D, {score})") > F.col(f"{limit}.{r}")), F.lit(r))
+    got = rows.join(limits, F.col(own) == F.col(of), "left").withColumn("rule", rule)
+    return got.withColumn("kept", F.col("rule").isNull()).drop(own, of, limit)
 
 
 def _sql() -> str:
