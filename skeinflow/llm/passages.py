@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Bits, Words, _power, checkpoint, distinct, grams, mix, passes, signed
+from .common import Bits, Words, _power, brief, checkpoint, distinct, free, grams, mix, passes, release, signed, tidied
 from .near_duplicates import SHINGLE, SIMILAR, SKETCH, _checked, bands, darts, linked, sketches
 
 #: Words of a line that is compared by MinHash; of a sentence; of a passage; between paragraphs of one passage.
@@ -34,7 +34,7 @@ _U = np.uint64
 
 
 def tune(similar: float = SIMILAR, recall: float = RECALL, most: int = 200) -> tuple[int, int]:
-    """Bands and rows: of those within `most` values and a false share of 2 % at half the similarity, the
+    """Bands and rows: of those within `most` values and a false share of 25 % at half the similarity, the
     fewest values that find a pair of the similarity with the recall."""
     found = []
     for rows in range(1, 13):
@@ -135,7 +135,16 @@ def _run_hashes(hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
         return mix((sums[z] - sums[a]) * down[a] + (z - a).astype(_U))
 
 
+def _shingles(hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (line, shingle) pairs of lines that don't overlap, words [a, z)."""
+    own = SimpleNamespace(doc=np.full(len(hashes), -1), per_doc=z - a, first_word=a)
+    own.doc[_ranges(a, z)] = np.repeat(np.arange(len(a)), z - a)  # each word knows its line
+    g, ln, _ = grams(own, hashes, SHINGLE, short=False)
+    return distinct(ln[ln >= 0], g[ln >= 0])[:2]
+
+
 def _paragraphs(n_bands: int, rows: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, words in passes(b.column("text")):
@@ -148,14 +157,8 @@ def _paragraphs(n_bands: int, rows: int):
                 order = np.lexsort((z, a))
                 a, z, is_line, h, doc = a[order], z[order], is_line[order], h[order], doc[order]
                 la, lz = a[is_line], z[is_line]
-                # Shingles of the lines: each word knows its line.
-                own = SimpleNamespace(doc=np.full(len(hashes), -1), per_doc=lz - la, first_word=la)
-                own.doc[_ranges(la, lz)] = np.repeat(np.arange(len(la)), lz - la)
-                g, ln, _ = grams(own, hashes, SHINGLE, short=False)
-                ln, g, _ = distinct(ln[ln >= 0], g[ln >= 0])
+                ln, g = _shingles(hashes, la, lz)
                 sig = bands(darts(ln, g, np.ones(len(g)), len(la), n_bands * rows), rows)
-                bits = sketches(ln, g, np.ones(len(g)), len(la))
-                size = np.bincount(ln, minlength=len(la))
                 per = np.bincount(doc, minlength=hi - lo)
                 at = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
                 lines = np.concatenate([[0], np.cumsum(np.bincount(doc[is_line], minlength=hi - lo))]).astype(np.int32)
@@ -169,16 +172,14 @@ def _paragraphs(n_bands: int, rows: int):
                         lists(at, (z - a).astype(np.int32), pa.int32()),
                         lists(lines, signed(h[is_line]), pa.int64()),
                         lists((lines * n_bands).astype(np.int32), signed(sig.reshape(-1)), pa.int64()),
-                        lists(lines, size, pa.int64()),
-                        lists((lines * SKETCH).astype(np.int32), bits.reshape(-1), pa.int64()),
                     ],
-                    ["rid", "doc_id", "h", "start", "n", "line", "bands", "sizes", "bits"],
+                    ["rid", "doc_id", "h", "start", "n", "line", "bands"],
                 )
 
     return run
 
 
-_ROWS = "rid long, doc_id long, h array<long>, start array<int>, n array<int>, line array<long>, bands array<long>, sizes array<long>, bits array<long>"
+_ROWS = "rid long, doc_id long, h array<long>, start array<int>, n array<int>, line array<long>, bands array<long>"
 
 
 def _ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -186,24 +187,67 @@ def _ranges(a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(a) else np.zeros(0, np.int64)
 
 
+def _values(lists: pa.Array) -> np.ndarray:
+    return np.asarray(lists.flatten(), dtype=np.int64)
+
+
+def _in_buckets(packed: DataFrame, shared: DataFrame, n_bands: int) -> DataFrame:
+    """Rows (key, bucket) of the lines in `shared(bucket)`."""
+    own = packed.sparkSession.sparkContext.broadcast(Bits.of(shared, "bucket").words)  # 4 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = Bits(own.value)
+        for b in batches:
+            key, bucket = np.repeat(_values(b.column("line")), n_bands), _values(b.column("bands"))
+            on = may(bucket.view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(bucket[on])], ["key", "bucket"])
+
+    return packed.select("line", "bands").mapInArrow(run, "key long, bucket long").distinct().join(brief(shared), "bucket").select("bucket", "key")
+
+
+def _units(packed: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (rid, doc_id, h, start, n) of the paragraphs that may be in `known(h, ...)`."""
+    own = packed.sparkSession.sparkContext.broadcast(Bits.of(known, "h").words)  # 4 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = Bits(own.value)
+        for b in batches:
+            h = _values(b.column("h"))
+            on = np.flatnonzero(may(h.view(_U)))
+            of = pa.array(np.repeat(np.arange(b.num_rows), np.diff(b.column("h").offsets.to_numpy()))[on])
+            cols = [b.column("rid").take(of), b.column("doc_id").take(of), pa.array(h[on]), *[pa.array(_values(b.column(c))[on].astype(np.int32)) for c in ("start", "n")]]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "h", "start", "n"])
+
+    return packed.select("rid", "doc_id", "h", "start", "n").mapInArrow(run, "rid long, doc_id long, h long, start int, n int")
+
+
 def _line_texts(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """Rows (key, text) of the lines whose hash may be in `need(key)`."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bits.of(need, "key").words)  # 1 MB, whatever the lines
+    """Rows (key, text, n, bits) of the lines whose hash may be in `need(key)`: their text, number of shingles and sketch."""
+    own = docs.sparkSession.sparkContext.broadcast(Bits.of(need, "key").words)  # 4 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = Bits(shared.value)
+        may = Bits(own.value)
         for b in batches:
-            keys, texts = [], []
+            keys, texts, size, bits = [], [], [], []
             for _, _, words in passes(b.column("text")):
                 hashes = words.hashes()
                 a, z, _ = _spans(words, hashes, lines=True)
+                if not len(a):
+                    continue
                 h = _run_hashes(hashes, a, z)
-                for i in np.flatnonzero(may(h)) if len(h) else ():
-                    keys.append(int(signed(h)[i]))
-                    texts.append(words.data[words.starts[a[i]] : words.ends[z[i] - 1]].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["key", "text"])
+                on = np.flatnonzero(may(h))
+                _, first = np.unique(h[on], return_index=True)
+                a, z, h = a[on[first]], z[on[first]], h[on[first]]
+                ln, g = _shingles(hashes, a, z)
+                keys += signed(h).tolist()
+                texts += [words.data[words.starts[i] : words.ends[j - 1]].tobytes().decode("utf-8", "replace") for i, j in zip(a, z, strict=True)]
+                size.append(np.bincount(ln, minlength=len(a)))
+                bits.append(sketches(ln, g, np.ones(len(g)), len(a)).reshape(-1))
+            flat = np.concatenate(bits) if bits else np.zeros(0, np.int64)
+            at = (np.arange(len(keys) + 1) * SKETCH).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(np.concatenate(size) if size else [], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "text", "n", "bits"])
 
-    return docs.select("text").mapInArrow(run, "key long, text string")
+    return docs.select("text").mapInArrow(run, "key long, text string, n long, bits array<long>")
 
 
 def repeated(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
@@ -215,36 +259,47 @@ def repeated(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL)
     null doc_ids come after all others; null texts have no paragraphs. Equal paragraphs are those of equal
     64-bit hash and length; similar ones share a band and have the Jaccard similarity of word shingles."""
     n_bands, rows = tune(similar, recall)
+    spark = docs.sparkSession
     own = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = checkpoint(own.mapInArrow(_paragraphs(n_bands, rows), _ROWS))
-    each = packed.select("rid", "doc_id", F.explode(F.arrays_zip("h", "start", "n")).alias("p")).select("rid", "doc_id", "p.*")
     # Lines that share a band, but for those that are equal.
     per = F.expr(f"transform(line, (h, i) -> struct(h as key, slice(bands, i * {n_bands} + 1, {n_bands}) as b))")
-    buckets = packed.select(F.explode(per).alias("x")).select("x.key", F.explode("x.b").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("bucket")
-    some = checkpoint(buckets.join(shared, "bucket").select("bucket", "key"))
-    sketch = F.expr(f"transform(line, (h, i) -> struct(h as key, sizes[i] as n, slice(bits, i * {SKETCH} + 1, {SKETCH}) as bits))")
-    marks = packed.select(F.explode(sketch).alias("x")).select("x.*")
-    roots = linked(some, marks, _line_texts(own, some.select("key").distinct()), _checked(similar, False), similar)
+    buckets = packed.select(F.explode(per).alias("x")).select("x.key", F.explode("x.b").alias("bucket"))
+    shared = checkpoint(buckets.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("bucket"))
+    some = checkpoint(_in_buckets(packed, shared, n_bands))
+    release(spark)
+    lines = checkpoint(_line_texts(own, some.select("key").distinct()).dropDuplicates(["key"]))
+    roots = checkpoint(linked(some, lines.select("key", "n", "bits"), lines.select("key", "text"), _checked(similar, False), similar, ready=True))
+    release(spark)
+    # Paragraphs that stand twice, or in a component of lines; counting alone comes first, as it is narrow.
+    twice = packed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    may = checkpoint(twice.unionByName(roots.select(F.col("node").alias("h"))))
     # Classes that stand in several documents: paragraphs are counted before they are joined.
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    units = checkpoint(each.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n_docs"), lead.alias("lead")).join(roots.select(F.col("node").alias("h"), "root"), "h", "left").where("lo <> hi or root is not null").withColumn("class_id", F.coalesce("root", "h")))
-    found = units.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_docs").alias("n_docs"), F.min("lead").alias("lead")).where("lo <> hi")
-    known = checkpoint(units.select("h", "class_id").join(found.select("class_id", "n_docs", "lead"), "class_id"))
-    hits = each.join(known, "h").withColumn("end", F.col("start") + F.col("n"))
+    units = _units(packed, may).groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n_docs"), lead.alias("lead"))
+    units = checkpoint(units.join(brief(roots).select(F.col("node").alias("h"), "root"), "h", "left").where("lo <> hi or root is not null").withColumn("class_id", F.coalesce("root", "h")).drop("root"))
+    release(spark)
+    found = checkpoint(units.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_docs").alias("n_docs"), F.min("lead").alias("lead")).where("lo <> hi").select("class_id", "n_docs", "lead.doc_id", "lead.rid"))
+    known = checkpoint(units.select("h", "class_id").join(brief(found).withColumnsRenamed({"doc_id": "first_doc_id", "rid": "lead"}), "class_id"))
+    hits = _units(packed, known).join(brief(known), "h").drop("h").withColumn("end", F.col("start") + F.col("n"))
+    if not packed.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        hits = hits.dropDuplicates(["rid", "start", "end"])  # equal rows
+    release(spark)
     by_doc = Window.partitionBy("rid").orderBy("start", "end")
     before = F.coalesce(F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hits = hits.dropDuplicates(["rid", "start", "end"]).withColumn("before", before)
+    hits = hits.withColumn("before", before)
     hits = hits.withColumn("run", F.sum(F.when(F.col("start") > F.col("before") + GAP, 1).otherwise(0)).over(by_doc))
     covered = F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))
     hits = hits.withColumn("covered", F.sum(covered).over(Window.partitionBy("rid", "run"))).where(F.col("covered") >= RUN)
-    return hits.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "class_id", F.col("lead.doc_id").alias("first_doc_id"), F.col("n_docs").cast("long").alias("n_docs"), (F.col("rid") != F.col("lead.rid")).alias("removed"))
+    return hits.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "class_id", "first_doc_id", F.col("n_docs").cast("long").alias("n_docs"), (F.col("rid") != F.col("lead")).alias("removed"))
 
 
 def strip(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """`docs` without their removed paragraphs, by doc_id; text left over stays as it is."""
+    """`docs` without their removed paragraphs, by doc_id; text left over stays as it is. A null doc_id or text loses
+    nothing; columns of any name stay. A text that is a repeated passage as a whole is left empty."""
     found = repeated(docs) if found is None else found
-    spans = found.where("removed and doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("_spans"))  # a document's own
+    id_, own = free(docs, "_id"), free(docs, "_spans")
+    spans = found.where("removed and doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set(F.struct("start_word", "n_words")).alias(own))  # a document's own
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -262,5 +317,5 @@ def strip(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
             out.append(np.frombuffer(data, dtype=np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass").strip())
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return joined.withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    joined = docs.join(spans, F.col("doc_id") == F.col(id_), "left")
+    return joined.withColumn("text", cut("text", own)).select(*[F.col(f"`{c}`") for c in docs.columns])
