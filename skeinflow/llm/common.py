@@ -229,7 +229,7 @@ def brief(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node of the
     component; nodes without an edge have no row.
 
@@ -245,15 +245,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return joined.select(F.col("b").alias("b"), F.col("m").alias("a")).where("a <> b").unionByName(least.select(F.col("a").alias("b"), F.col("m").alias("a")).where("a <> b")).distinct()
 
     now, state = checkpoint(edges.select("a", "b").where("a <> b").distinct()), None
-    for _ in range(rounds):
+    while True:  # ends after rounds in proportion to the logarithm of the largest component
         now = checkpoint(star(star(now, True).select("a", "b"), False).select("a", "b"))
         new = tuple(now.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         release(now.sparkSession)
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

@@ -273,10 +273,10 @@ def classes(docs: DataFrame, keep: list[str] | None = None, **how) -> DataFrame:
     rows = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))).select("doc_id", "_key", "_row", word.alias("_word"))
     found = checkpoint(groups(docs, **how))
     rows = rows.join(brief(found).withColumnRenamed("node", "_key"), "_key", "left").withColumn("_class", F.when(F.col("_word"), F.coalesce("root", "_key")))
-    # One row for each class: copies meet before the shuffle.
-    size = rows.where("_class is not null").groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n"))
-    out = rows.join(size, F.col("_class") == F.col("_c"), "left")
-    return out.select("_row.*", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("class_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("n_in_class"))
+    # One row for each class of several documents: copies meet before the shuffle, and the few rows are broadcast.
+    size = rows.where("_class is not null").groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    out = rows.join(brief(checkpoint(size)), F.col("_class") == F.col("_c"), "left")
+    return out.select("_row.*", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("class_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("n_in_class"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -290,8 +290,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     # Who goes is settled without the texts.
     slim = rows.where(word).select("_key", "_id", "_other", "doc_id").join(found.withColumnRenamed("node", "_key"), "_key", "left")
     slim = slim.select("_key", "_id", "_other", F.coalesce("root", "_key").alias("_class"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_other").alias("_rank"))
-    best = slim.groupBy("_class").agg(F.min("_rank").alias("_best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ranked = slim.join(best, "_class")
+    best = checkpoint(slim.groupBy("_class").agg(F.min("_rank").alias("_best"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    ranked = slim.join(brief(best), "_class")
     go = checkpoint(ranked.groupBy("_key", "_id", "_other").agg(F.count("*").alias("n"), F.first(F.col("_rank") == F.col("_best")).alias("first")).where("n > 1 or not first"))
     stay = rows.join(brief(go.select("_key", "_id", "_other")), ["_key", "_id", "_other"], "left_anti")
     twice = go.where("first").select("_key", "_id", "_other")
