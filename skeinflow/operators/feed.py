@@ -62,6 +62,12 @@ def newest_first(shown: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame
     return shown.orderBy("session", *[F.desc(c) for c in order])
 
 
+def placed(shown: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
+    """Items with `place`, their number in the session's view, 1 for the newest. No task holds a session."""
+    got = running(shown, ["session"], order, by_number(order[0]) if block is None else block, counts={"_older": F.lit(True)})
+    return got.withColumn("place", F.col("_older_total") - F.col("_older")).drop("_older", "_older_total")
+
+
 def _last(log: DataFrame, order: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     placed = log.where(F.col("kind").isin(*kinds))
     for c in ("session", *order):

@@ -74,6 +74,12 @@ def qa_feed_after_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.feed(event_log(spark, sf_dir), ORDER, _hour()).select("session", "event_id", "question", "answer")
 
 
+def feed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each visible item in the view, newest first."""
+    shown = feed.feed(event_log(spark, sf_dir), ORDER, _hour())
+    return feed.placed(shown, ORDER, _hour()).select("session", "event_id", "place")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = question.gate(utterances(spark, sf_dir))
     got = ordered.as_of(asked, topic_changes(spark, sf_dir), ["user_id"], ORDER, "topic", _hour())
@@ -166,7 +172,7 @@ def transcript_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_transcript(spark, sf_dir).select("session", labels.transcript_shown(F.col("transcript")).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (question_tokens, question_reason, question_gate, conversation_questions, stt_extract_route, token_extract, live_transcript, current_question, open_draft, qa_feed, qa_feed_after_clear, topic_asof, system_prompt, chat_messages, topic_patterns, answer_stream, answered_feed, status_timeline, session_status, first_chunk_diagnostic, audio_gate, audio_counter, status_label, error_format, transcript_shown)}
+QUERIES = {f.__name__: f for f in (question_tokens, question_reason, question_gate, conversation_questions, stt_extract_route, token_extract, live_transcript, current_question, open_draft, qa_feed, qa_feed_after_clear, feed_places, topic_asof, system_prompt, chat_messages, topic_patterns, answer_stream, answered_feed, status_timeline, session_status, first_chunk_diagnostic, audio_gate, audio_counter, status_label, error_format, transcript_shown)}
 
 _S = jstext.SPACE
 _list = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -209,6 +215,7 @@ SQL = {
     "open_draft": sql(", e as (select session, max((ts, event_id)) as at from event_log where kind in ('done', 'clear') group by session) select event_log.session, string_agg(text, '' order by ts, event_id) as draft from event_log left join e using (session) where kind = 'chunk' and (e.at is null or (ts, event_id) > e.at) group by event_log.session", "event_log"),
     "qa_feed": sql(f", {_ITEMS} select session, event_id, question, answer from i", "event_log"),
     "qa_feed_after_clear": sql(f", {_ITEMS}, c as (select session, max(ts) as ts from event_log where kind = 'clear' group by session) select i.session, event_id, question, answer from i left join c using (session) where c.ts is null or i.ts > c.ts", "event_log"),
+    "feed_places": sql(f", {_ITEMS}, c as (select session, max(ts) as ts from event_log where kind = 'clear' group by session), v as (select i.* from i left join c using (session) where c.ts is null or i.ts > c.ts) select session, event_id, row_number() over (partition by session order by ts desc, event_id desc) as place from v", "event_log"),
     "topic_asof": sql(f", {_ASKED} select event_id, user_id, text, topic from a", "utterances", "topic_changes"),
     "system_prompt": sql(f", {_ASKED} select event_id, {_PROMPT} as prompt from a", "utterances", "topic_changes"),
     "chat_messages": sql(f", {_ASKED} select event_id, 0::bigint as pos, 'system' as role, {_PROMPT} as content from a union all select event_id, 1, 'user', text from a", "utterances", "topic_changes"),
