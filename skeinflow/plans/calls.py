@@ -95,15 +95,18 @@ def speech_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the fold of the full log, read as a stream, writes."""
-    folder, conf = _folder(spark, "fold"), "spark.sql.streaming.stateStore.providerClass"
+    """What the fold of the full log, read as a stream, writes. State is kept in no more parts than there are cores."""
+    folder, parts = _folder(spark, "fold"), "spark.sql.shuffle.partitions"
     full_log(spark, sf_dir).write.json(f"{folder}/in")
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, fold.PROVIDER)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": fold.PROVIDER, parts: str(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         fold.to_files(fold.fold(wire.events(spark, f"{folder}/in", streaming=True)), f"{folder}/out", f"{folder}/at").awaitTermination()
     finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(fold.OUT).parquet(f"{folder}/out")
 
 
