@@ -29,18 +29,23 @@ LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
+def tidy() -> None:
+    """A worker, which Spark keeps for later tasks, gives freed memory back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """After a task of `run` its worker, which Spark keeps for later ones, gives freed memory back to the machine."""
+    """`run`, whose worker tidies up after the task."""
 
     @functools.wraps(run)
     def out(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            tidy()
 
     return out
 

@@ -7,14 +7,15 @@ each dish out and seats them anew, one after another, given all other dishes' ta
 averaged over the last sweeps.
 
 Tokens are dealt to buckets by word, those of the HEAD most frequent words by word and context, so no word is one
-task's load, and stay packed in the shared checkpoint folder. From the first pass over them a bucket keeps its pairs of
-word and context with their counts, which the sweeps go over. What buckets must know of each other are figures of
-words and contexts: of the HEAD most frequent ones as arrays of that length, of all others by an exchange, for which
-the hashes are dealt to parts that add up what the buckets send and send the sums back. A seating depends on hashes of
-dish, sweep and customer alone, so any task can repeat it, also after a loss."""
+task's load, and stay packed in a table that is bucketed alike until all is scored. Each sweep is a pass over them.
+What buckets must know of each other are figures of words and contexts: of the HEAD most frequent ones as arrays of
+that length, of all others by an exchange, for which the hashes are dealt to parts that add up what the buckets send and
+send the sums back. A seating depends on hashes of dish, sweep and customer alone, so any task can repeat it, also
+after a loss."""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, mix, passes, release, signed, tidied, unit
+from .common import U64, checkpoint, mix, passes, release, signed, tidied, tidy, unit
 
 #: Words whose figures all tasks hold as arrays; others are exchanged. Both are contexts of their own.
 HEAD = 65_536
@@ -38,7 +39,7 @@ THETA = 1.0
 #: Customers that are seated one by one; further ones in blocks of this share of those before.
 ONE_BY_ONE, BLOCK_SHARE = 128, 32
 #: Tokens of a bucket, and the least number of buckets.
-BUCKET_TOKENS, LEAST_BUCKETS = 3_000_000, 48
+BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 48
 #: Tokens that are packed together, and texts at most.
 BLOCK_TOKENS, BLOCK_TEXTS = 1_000_000, 1 << 18
 END = mix(np.array([0x656E64], dtype=U64))[0]
@@ -67,6 +68,7 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
 def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (h, c): the count of each word hash in the training texts."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -115,6 +117,19 @@ def _loosen(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpressed(data, U64, n), dtype=U64)
 
 
+def _news(k: np.ndarray) -> np.ndarray:
+    """Where an ordered array has a new value."""
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    return new
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of arrays, in order. A stable sort is quick where these are in order already."""
+    x = np.sort(np.concatenate(parts), kind="stable") if parts else np.zeros(0, U64)
+    return x[_news(x)]
+
+
 _PACKED = "bucket int, src long, n int, bits int, keys binary, tail binary"
 
 
@@ -149,10 +164,13 @@ def _pack(head: np.ndarray, buckets: int):
     return run
 
 
-def _numbered(h: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Ids of hashes: places in the head, else HEAD plus the place in the tail. Both are in order, and each hash is in one."""
-    at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-    return np.where(head[at] == h, at, HEAD + np.searchsorted(tail, h))
+def _numbered(h: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of hashes, places in the head or else HEAD plus the place in the tail, and the tail: those not in the head."""
+    own = _merged([h])
+    at = np.minimum(np.searchsorted(head, own), len(head) - 1)
+    far = head[at] != own
+    ids = np.where(far, HEAD + np.cumsum(far) - 1, at)
+    return ids[np.searchsorted(own, h)], own[far]
 
 
 def _block(src: int, ids: pa.Array, h: np.ndarray, doc: np.ndarray, head: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -160,8 +178,7 @@ def _block(src: int, ids: pa.Array, h: np.ndarray, doc: np.ndarray, head: np.nda
     nulls = np.array(ids.is_null().to_pylist(), dtype=bool)
     per = np.bincount(doc, minlength=len(train)).astype(np.int64)
     out = [(-1 - src % buckets, src, len(train), 0, np.array(ids.fill_null(0), dtype=np.int64).tobytes(), nulls.tobytes() + train.tobytes() + per.tobytes())]
-    tail = np.setdiff1d(h, head)
-    word = _numbered(h, head, tail)
+    word, tail = _numbered(h, head)
     ctx = np.empty_like(word)
     ctx[0], ctx[1:] = np.searchsorted(head, END), word[:-1]  # a text starts behind the end of another
     own = mix(np.concatenate([head, np.zeros(HEAD - len(head), U64), tail]))
@@ -174,7 +191,7 @@ def _block(src: int, ids: pa.Array, h: np.ndarray, doc: np.ndarray, head: np.nda
     low = int(len(train)).bit_length()
     for i in np.flatnonzero(np.diff(edges)):
         w, c, d = word[edges[i] : edges[i + 1]], ctx[edges[i] : edges[i + 1]], doc[edges[i] : edges[i + 1]]
-        far = np.unique(np.concatenate([w[w >= HEAD], c[c >= HEAD]]))
+        far = _merged([w[w >= HEAD], c[c >= HEAD]])
         w, c = (np.where(x < HEAD, x, HEAD + np.searchsorted(far, x)) for x in (w, c))
         bits = max(16, (HEAD + len(far)).bit_length())
         if 2 * bits + 1 + low > 64:
@@ -262,13 +279,6 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, key:
     return t
 
 
-def _news(k: np.ndarray) -> np.ndarray:
-    """Where an ordered array has a new value."""
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = k[1:] != k[:-1]
-    return new
-
-
 def _hashes(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """By id, a hash of each word."""
     return mix(np.concatenate([head, np.zeros(HEAD - len(head), U64), tail]))
@@ -279,39 +289,48 @@ class Bucket:
     (0 for pairs of held-out texts alone); tables. Of the tail's words: customers and tables as dishes of the parent, and
     as contexts, over all buckets, customers (c) and tables."""
 
-    #: The first two are in order.
-    FIELDS = (("tail", U64), ("pair", U64), ("c", np.int64), ("t", np.float64), ("dish_t", np.float64), ("ctx_c", np.int64), ("ctx_t", np.float64))
+    #: What changes from sweep to sweep, with the array that tells its length.
+    STATE = (("t", float, "pair"), ("dish_t", float, "tail"), ("ctx_c", np.int64, "tail"), ("ctx_t", float, "tail"))
+
+    def __init__(self, tail: np.ndarray, pair: np.ndarray, c: np.ndarray):
+        self.tail, self.pair, self.c = tail, pair, c
+        self.word, self.ctx = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+        self.t = np.minimum(c, 1).astype(float)
+        self.dish_t = np.minimum(self.dish_c(), 1)
+        self.ctx_c, self.ctx_t = np.zeros(len(tail), np.int64), np.zeros(len(tail))
+
+    def state(self) -> list[bytes]:
+        return [_pressed(getattr(self, name)) for name, _, _ in self.STATE]
 
-    def __init__(self, **of: np.ndarray):
-        for name, _ in self.FIELDS:
-            setattr(self, name, of[name])
-        self.word, self.ctx = (self.pair >> U64(32)).astype(np.int64), (self.pair & U64(0xFFFFFFFF)).astype(np.int64)
+    def restore(self, data: list[bytes]) -> None:
+        for (name, kind, size), x in zip(self.STATE, data, strict=True):
+            setattr(self, name, _unpressed(x, kind, len(getattr(self, size))))
 
     @classmethod
-    def of_tokens(cls, rows: list[dict]) -> tuple["Bucket", list[tuple[np.ndarray, np.ndarray]]]:
-        """The bucket of packed tokens, and for each row the place of each token's pair, and its text."""
+    def of_tokens(cls, rows: list[dict], placed: bool = False) -> tuple["Bucket", list[tuple[np.ndarray, np.ndarray]]]:
+        """The bucket of packed tokens, and if they are asked for, for each row the place of each token's pair, and its text."""
         own = [np.frombuffer(r["tail"], dtype=U64) for r in rows]
-        tail = np.unique(np.concatenate(own))
-        keys, docs, train = [], [], []
+        tail = _merged(own)
+        seen, trained, places = [], [], []
         for r, t in zip(rows, own, strict=True):
             k, bits, low = _loosen(r["keys"], r["n"]), r["bits"] >> 8, r["bits"] & 255
             to = np.concatenate([np.arange(HEAD), HEAD + np.searchsorted(tail, t)]).astype(U64)
-            mask = U64((1 << bits) - 1)
-            keys.append((to[k >> U64(bits + 1 + low)] << U64(32)) | to[(k >> U64(1 + low)) & mask])  # ids keep the order of hashes
-            train.append((k >> U64(low)) & U64(1) == 1)
-            docs.append((k & U64((1 << low) - 1)).astype(np.int32))
-        pair = np.unique(np.concatenate([k[_news(k)] for k in keys]))
-        places = []
-        c = np.zeros(len(pair), np.int64)
-        for k, t in zip(keys, train, strict=True):
-            new = _news(k)
-            place = np.searchsorted(pair, k[new])[np.cumsum(new) - 1]
-            places.append(place)
-            c += np.bincount(place[t], minlength=len(pair))
-        zero = lambda kind: np.zeros(len(tail), kind)
-        got = cls(tail=tail, pair=pair, c=c, t=np.minimum(c, 1).astype(float), dish_t=zero(float), ctx_c=zero(np.int64), ctx_t=zero(float))
-        got.dish_t = np.minimum(got.dish_c(), 1)
-        return got, list(zip(places, docs, strict=True))
+            both = k >> U64(1 + low)
+            at = np.flatnonzero(_news(both))
+            pair = both[at]
+            pair = (to[pair >> U64(bits)] << U64(32)) | to[pair & U64((1 << bits) - 1)]  # ids keep the order of hashes
+            seen.append(pair)
+            trained.append(np.add.reduceat((k >> U64(low)) & U64(1), at).astype(np.int64))
+            if placed:
+                places.append((np.diff(np.append(at, len(k))), (k & U64((1 << low) - 1)).astype(np.int32)))
+        pairs = _merged(seen)
+        c = np.zeros(len(pairs), np.int64)
+        for i, (pair, n) in enumerate(zip(seen, trained, strict=True)):
+            at = np.searchsorted(pairs, pair)
+            c[at] += n  # a row has each pair once
+            if placed:
+                places[i] = (np.repeat(at, places[i][0]), places[i][1])
+        return cls(tail, pairs, c), places
 
     def dish_c(self) -> np.ndarray:
         """The tail's words' customers in the parent. All pairs of a word outside the head are in its bucket."""
@@ -352,31 +371,23 @@ class Bucket:
         return np.concatenate([plan.counts, own])[self.word]
 
 
-#: Rows that buckets and parts send each other, by kind: a bucket's model after a sweep; its figures of contexts outside
-#: the head, for a part; a part's sums of them, for a bucket; a bucket's figures of frequent words and totals; a model that
+#: Rows that buckets and parts send each other, by kind: a bucket's state after a sweep; its figures of contexts outside
+#: the head, for a part; a part's sums of them, for a bucket; a bucket's figures of frequent words and totals; a state that
 #: predictions use, with what it was told after its sweep.
 MODEL, ASKED, ANSWERED, FIGURES, USED = range(5)
-_SENT = "kind int, at int, src int, n int, m int, data array<binary>"
+_SENT = "kind int, at int, src int, n int, data array<binary>"
 #: Totals among the figures: customers of the parent; tables of the tail's words there; pairs of one and of two customers;
 #: the tail's words of one and of two contexts.
 TOTALS = 6
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = [pa.int32()] * 5 + [pa.list_(pa.binary())]
+    tidy()  # what a group held but for these rows
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = [pa.int32()] * 4 + [pa.list_(pa.binary())]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _names(_SENT))
 
 
-def _model(b: Bucket, at: int, kind: int = MODEL) -> tuple:
-    return (kind, at, at, len(b.tail), len(b.pair), [_squeeze(b.tail), _squeeze(b.pair), *[_pressed(getattr(b, name)) for name, _ in Bucket.FIELDS[2:]]])
-
-
-def _restored(row: dict) -> Bucket:
-    sizes = {name: row["m"] if name in ("pair", "c", "t") else row["n"] for name, _ in Bucket.FIELDS}
-    return Bucket(**{name: _loosen(x, sizes[name]) if kind is U64 else _unpressed(x, kind, sizes[name]) for (name, kind), x in zip(Bucket.FIELDS, row["data"], strict=True)})
-
-
 def _asked(b: Bucket, at: int, parts: int) -> Iterator[tuple]:
     """For each part its hashes of the bucket's tail, with customers and tables of these contexts here."""
     part = (b.tail % U64(parts)).astype(np.int64)
@@ -385,7 +396,7 @@ def _asked(b: Bucket, at: int, parts: int) -> Iterator[tuple]:
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(edges)):
         own = order[edges[p] : edges[p + 1]]
-        yield (ASKED, int(p), at, len(own), 0, [_squeeze(b.tail[own]), _pressed(c[own]), _pressed(t[own])])
+        yield (ASKED, int(p), at, len(own), [_squeeze(b.tail[own]), _pressed(c[own]), _pressed(t[own])])
 
 
 def _figures(b: Bucket, at: int, first: bool) -> tuple:
@@ -393,7 +404,7 @@ def _figures(b: Bucket, at: int, first: bool) -> tuple:
     ctx, word = b.by_context(b.t)[:HEAD], np.bincount(b.word[near], weights=b.t[near], minlength=HEAD)
     dishes = b.dish_c()
     total = [b.t.sum(), b.dish_t.sum(), *[(x == k).sum() if first else 0 for x in (b.c, dishes) for k in (1, 2)]]
-    return (FIGURES, 0, at, 0, 0, [_pressed(ctx), _pressed(word), np.array(total, dtype=float).tobytes()])
+    return (FIGURES, 0, at, 0, [_pressed(ctx), _pressed(word), np.array(total, dtype=float).tobytes()])
 
 
 def _started(parts: int):
@@ -402,7 +413,7 @@ def _started(parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         at = key[0].as_py()
         b, _ = Bucket.of_tokens(table.to_pylist())
-        return _sent([_model(b, at), _figures(b, at, True), *_asked(b, at, parts)])
+        return _sent([(MODEL, at, at, 0, b.state()), _figures(b, at, True), *_asked(b, at, parts)])
 
     return run
 
@@ -417,34 +428,33 @@ def _answered(key: tuple, table: pa.Table) -> pa.Table:
     for r, place in zip(rows, places, strict=True):
         for k in (0, 1):
             sums[k, place] += _unpressed(r["data"][1 + k], np.int64, r["n"])
-    return _sent([(ANSWERED, r["src"], key[0].as_py(), r["n"], 0, [_pressed(sums[0, p]), _pressed(sums[1, p])]) for r, p in zip(rows, places, strict=True)])
+    return _sent([(ANSWERED, r["src"], key[0].as_py(), r["n"], [_pressed(sums[0, p]), _pressed(sums[1, p])]) for r, p in zip(rows, places, strict=True)])
 
 
-def _told(b: Bucket, answers: list[dict], parts: int) -> None:
-    """Takes a part's answers into a bucket: they come in the order of its hashes of that part."""
+def _told(b: Bucket, rows: list[dict], parts: int) -> None:
+    """Takes the last state and the parts' answers into a bucket: these come in the order of its hashes of each part."""
+    b.restore(next(r["data"] for r in rows if r["kind"] == MODEL))
     part = (b.tail % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for r in answers:
+    for r in (r for r in rows if r["kind"] == ANSWERED):
         own = order[edges[r["src"]] : edges[r["src"] + 1]]
         b.ctx_c[own] = _unpressed(r["data"][0], np.int64, r["n"])
         b.ctx_t[own] = _unpressed(r["data"][1], np.int64, r["n"])
 
 
 def _swept(plan: Broadcast, head: Broadcast, parts: int, i: int):
-    """A bucket's model after i sweeps and what it was told to the model after the next, with its figures and questions,
-    and to the one that predictions use, if they do."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows, at, out = table.to_pylist(), key[0].as_py(), []
-        b = _restored(next(r for r in rows if r["kind"] == MODEL))
-        _told(b, [r for r in rows if r["kind"] == ANSWERED], parts)
-        if i > SWEEPS - KEPT:
-            out.append(_model(b, at, USED))
-        if i < SWEEPS:
-            b.sweep(plan.value, head.value, i)
-            out += [_model(b, at), _figures(b, at, False), *_asked(b, at, parts)]
-        return _sent(out)
+    """A bucket's tokens, its state after i sweeps and what it was told, to the state after the next with figures and
+    questions; and the one that it was, if predictions use it."""
+
+    def run(key: tuple, tokens: pa.Table, sent: pa.Table) -> pa.Table:
+        if not tokens.num_rows:
+            return _sent([])
+        at, (b, _) = key[0].as_py(), Bucket.of_tokens(tokens.to_pylist())
+        _told(b, sent.to_pylist(), parts)
+        out = [(USED, at, i, 0, b.state())] if i > SWEEPS - KEPT else []
+        b.sweep(plan.value, head.value, i)
+        return _sent([*out, (MODEL, at, at, 0, b.state()), _figures(b, at, False), *_asked(b, at, parts)])
 
     return run
 
@@ -485,25 +495,28 @@ def _discount(one: float, two: float) -> float:
 _SCORED = "src long, bucket int, n int, data binary"
 
 
-def _scored(plan: Broadcast):
-    """Of a bucket's tokens and its models after the kept sweeps, for each block of texts the sums of its tokens: score,
+def _scored(plan: Broadcast, parts: int):
+    """Of a bucket's tokens and its states after the kept sweeps, for each block of texts the sums of its tokens: score,
     base score and known tokens of each text."""
 
-    def run(key: tuple, tokens: pa.Table, models: pa.Table) -> pa.Table:
-        out = []
+    def run(key: tuple, tokens: pa.Table, sent: pa.Table) -> pa.Table:
+        out, at = [], key[0].as_py()
         if tokens.num_rows:
-            plan_, rows = plan.value, tokens.to_pylist()
-            fresh, places = Bucket.of_tokens(rows)
-            p = np.zeros(len(fresh.pair))
-            for r in models.to_pylist():  # `src` tells the state that a model goes with
-                p += _restored(r).predict(plan_, plan_.states[r["src"]])
-            total = fresh.counts(plan_)
-            score, base = np.log10(p / KEPT), np.log10((total + 1) / (plan_.n + plan_.v + 1))
+            rows, told, of = tokens.to_pylist(), sent.to_pylist(), plan.value
+            b, places = Bucket.of_tokens(rows, placed=True)
+            _told(b, told, parts)
+            p = b.predict(of, of.states[SWEEPS])
+            for r in sorted((r for r in told if r["kind"] == USED), key=lambda r: r["src"]):
+                b.restore(r["data"])
+                p += b.predict(of, of.states[r["src"]])
+            total = b.counts(of)
+            score, base = np.log10(p / KEPT), np.log10((total + 1) / (of.n + of.v + 1))
             for r, (place, doc) in zip(rows, places, strict=True):
                 n = int(doc.max()) + 1
                 used = np.flatnonzero(np.bincount(doc, minlength=n))
                 sums = [np.bincount(doc, weights=x[place], minlength=n)[used] for x in (score, base, total > 0)]
-                out.append((r["src"], key[0].as_py(), len(used), used.astype(np.int32).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes()))
+                out.append((r["src"], at, len(used), used.astype(np.int32).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes()))
+        tidy()
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], _names(_SCORED))
 
@@ -542,29 +555,39 @@ def score(docs: DataFrame) -> DataFrame:
     of = dict(zip(top["h"].to_numpy().view(U64).tolist(), top["c"].to_pylist(), strict=True))
     of.setdefault(int(END), 0)
     head = np.array(sorted(of), dtype=U64)
+    del counts, top  # what was written goes with what names it
     plan = Plan(n, v, np.zeros(HEAD))
     plan.counts[: len(head)] = [of[int(h)] for h in head]
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_TOKENS))
+    release(spark)
     shared = spark.sparkContext.broadcast(head)  # half a megabyte
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pack(shared.value, buckets)(batches)
 
-    packed = checkpoint(docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket"))
+    # A bucketed table: each sweep joins tokens with what buckets are told, and only that is shuffled.
+    name = f"tokens_{uuid.uuid4().hex}"
+    docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket").write.bucketBy(buckets, "bucket").saveAsTable(name)
     release(spark)
+    packed = spark.table(name)
     texts = packed.where("bucket < 0").select("src", "bucket", "n", F.col("keys").alias("ids"), F.col("tail").alias("data"))
     tokens = packed.where("bucket >= 0")
-    sent = checkpoint(tokens.groupBy("bucket").applyInArrow(_started(buckets), _SENT))
-    models = None
+    sent, used = checkpoint(tokens.groupBy("bucket").applyInArrow(_started(buckets), _SENT)), None
+    release(spark)
     for i in range(SWEEPS + 1):
         _state(sent, plan, head, i)
         known = spark.sparkContext.broadcast(plan)  # three arrays of fixed length for each sweep
-        asked = sent.where(F.col("kind") == ASKED).repartition(buckets, "at")
-        both = sent.where(F.col("kind") == MODEL).unionByName(asked.groupBy("at").applyInArrow(_answered, _SENT))
-        sent = checkpoint(both.repartition(buckets, "at").groupBy("at").applyInArrow(_swept(known, shared, buckets, i), _SENT))
-        used = sent.where(F.col("kind") == USED).withColumn("src", F.lit(i))
-        models = used if models is None else models.unionByName(used)
-        release(spark)
-    told = tokens.groupBy("bucket").cogroup(models.repartition(buckets, "at").groupBy("at")).applyInArrow(_scored(known), _SCORED).withColumn("ids", F.lit(None).cast("binary"))
-    got = told.unionByName(texts).groupBy("src").applyInArrow(_by_text, _OUT)
+        asked = sent.where(F.col("kind") == ASKED).repartition(buckets, "at").groupBy("at").applyInArrow(_answered, _SENT)
+        both = sent.where(F.col("kind") == MODEL).unionByName(asked)
+        if i < SWEEPS:
+            sent = checkpoint(tokens.groupBy("bucket").cogroup(both.groupBy("at")).applyInArrow(_swept(known, shared, buckets, i), _SENT))
+            if i > SWEEPS - KEPT:
+                new = sent.where(F.col("kind") == USED)
+                used = new if used is None else used.unionByName(new)
+            del asked, both
+            release(spark)
+    told = tokens.groupBy("bucket").cogroup((both if used is None else both.unionByName(used)).groupBy("at")).applyInArrow(_scored(known, buckets), _SCORED).withColumn("ids", F.lit(None).cast("binary"))
+    got = checkpoint(told.unionByName(texts).groupBy("src").applyInArrow(_by_text, _OUT))  # a few numbers for each text
+    spark.sql(f"drop table {name}")
+    release(spark)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
