@@ -39,7 +39,7 @@ THETA = 1.0
 #: Customers that are seated one by one; further ones in blocks of this share of those before.
 ONE_BY_ONE, BLOCK_SHARE = 128, 32
 #: Tokens of a bucket, and the least number of buckets.
-BUCKET_TOKENS, LEAST_BUCKETS = 1_500_000, 48
+BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 48
 #: Tokens that are packed together, and texts at most.
 BLOCK_TOKENS, BLOCK_TEXTS = 1_000_000, 1 << 18
 END = mix(np.array([0x656E64], dtype=U64))[0]
@@ -493,6 +493,8 @@ def _discount(one: float, two: float) -> float:
 
 
 _SCORED = "src long, bucket int, n int, data binary"
+#: A text's sums in a bucket: its number, less that of the one before; score; base score; known tokens.
+_SUMS = np.dtype([("text", "<i4"), ("score", "<f8"), ("base", "<f8"), ("known", "<i4")])
 
 
 def _scored(plan: Broadcast, parts: int):
@@ -514,8 +516,11 @@ def _scored(plan: Broadcast, parts: int):
             for r, (place, doc) in zip(rows, places, strict=True):
                 n = int(doc.max()) + 1
                 used = np.flatnonzero(np.bincount(doc, minlength=n))
-                sums = [np.bincount(doc, weights=x[place], minlength=n)[used] for x in (score, base, total > 0)]
-                out.append((r["src"], at, len(used), used.astype(np.int32).tobytes() + sums[0].tobytes() + sums[1].tobytes() + sums[2].astype(np.int32).tobytes()))
+                sums = np.zeros(len(used), _SUMS)
+                sums["text"] = np.diff(used, prepend=0)
+                for field_, x in (("score", score), ("base", base), ("known", total > 0)):
+                    sums[field_] = np.bincount(doc, weights=x[place], minlength=n)[used]
+                out.append((r["src"], at, len(used), _pressed(sums)))
         tidy()
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], _names(_SCORED))
@@ -535,11 +540,10 @@ def _by_text(table: pa.Table) -> pa.Table:
     nulls, train, per = np.frombuffer(rest[:n], dtype=bool), np.frombuffer(rest[n : 2 * n], dtype=bool), np.frombuffer(rest[2 * n :], dtype=np.int64)
     sums = np.zeros((3, n))
     for r in sorted((r for r in rows if r["ids"] is None), key=lambda r: r["bucket"]):
-        m, data = r["n"], r["data"]
-        used = np.frombuffer(data[: 4 * m], dtype=np.int32)
-        sums[0, used] += np.frombuffer(data[4 * m : 12 * m], dtype=np.float64)
-        sums[1, used] += np.frombuffer(data[12 * m : 20 * m], dtype=np.float64)
-        sums[2, used] += np.frombuffer(data[20 * m :], dtype=np.int32)
+        got = _unpressed(r["data"], _SUMS, r["n"])
+        used = np.cumsum(got["text"])
+        for k, field_ in enumerate(("score", "base", "known")):
+            sums[k, used] += got[field_]
     return pa.table({"doc_id": pa.array(ids, mask=nulls), "held_out": pa.array(~train), "n_tokens": pa.array(per), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})
 
 
