@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, near_duplicates, passages, pii, pitman_yor, quality_model, quality_rules, sharding
+from . import bpe, decontamination, html, near_duplicates, passages, periodic_runs, pii, pitman_yor, quality_model, quality_rules, sharding
 from .common import table
 
 
@@ -57,8 +57,12 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op5_pitman_yor, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op5_pitman_yor, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
