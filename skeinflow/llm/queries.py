@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html, near_duplicates, passages, periodic_runs, pii, pitman_yor, quality_model, quality_rules, sharding
+from . import bpe, decontamination, html, metric_tree, near_duplicates, passages, periodic_runs, pii, pitman_yor, quality_model, quality_rules, sharding, vector_codes
 from .common import table
 
 
@@ -57,13 +57,21 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(periodic_runs.looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_delta_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op5_pitman_yor, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_dart_minhash, op2_tree_bpe, op3_site_quality, op4_seeded_alignment, op5_pitman_yor, op6_controlled_rules, op7_hash_tree_shards, op8_feistel_pseudonyms, op9_repeated_passages, op10_template_text, op11_metric_tree, op12_periodic_runs, op13_delta_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_controlled_rules": quality_rules.SQL, "op7_hash_tree_shards": sharding.SQL}
+    return {"op6_controlled_rules": quality_rules.SQL, "op7_hash_tree_shards": sharding.SQL, "op11_metric_tree": metric_tree.SQL, "op13_delta_codes": vector_codes.SQL}
