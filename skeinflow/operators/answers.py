@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import stored
+
 
 @dataclass(frozen=True)
 class Request:
@@ -68,11 +70,17 @@ def told(requests: DataFrame, provider: Provider = echo) -> DataFrame:
     return requests.mapInPandas(run, schema)
 
 
-def conversation(finals: DataFrame, requests: DataFrame, order: list[str], provider: Provider = echo) -> DataFrame:
+def conversation(finals: DataFrame, requests: DataFrame, order: list[str], provider: Provider = echo, path: str | None = None) -> DataFrame:
     """The event log of final transcripts and of the answers to their questions: session, kind, text, the order columns,
     and `step`, which puts a transcript before its chunks and these before `done`. An answer that failed has no `done`,
-    so its pieces stay in the draft. Each provider is asked once for each reading of the log."""
+    so its pieces stay in the draft. Answers are written once, to `path` or the shared folder, before anything reads them:
+    a provider is asked once for a request, however often the log is read."""
+    return log(finals, stored(told(requests.select("session", "topic", "template", "question", *order), provider), path), order)
+
+
+def log(finals: DataFrame, answers: DataFrame, order: list[str]) -> DataFrame:
+    """The same from answers that are stored, as `told` gives them."""
     said = finals.select("session", F.lit("final").alias("kind"), "text", *order, F.lit(-1).alias("step"))
-    rows = told(requests, provider).where("chunk is not null or failure is null")
+    rows = answers.where("chunk is not null or failure is null")
     kind = F.when(F.col("chunk").isNull(), "done").otherwise("chunk")
     return said.unionByName(rows.select("session", kind.alias("kind"), F.col("chunk").alias("text"), *order, F.col("chunk_idx").alias("step")))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio, labels
 from ..operators import feed, ordered, status
-from ..sources import wire
+from ..sources import folders, wire
 from ..streaming import fold
+from . import live
 from .conversation import _ASKS, _LABEL, _classified
 from .inputs import ORDER, blocks, call_log, full_log, speech_messages, sql, table
 
@@ -72,14 +71,9 @@ def audio_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.with_audio_track(tracks).select("source", "track")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings changed, stored and read again: keys encrypted, one of them empty and taken from the environment."""
-    folder, key = _folder(spark, "settings"), "0123456789abcdef"
+    folder, key = folders.new(spark, "settings"), "0123456789abcdef"
     changed = wire.update_overlay(wire.update_topic(wire.read_settings(spark, environment={}), "Botany"), x=7.0, opacity=0.5)
     wire.write_settings(wire.update_keys(changed, "speech key", ""), folder, key)
     return wire.read_settings(spark, folder, key, {"OPENAI_API_KEY": "from outside", "DEEPGRAM_API_KEY": "unused"}).select("topic", "overlay.*", "apiKeys.*")
@@ -87,7 +81,7 @@ def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speech_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of speech messages that come as a stream of lines, counted."""
-    folder = _folder(spark, "speech")
+    folder = folders.new(spark, "speech")
     speech_messages(spark, sf_dir).select("message").write.text(f"{folder}/in")
     query = fold.to_files(fold.transcripts(wire.messages(spark, f"{folder}/in", streaming=True)), f"{folder}/out", f"{folder}/at")
     query.awaitTermination()
@@ -95,19 +89,16 @@ def speech_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the fold of the full log, read as a stream, writes. State is kept in no more parts than there are cores."""
-    folder, parts = _folder(spark, "fold"), "spark.sql.shuffle.partitions"
+    """What the fold of the full log, read as a stream, writes."""
+    return live.written(spark, folded(spark, sf_dir), fold.OUT)
+
+
+def folded(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a fold of the full log, read as a stream."""
+    folder = folders.new(spark, "fold")
     full_log(spark, sf_dir).write.json(f"{folder}/in")
-    wanted = {"spark.sql.streaming.stateStore.providerClass": fold.PROVIDER, parts: str(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism))}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        fold.to_files(fold.fold(wire.events(spark, f"{folder}/in", streaming=True)), f"{folder}/out", f"{folder}/at").awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(fold.OUT).parquet(f"{folder}/out")
+    fold.to_files(fold.fold(wire.events(live.session(spark), f"{folder}/in", streaming=True)), f"{folder}/out", f"{folder}/at").awaitTermination()
+    return folder
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
