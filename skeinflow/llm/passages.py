@@ -1,8 +1,8 @@
 """Repeated passages: paragraph MinHash banding, exact checks, and clusters of removals.
 
-Paragraphs are lines of LINE words or more, compared by MinHash bands and exact Jaccard similarity, and, so
+Paragraphs are all lines that have a shingle, compared by MinHash bands and exact Jaccard similarity, and, so
 that a passage pasted into other text is found as well, the sentences inside lines, which are paragraphs of
-their own that only their equals match (their few shingles leave a changed sentence under the similarity).
+their own that only their equals match.
 Passages that keep to no lines and sentences are found by stretches of the whole text that start where its
 content says (winnowing): two texts that share PASSAGE words share a stretch of RUN of them at least.
 A document's repeated paragraphs that lie next to one another make a passage; passages of RUN words or more
@@ -23,8 +23,9 @@ from pyspark.sql import Window
 from .common import Bits, Words, _power, brief, checkpoint, distinct, free, grams, mix, passes, release, signed, tidied
 from .near_duplicates import SHINGLE, SIMILAR, SKETCH, _checked, bands, darts, linked, sketches
 
-#: Words of a line that is compared by MinHash; of a sentence; of a passage; between paragraphs of one passage.
-LINE, SENTENCE, RUN, GAP = 20, 5, 20, 8
+#: Words of a line that is compared by MinHash, the fewest that make a shingle: a word put before or behind a line of eight
+#: leaves it at 0.8. Words of a sentence; of a passage; between paragraphs of one passage.
+LINE, SENTENCE, RUN, GAP = SHINGLE, 5, 20, 8
 #: Words of a passage that is found wherever it starts and ends.
 PASSAGE = 51
 #: A stretch without a sentence's end is cut by its content from so many words on, and at the latest after so many.

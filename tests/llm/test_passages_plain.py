@@ -86,3 +86,70 @@ def test_against_all_pairs(spark):
     got = {(r["doc_id"], r["start_word"], r["n_words"], r["first_doc_id"], r["n_docs"], r["removed"]) for r in passages.repeated(rows).collect()}
     want = _plain(docs)
     assert len(want) > 100 and got == want
+
+
+def test_short_lines_that_differ_by_a_word(spark):
+    """Lines of 5 to 30 words, held against all pairs of lines by their shingles, with lines and places told here."""
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    blocks = [[say(n) for n in rng.choices(range(5, 31), k=8)] for _ in range(12)]
+    docs = []
+    for i in range(40):
+        lines = []
+        for _ in range(2):
+            lines += [say(25), *[_edited(rng, line) for line in rng.choice(blocks)], say(25)]
+        docs.append((i, "\n".join(" ".join(line) for line in lines)))
+    docs += [(50 + d, "\n".join(f"{d}x{k} " + " ".join(f"t{k}w{j}" for j in range(18)) for k in range(6))) for d in range(2)]  # six lines of 19 words whose first differs
+    shingles = lambda line: {tuple(line[k : k + 5]) for k in range(len(line) - 4)}
+    places, roots = [], {}
+    for i, text in docs:
+        at = 0
+        for line in (x.split() for x in text.split("\n")):
+            places.append((i, at, len(line), tuple(line)))
+            at += len(line)
+            roots[tuple(line)] = tuple(line)
+
+    def root(k):
+        while roots[k] != k:
+            k = roots[k]
+        return k
+
+    lines = [(k, shingles(k)) for k in roots]
+    for n, (a, x) in enumerate(lines):
+        for b, y in lines[:n]:
+            if len(x & y) >= 0.8 * len(x | y):
+                roots[root(a)] = root(b)
+    held = defaultdict(set)
+    for i, _, _, k in places:
+        held[root(k)].add(i)
+    want, by_doc = set(), defaultdict(list)
+    for i, at, n, k in places:
+        if len(held[root(k)]) > 1:
+            by_doc[i].append((at, n, root(k)))
+    for i, own in by_doc.items():
+        runs, end = [], None
+        for at, n, k in own:
+            if end is None or at > end + passages.GAP:
+                runs.append([])
+            runs[-1].append((at, n, k))
+            end = at + n
+        want |= {(i, at, n, i != min(held[k])) for run in runs if sum(n for _, n, _ in run) >= passages.RUN for at, n, k in run}
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = passages.repeated(rows).collect()
+    got = {(r["doc_id"], r["start_word"], r["n_words"], r["removed"]) for r in found}
+    short = {(i, at, n) for i, at, n, _ in want if n < 20}
+    missed = want - got
+    assert len(short) > 150 and len(missed) <= 0.01 * len(want), missed  # the bands' recall at 0.8
+    assert sum(r["doc_id"] >= 50 for r in found) == 12
+    covered = {(i, w) for i, at, n, _ in want for w in range(at, at + n)}
+    words = {i: text.split() for i, text in docs}
+    for r in found:  # what is not in such lines stands in another document word by word
+        i, a, z = r["doc_id"], r["start_word"], r["start_word"] + r["n_words"]
+        told = f" {' '.join(words[i][a:z])} "
+        assert all((i, w) in covered for w in range(a, z)) or any(told in f" {' '.join(w)} " for j, w in words.items() if j != i)
+
+
+def _edited(rng, line):
+    """A line with one word changed at an edge, put before it or behind it, or left out there, or as it is."""
+    kind, other = rng.randrange(6), f"e{rng.randrange(10**6)}"
+    return [[other, *line[1:]], [*line[:-1], other], [other, *line], [*line, other], line[1:] if len(line) > 5 else line, line][kind]
