@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import jstext, labels
 from .ordered import by_number, running
@@ -68,6 +69,18 @@ def placed(shown: DataFrame, order: Sequence[str] = ("seq",), block: Column | No
     return got.withColumn("place", F.col("_older_total") - F.col("_older")).drop("_older", "_older_total")
 
 
+def newest(shown: DataFrame, k: int, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:
+    """The k newest items of each session, with `place`, 1 for the newest. A block gives up all but its k newest before
+    blocks meet, and so does each task before the shuffle: no session is sorted or gathered. Rows with a null session or
+    order are dropped."""
+    rows = shown.withColumn("_block", by_number(order[0]) if block is None else block)
+    for c in ("session", *order):
+        rows = rows.where(F.col(c).isNotNull())
+    for key in (["session", "_block"], ["session"]):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]))).where(F.col("place") <= k)
+    return rows.drop("_block")
+
+
 def _last(log: DataFrame, order: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     placed = log.where(F.col("kind").isin(*kinds))
     for c in ("session", *order):

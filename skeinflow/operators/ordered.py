@@ -26,26 +26,28 @@ def by_hour(column: str) -> Column:
     return F.date_diff(F.to_date(column), F.lit("1970-01-01")) * 24 + F.hour(column)
 
 
-def running(rows: DataFrame, key: Sequence[str], order: Sequence[str], block: Column, counts: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None, before: Mapping[str, Column] | None = None) -> DataFrame:
+def running(rows: DataFrame, key: Sequence[str], order: Sequence[str], block: Column, counts: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None, before: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds to `rows`, by key and in order:
 
     counts: for each name and condition, how many earlier rows meet it, and as `<name>_total` how many of all;
+    sums: the same of whole numbers, nulls being zeros;
     lasts: for each name and value, the last one that is not null, up to the row itself;
     before: the same, up to the row before.
 
     The block must not fall as the order rises. Rows with a null key or order are dropped: they are nowhere in
     the order. Rows that agree in all order columns come in any order."""
-    counts, lasts, before = dict(counts or {}), dict(lasts or {}), dict(before or {})
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    counts = {n: one(c) for n, c in (counts or {}).items()} | {n: F.coalesce(c, F.lit(0)).cast("long") for n, c in (sums or {}).items()}
+    lasts, before = dict(lasts or {}), dict(before or {})
     for c in (*key, *order):
         rows = rows.where(F.col(c).isNotNull())
     cut = rows.withColumn("_block", block)
     own = Window.partitionBy(*key, "_block").orderBy(*order)
     past, upto = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
-    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     place = F.struct(*order)
     sums = cut.groupBy(*key, "_block").agg(
         F.lit(True).alias("_any"),
-        *[F.sum(one(c)).alias(f"_n_{n}") for n, c in counts.items()],
+        *[F.sum(c).alias(f"_n_{n}") for n, c in counts.items()],
         *[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_v_{n}") for n, v in (lasts | before).items()],
     )
     along = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +60,7 @@ def running(rows: DataFrame, key: Sequence[str], order: Sequence[str], block: Co
         *[F.last(f"_v_{n}", ignorenulls=True).over(along).alias(f"_v_{n}") for n in lasts | before],
     )
     local = cut.withColumns(
-        {f"_l_{n}": F.coalesce(F.sum(one(c)).over(past), F.lit(0)) for n, c in counts.items()}
+        {f"_l_{n}": F.coalesce(F.sum(c).over(past), F.lit(0)) for n, c in counts.items()}
         | {f"_l_{n}": F.last(v, ignorenulls=True).over(upto) for n, v in lasts.items()}
         | {f"_l_{n}": F.last(v, ignorenulls=True).over(past) for n, v in before.items()}
     )

@@ -27,16 +27,24 @@ def activity(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | No
     `starts`, start calls so far; `stops`, switches off so far."""
     block = by_number(order[0]) if block is None else block
     kind = F.col("kind")
-    got = running(log, ["session"], order, block, counts={"starts": kind == "start", "stops": kind.isin("stop", "failed", "keys")}, before={"_switch": F.when(kind.isin(*SWITCHES), kind), "_asked": F.when(kind.isin("start", "stop", "failed"), kind), "_pipe": F.when(kind.isin("start", "keys"), kind)})
-    on = lambda c: F.coalesce(F.col(c) == "start", F.lit(False))
-    got = got.withColumns({"active": on("_switch"), "piped": on("_pipe")}).drop("starts_total", "stops_total")
-    # Where a session's first pipeline was dropped: few switches tell, one row for such a session.
+    # Where keys are saved while a session is active its pipeline is dropped: found among the few switches, and put into the
+    # log as rows of their own, so that the log is carried along once and no session is joined as a whole.
     switches = running(log.where(kind.isin(*SWITCHES)).select("session", "kind", *order), ["session"], order, block, before={"_before": kind})
-    dropped = switches.where("kind = 'keys' and _before = 'start'").groupBy(F.col("session").alias("_s")).agg(F.min(F.struct(*order)).alias("_from"))
-    got = got.join(dropped, F.col("session") == F.col("_s"), "left")
-    apart = F.coalesce(F.struct(*order) > F.col("_from"), F.lit(False))
+    dropped = switches.where("kind = 'keys' and _before = 'start'").select("session", *order, F.lit(1).alias("_mark"))
+    both = log.withColumn("_mark", F.lit(0)).unionByName(dropped, allowMissingColumns=True)
+    got = running(
+        both,
+        ["session"],
+        [*order, "_mark"],
+        block,
+        counts={"starts": kind == "start", "stops": kind.isin("stop", "failed", "keys")},
+        before={"_switch": F.when(kind.isin(*SWITCHES), kind), "_asked": F.when(kind.isin("start", "stop", "failed"), kind), "_pipe": F.when(kind.isin("start", "keys"), kind), "_apart": F.when(F.col("_mark") == 1, True)},
+    )
+    got = got.where("_mark = 0")
+    on = lambda c: F.coalesce(F.col(c) == "start", F.lit(False))
+    got = got.withColumns({"active": on("_switch"), "piped": on("_pipe")})
     closed = F.coalesce(F.col("_asked").isin("stop", "failed"), F.lit(False))
-    return got.withColumns({"open": F.col("active") | apart, "closed": closed}).drop("_switch", "_asked", "_pipe", "_s", "_from")
+    return got.withColumns({"open": F.col("active") | F.coalesce("_apart", F.lit(False)), "closed": closed}).drop("starts_total", "stops_total", "_switch", "_asked", "_pipe", "_apart", "_mark")
 
 
 def heard(log: DataFrame, order: Sequence[str] = ("seq",), block: Column | None = None) -> DataFrame:

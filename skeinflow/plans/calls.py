@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import audio, labels
+from ..functions import audio, labels, prompt, settings
 from ..operators import feed, ordered, status
 from ..sources import folders, wire
 from ..streaming import fold
@@ -72,11 +72,17 @@ def audio_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings changed, stored and read again: keys encrypted, one of them empty and taken from the environment."""
-    folder, key = folders.new(spark, "settings"), "0123456789abcdef"
-    changed = wire.update_overlay(wire.update_topic(wire.read_settings(spark, environment={}), "Botany"), x=7.0, opacity=0.5)
-    wire.write_settings(wire.update_keys(changed, "speech key", ""), folder, key)
-    return wire.read_settings(spark, folder, key, {"OPENAI_API_KEY": "from outside", "DEEPGRAM_API_KEY": "unused"}).select("topic", "overlay.*", "apiKeys.*")
+    """Settings of an installation for each customer: read, changed, stored with keys encrypted, and read again; keys that are
+    empty come from the environment, other missing fields from the defaults."""
+    folder, key, n = folders.new(spark, "settings"), "0123456789abcdef", F.col("c_custkey")
+    window = F.struct(*[F.when(n % (i + 2) == 0, F.col("c_acctbal") + i).alias(f) for i, f in enumerate(settings.OVERLAY)])
+    some = lambda k, text: F.when(n % k != 0, F.concat(F.lit(text), n.cast("string"))).otherwise("")
+    own = table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic"), F.when(n % 2 == 0, F.col("c_mktsegment")).alias("topicPromptTemplate"), settings.merged(F.struct(*[F.lit(v).alias(f) for f, v in settings.OVERLAY.items()]), window).alias("overlay"), some(3, "s").alias("deepgramApiKey"), some(4, "a").alias("openAiApiKey"))
+    own.write.json(f"{folder}/first")
+    read = wire.read_settings(spark, f"{folder}/first", environment={}, lines=True)
+    wire.write_settings(wire.update_overlay(read, x=7.0, opacity=0.5), f"{folder}/second", key)
+    got = wire.read_settings(spark, f"{folder}/second", key, {"OPENAI_API_KEY": "from outside", "DEEPGRAM_API_KEY": ""}, lines=True)
+    return got.select("topic", "topicPromptTemplate", "overlay.*", "apiKeys.*")
 
 
 def speech_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +160,7 @@ SQL = {
     "sound_bytes": sql(f", {_PCM} select * from q where vec_id % 7 <> 0 and vec_id % 5 <> 0", "blocks"),
     "first_channel": sql(f", {_PCM} select * from q where vec_id % 5 <> 0", "blocks"),
     "audio_track": "select event_id as source, 'audio' as track from events",
-    "stored_settings": "select 'Botany' as topic, 7::double as x, 40::double as y, 540::double as width, 420::double as height, 0.5::double as opacity, 'speech key' as deepgramApiKey, 'from outside' as openAiApiKey",
+    "stored_settings": "select c_name as topic, case when c_custkey % 2 = 0 then c_mktsegment else '" + prompt.DEFAULT_TEMPLATE.replace("'", "''") + "' end as topicPromptTemplate, 7::double as x, case when c_custkey % 3 = 0 then c_acctbal + 1 else 40 end as y, case when c_custkey % 4 = 0 then c_acctbal + 2 else 540 end as width, case when c_custkey % 5 = 0 then c_acctbal + 3 else 420 end as height, 0.5::double as opacity, case when c_custkey % 3 <> 0 then 's' || c_custkey else '' end as deepgramApiKey, case when c_custkey % 4 <> 0 then 'a' || c_custkey else 'from outside' end as openAiApiKey from customer",
     "speech_stream": sql(", m as (select trim(coalesce(json_extract_string(message, '$.channel.alternatives[0].transcript'), '')) as text, coalesce(json_extract_string(message, '$.is_final') = 'true', false) as is_final from speech_messages where json_extract_string(message, '$.type') = 'Results') select text, is_final, count(*) as n from m where text <> '' group by all", "speech_messages"),
     "stream_windows": sql(
         f"""{_FULL}, {_classified('v')},

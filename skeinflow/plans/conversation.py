@@ -109,11 +109,17 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("pos").cast("long").alias("pos"), "m.role", "m.content")
 
 
+#: Templates, and topics with dollar signs, by event_id; {} is the event's type.
+PATTERN_TEMPLATES = ["about {TOPIC}.", "a {TOPIC} b {TOPIC}", "no marker", "{TOPIC}"]
+PATTERN_TOPICS = ["$$5 {}", "$& {}", "$1 {}", "$$& {}", "[$`|$'] {}", "{}", ""]
+
+
 def topic_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics with dollar signs in templates."""
-    cases = [(i, t, p) for i, (t, p) in enumerate([("about {TOPIC}.", "$$5"), ("about {TOPIC}.", "$&"), ("about {TOPIC}.", "$1"), ("about {TOPIC}.", "$$&"), ("a {TOPIC} b {TOPIC}", "[$`|$']"), ("no marker", "x"), ("{TOPIC}", "")])]
-    rows = spark.createDataFrame(cases, "id long, template string, topic string")
-    return rows.select("id", jstext.replace_first(F.col("template"), F.col("topic")).alias("text"))
+    at = F.col("event_id")
+    chosen = lambda forms: F.replace(F.element_at(F.array(*map(F.lit, forms)), (at % len(forms) + 1).cast("int")), F.lit("{}"), F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select("event_id", chosen(PATTERN_TEMPLATES).alias("template"), chosen(PATTERN_TOPICS).alias("topic"))
+    return rows.select("event_id", jstext.replace_first(F.col("template"), F.col("topic")).alias("text"))
 
 
 def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,17 +160,23 @@ def audio_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All statuses with and without capture: labels of the status line and the button."""
-    rows = spark.createDataFrame([(s, r) for s in labels.STATUSES for r in (True, False)], "status string, running boolean")
-    return rows.select("status", "running", labels.status_label(F.col("running"), F.col("status")).alias("label"), labels.button_label(F.col("running")).alias("button"))
+    """Statuses with and without capture, by the events: labels of the status line and the button."""
+    status_ = F.element_at(F.array(*map(F.lit, labels.STATUSES)), (F.col("event_id") % len(labels.STATUSES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", status_.alias("status"), F.when(F.col("event_type") != "view", F.col("event_type") != "error").alias("running"))
+    return rows.select("event_id", "status", "running", labels.status_label(F.col("running"), F.col("status")).alias("label"), labels.button_label(F.col("running")).alias("button"))
 
 
-_ERRORS = [(0, "dom", "NotSupportedError", "m"), (1, "dom", "NotAllowedError", "m"), (2, "dom", "AbortError", "m"), (3, "error", "Error", "boom"), (4, "other", None, None)]
+#: Names of errors by event_id.
+ERROR_NAMES = ["NotSupportedError", "NotAllowedError", "AbortError", "TypeError"]
 
 
 def error_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_ERRORS, "id long, kind string, name string, message string")
-    return rows.select("id", labels.start_error(F.col("kind"), F.col("name"), F.col("message")).alias("start"), *[labels.failure(a, F.col("message")).alias(a) for a in ("stop", "load", "save", "stt")])
+    """What failed starts, stops, loads, saves and the speech service say of errors, made of the events; every fifth is no error
+    and has no message."""
+    n = F.col("event_id")
+    kind = F.when(n % 5 == 0, "other").when(n % 2 == 0, "dom").otherwise("error")
+    rows = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), F.element_at(F.array(*map(F.lit, ERROR_NAMES)), (n % 4 + 1).cast("int")).alias("name"), F.when(n % 5 != 0, F.concat(F.col("event_type"), F.lit(" "), n.cast("string"))).alias("message"))
+    return rows.select("event_id", labels.start_error(F.col("kind"), F.col("name"), F.col("message")).alias("start"), *[labels.failure(a, F.col("message")).alias(a) for a in ("stop", "load", "save", "stt")])
 
 
 def transcript_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +215,13 @@ _TIMELINE = _ACTIVE + ", " + _classified("v") + f""", z as (select session, ts,
 _LABEL = "case when not running then 'Stopped' when status = 'capturing' then 'Listening' when status = 'answering' then 'Answering' when status = 'error' then 'Error' else 'Starting' end"
 _LIVE = "select session, coalesce(arg_max(case when kind = 'final' then text else '' end, (ts, event_id)), '') as transcript from event_log where kind in ('final', 'clear') group by session"
 
+#: What a topic puts in, by event_id, given what stands before and after the marker.
+_PATTERNS = f"""with e as (select event_id, event_type as t, {PATTERN_TEMPLATES}[event_id % {len(PATTERN_TEMPLATES)} + 1] as template from events),
+p as (select *, strpos(template, '{{TOPIC}}') as pos from e),
+x as (select *, left(template, pos - 1) as before, substr(template, pos + 7) as after from p where pos > 0),
+y as (select *, case event_id % 7 when 0 then '$5 ' || t when 1 then '{{TOPIC}} ' || t when 2 then '$1 ' || t when 3 then '$& ' || t when 4 then '[' || before || '|' || after || '] ' || t when 5 then t else '' end as put from x)
+select event_id, before || put || after as text from y union all select event_id, template from p where pos = 0"""
+
 SQL = {
     "question_tokens": sql(f", {_classified('utterances')} select event_id, array_to_string(w, '|') as words, len(w)::bigint as n_words, coalesce(w[1], '') as first_word, coalesce(w[2], '') as second_word from n2", "utterances"),
     "question_reason": sql(f", {_classified('utterances')} select event_id, {_ASKS} as is_question, reason from n2", "utterances"),
@@ -219,7 +238,7 @@ SQL = {
     "topic_asof": sql(f", {_ASKED} select event_id, user_id, text, topic from a", "utterances", "topic_changes"),
     "system_prompt": sql(f", {_ASKED} select event_id, {_PROMPT} as prompt from a", "utterances", "topic_changes"),
     "chat_messages": sql(f", {_ASKED} select event_id, 0::bigint as pos, 'system' as role, {_PROMPT} as content from a union all select event_id, 1, 'user', text from a", "utterances", "topic_changes"),
-    "topic_patterns": "select * from (values (0::bigint, 'about $5.'), (1, 'about {TOPIC}.'), (2, 'about $1.'), (3, 'about $&.'), (4, 'a [a | b {TOPIC}] b {TOPIC}'), (5, 'no marker'), (6, '')) v(id, text)",
+    "topic_patterns": _PATTERNS,
     "answer_stream": sql(f", {_classified('utterances')}, p as (select event_id, list_prepend('You asked:', list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x: ' ' || x)) as l from n2 where {_ASKS}) select event_id, i - 1 as chunk_idx, l[i] as chunk from (select event_id, l, unnest(range(1, len(l) + 1)) as i from p)", "utterances"),
     "answered_feed": sql(f", {_classified('utterances')} select user_id as session, event_id, trim(text) as question, 'You asked: ' || array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ') as answer from n2 where {_ASKS}", "utterances"),
     "status_timeline": sql(f"{_TIMELINE} select session, event_id, status from z where status is not null", "control_log"),
@@ -227,9 +246,9 @@ SQL = {
     "first_chunk_diagnostic": sql(f"{_ACTIVE} select session, arg_min(event_id, (ts, event_id)) as event_id, '{labels.FIRST_SOUND}' as text from v where kind = 'audio' and text is not null and starts > 0 group by session, starts union all select session, arg_min(event_id, (ts, event_id)), '{labels.FIRST_SENT}' from v where kind = 'audio' and text is not null and active group by session, stops union all select session, event_id, '{labels.CONNECTED}' from v where kind = 'start' and not active", "control_log"),
     "audio_gate": sql(f"{_ACTIVE} select session, event_id from v where kind = 'audio' and active and text is not null", "control_log"),
     "audio_counter": sql(f"{_ACTIVE} select session, starts::bigint as starts, count(*) as chunks from v where kind = 'audio' and text is not null and starts > 0 group by session, starts", "control_log"),
-    "status_label": f"select status, running, {_LABEL} as label, case when running then 'Stop' else 'Start' end as button from (select unnest(['idle', 'capturing', 'transcribing', 'answering', 'error']) as status), (select unnest([true, false]) as running)",
-    "error_format": f"select id, case kind when 'dom' then case name when 'NotSupportedError' then '{labels.NOT_SUPPORTED}' when 'NotAllowedError' then '{labels.NOT_ALLOWED}' else name || ': ' || message end when 'error' then message else '{labels.UNKNOWN_START}' end as start, "
+    "status_label": f"with e as (select event_id, {labels.STATUSES}[event_id % 5 + 1] as status, case event_type when 'view' then null when 'error' then false else true end as running from events) select event_id, status, running, case when running is null then 'Stopped' else {_LABEL} end as label, case when running then 'Stop' else 'Start' end as button from e",
+    "error_format": f"with e as (select event_id, case when event_id % 5 = 0 then 'other' when event_id % 2 = 0 then 'dom' else 'error' end as kind, {ERROR_NAMES}[event_id % 4 + 1] as name, case when event_id % 5 <> 0 then event_type || ' ' || event_id end as message from events) select event_id, case kind when 'dom' then case name when 'NotSupportedError' then '{labels.NOT_SUPPORTED}' when 'NotAllowedError' then '{labels.NOT_ALLOWED}' else name || ': ' || message end when 'error' then message else '{labels.UNKNOWN_START}' end as start, "
     + ", ".join(f"'{p}' || coalesce(message, '{d}') as {a}" for a, (p, d) in labels.FALLBACKS.items() if a != "start")
-    + " from (values (0::bigint, 'dom', 'NotSupportedError', 'm'), (1, 'dom', 'NotAllowedError', 'm'), (2, 'dom', 'AbortError', 'm'), (3, 'error', 'Error', 'boom'), (4, 'other', null, null)) v(id, kind, name, message)",
+    + " from e",
     "transcript_shown": sql(f"select session, case when transcript = '' then 'Waiting for speech...' else transcript end as shown from ({_LIVE})", "event_log"),
 }

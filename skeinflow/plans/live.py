@@ -34,9 +34,11 @@ def deliver(rows: DataFrame, batch: Column, batches: int, path: str) -> None:
         kept.where(F.col("_batch") == i).drop("_batch").repartition(FILES).write.mode("append").json(path)
 
 
-def beat(spark: SparkSession, ts_ms: int, path: str) -> None:
+def beat(spark: SparkSession, ts_ms: int, path: str, schema: str = wire.EVENT_LOG) -> None:
     """The last row of an input, of a session that has no other: it lets the watermark pass all rows before `ts_ms`."""
-    spark.createDataFrame([("", 0, "beat", None, ts_ms)], wire.EVENT_LOG).coalesce(1).write.mode("append").json(path)
+    one = spark.range(1).selectExpr("'' as session", "0L as seq", f"{ts_ms}L as ts_ms")
+    rows = spark.createDataFrame([], schema).unionByName(one, allowMissingColumns=True)
+    rows.coalesce(1).write.mode("append").json(path)
 
 
 def written(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -44,9 +46,9 @@ def written(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """The event log of a folder as a stream, FILES files at a time."""
-    return spark.readStream.schema(wire.EVENT_LOG).option("maxFilesPerTrigger", FILES).json(path)
+def events(spark: SparkSession, path: str, schema: str = wire.EVENT_LOG) -> DataFrame:
+    """Rows of a folder as a stream, FILES files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).json(path)
 
 
 def shuffled(rows: DataFrame, delay_ms: int, batches: int) -> tuple[Column, int]:
@@ -58,13 +60,13 @@ def shuffled(rows: DataFrame, delay_ms: int, batches: int) -> tuple[Column, int]
     return F.floor((arrives - lo) / width).cast("int"), hi + 2 * delay_ms
 
 
-def run(spark: SparkSession, name: str, inputs: dict[str, DataFrame], build: Callable[..., DataFrame], delay_ms: int, batches: int = 3) -> str:
+def run(spark: SparkSession, name: str, inputs: dict[str, DataFrame], build: Callable[..., DataFrame], delay_ms: int, batches: int = 3, schema: str = wire.EVENT_LOG) -> str:
     """Delivers each of `inputs` out of order and runs what `build` makes of their streams to the end; its folder."""
     folder, own = folders.new(spark, name), session(spark)
     for k, rows in inputs.items():
         batch, last = shuffled(rows, delay_ms, batches)
         deliver(rows, batch, batches, f"{folder}/{k}")
-        beat(spark, last, f"{folder}/{k}")
-    streams = {k: events(own, f"{folder}/{k}") for k in inputs}
+        beat(spark, last, f"{folder}/{k}", schema)
+    streams = {k: events(own, f"{folder}/{k}", schema) for k in inputs}
     fold.to_files(build(**streams), f"{folder}/out", f"{folder}/at").awaitTermination()
     return folder

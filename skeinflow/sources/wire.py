@@ -78,12 +78,13 @@ def defaults(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(DEFAULT_TOPIC, DEFAULT_TEMPLATE, tuple(settings.OVERLAY.values()), "", "")], STORED)
 
 
-def read_settings(spark: SparkSession, path: str | None = None, key: str | None = None, environment: dict[str, str] | None = None) -> DataFrame:
+def read_settings(spark: SparkSession, path: str | None = None, key: str | None = None, environment: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
     """The settings in use, one row: topic, topicPromptTemplate, overlay, apiKeys. Missing fields have their defaults;
-    empty keys come from the environment, DEEPGRAM_API_KEY and OPENAI_API_KEY."""
+    empty keys come from the environment, DEEPGRAM_API_KEY and OPENAI_API_KEY. lines: documents of many installations, one a
+    line, each of which gives a row."""
     env = os.environ if environment is None else environment
     base = defaults(spark)
-    own = spark.read.schema(STORED).json(path, multiLine=True) if path else base
+    own = spark.read.schema(STORED).json(path, multiLine=not lines) if path else base
     both = own.alias("s").join(base.alias("d"), F.lit(True))  # one row and one row
     keep = lambda c: F.coalesce(F.col(f"s.{c}"), F.col(f"d.{c}"))
     use = lambda c, e: settings.resolved(settings.decrypted(keep(c), key), F.lit(env.get(e, "")))
