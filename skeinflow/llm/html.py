@@ -9,8 +9,8 @@ text is the article's, and the element around it and around what belongs to it i
 left of it without template text and furniture is the page's main text.
 
 Vectors are never gathered: a vector is known by sums of hashes of (page, count) over its pages, which add up
-before the shuffle. A host without three different pages at least has no classes; its pages are each taken for
-themselves, every element that stands once being template."""
+before the shuffle. A host without two different pages has no classes; its pages are each taken for themselves, every
+element that stands once being template."""
 
 from __future__ import annotations
 
@@ -36,16 +36,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 FLOW = frozenset("p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption hr address math".split())
 #: Elements, and words of class, id and role, that mark furniture; and words that may stand beside these in a name.
 FURNITURE = frozenset("head title nav footer aside form button select dialog menu".split()) | RAW
-FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar widget widgets related recommended menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus reply replies respond share sharing social toolbar pagination pager complementary contentinfo search".split())
-PLAIN_WORDS = frozenset("site page top bottom left right main box bar list section area block container wrapper wrap inner outer item items link links form button buttons user reader post article primary secondary global message text slot unit".split())
+FURNITURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe signup sidebar related recommended menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus discussion discussions reply replies replylist respond response responses share sharing social toolbar pagination pager complementary contentinfo search".split())
+#: Words that mark furniture unless what they name has most of the text.
+WEAK_WORDS = frozenset("banner promo promotion notice notices alert alerts popup modal overlay widget widgets".split())
+PLAIN_WORDS = frozenset("site page top bottom left right main box bar list section area block container wrapper wrap inner outer item items link links form button buttons user reader post article primary secondary global message text slot unit thread threads count".split())
 HEADERS = frozenset("header site-header page-header top-header".split())
 MAIN_NAMES = frozenset("articlebody maincontent main-content".split())
 #: A class belongs to the template if this share of the host's pages hold it, and two at least.
 SHARE = 0.5
 #: Different pages that a host's template, and a template's text, must stand in.
-EVIDENCE = 3
+EVIDENCE = 2
 #: Text that makes up more of the container than this is the article of copied pages, and no template text.
 MOST_TEXT = 0.5
+#: Text of elements with weak names of furniture stays if it is so many times the rest of the container's.
+MOSTLY = 3
 #: Templates up to this size in all are sent to every task.
 BROADCAST_BYTES = 16 << 20
 
@@ -57,12 +61,12 @@ _FLIP = 0x5555555555555555
 class Node:
     """An open element: its tag, its place, the place of the last element down to it that is no running text, and of
     that before; whether it is furniture, in a marked main part, in a link, in the container; 2 for an article, 1 for
-    a main part, else 0."""
+    a main part, else 0; whether a weak name of furniture is on it or around it within the container."""
 
-    __slots__ = ("tag", "place", "box", "up", "furniture", "main", "link", "inside", "mark")
+    __slots__ = ("tag", "place", "box", "up", "furniture", "main", "link", "inside", "mark", "weak")
 
-    def __init__(self, tag: str, place: int, box: int, up: int, furniture: bool, main: bool, link: bool, inside: bool, mark: int):
-        self.tag, self.place, self.box, self.up, self.furniture, self.main, self.link, self.inside, self.mark = tag, place, box, up, furniture, main, link, inside, mark
+    def __init__(self, tag: str, place: int, box: int, up: int, furniture: bool, main: bool, link: bool, inside: bool, mark: int, weak: bool = False):
+        self.tag, self.place, self.box, self.up, self.furniture, self.main, self.link, self.inside, self.mark, self.weak = tag, place, box, up, furniture, main, link, inside, mark, weak
 
 
 def _hash(text: str) -> int:
@@ -70,10 +74,13 @@ def _hash(text: str) -> int:
 
 
 @lru_cache(maxsize=100_000)
-def _marks_furniture(name: str) -> bool:
-    """Whether a whole class name, id or role is of words that mark furniture, alone or beside plain ones."""
+def _marks_furniture(name: str) -> int:
+    """Whether a whole class name, id or role is of words that mark furniture, alone or beside plain ones: 2, or 1 if these
+    are weak ones alone, else 0."""
     parts = [p for p in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
-    return any(p in FURNITURE_WORDS for p in parts) and all(p in FURNITURE_WORDS or p in PLAIN_WORDS for p in parts)
+    if not all(p in FURNITURE_WORDS or p in WEAK_WORDS or p in PLAIN_WORDS for p in parts):
+        return 0
+    return 2 if any(p in FURNITURE_WORDS for p in parts) else 1 if any(p in WEAK_WORDS for p in parts) else 0
 
 
 def _node(above: Node, tag: str, attrs: str, container: int | None, by_names: bool) -> Node:
@@ -91,18 +98,21 @@ def _node(above: Node, tag: str, attrs: str, container: int | None, by_names: bo
                 mark = max(mark, 2 if value.lower() == "article" else 1)
         if key in ("class", "id", "itemprop") and any(x.lower() in MAIN_NAMES for x in value.split()):
             mark = max(mark, 1)
-    furniture = above.furniture
+    furniture, weak = above.furniture, above.weak
     if tag not in ("html", "body"):
         furniture |= hidden or tag in FURNITURE and (by_names or tag != "form") or tag == "header" and not above.main
         if by_names:
-            furniture |= any(_marks_furniture(x) for x in names) or not above.main and any(x.lower() in HEADERS for x in names)
+            named = max(map(_marks_furniture, names), default=0)
+            furniture |= named == 2 or named == 1 and tag in INLINE
+            weak |= named == 1
+            furniture |= not above.main and any(x.lower() in HEADERS for x in names)
     main = above.main or mark > 0
     if tag in INLINE:
-        return Node(tag, above.place, above.box, above.up, furniture, main, above.link or tag == "a", above.inside, above.mark)
+        return Node(tag, above.place, above.box, above.up, furniture, main, above.link or tag == "a", above.inside, above.mark, weak)
     place = _hash(f"{above.place}/{tag}[{' '.join(roles)}]")
     if tag in FLOW:
-        return Node(tag, place, above.box, above.up, furniture, main, above.link, above.inside, mark)
-    return Node(tag, place, place, above.box, furniture, main, above.link, above.inside or place == container, mark)
+        return Node(tag, place, above.box, above.up, furniture, main, above.link, above.inside, mark, weak)
+    return Node(tag, place, place, above.box, furniture, main, above.link, above.inside or place == container, mark, weak and place != container)
 
 
 def events(page: str, container: int | None = None, by_names: bool = True) -> Iterator[tuple[str, Node, str]]:
@@ -149,7 +159,7 @@ def events(page: str, container: int | None = None, by_names: bool = True) -> It
                 if t not in INLINE:
                     break
         above = stack[-1]
-        key = (above.place, above.furniture, above.main, above.link, tag, m[3])
+        key = (above.place, above.furniture, above.main, above.link, above.weak, tag, m[3])
         node = known.get(key)
         if node is None:
             node = known[key] = _node(above, tag, m[3], container, by_names)
@@ -159,7 +169,8 @@ def events(page: str, container: int | None = None, by_names: bool = True) -> It
             continue
         if tag in RAW:
             found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = found.end() if found else n
+            if found or tag not in ("svg", "noscript", "template"):  # of these only what has an end holds anything
+                at = found.end() if found else n
             yield "open", node, ""
             yield "close", node, ""
             continue
@@ -206,13 +217,14 @@ def _tokens(page: str, by_names: bool = True) -> dict[tuple[int, int], list[int]
         if node.furniture:
             continue
         if kind == "block":
+            n = -(-len(line) // (1 + node.weak))  # of two slots of about as much text the one without such a name is the article's
             g = texts.get(key := (TEXT, _hash(f"{node.place}#{line}")))
             if g is None:
-                g = texts[key] = [node.box, 0, 0, i, i, len(line), 0]
+                g = texts[key] = [node.box, 0, 0, i, i, n, 0]
             g[2] += 1
             if (at := places.get(node.box)) is not None:
-                at[5] += len(line)
-                at[6] += links
+                at[5] += n
+                at[6] += min(links, n)
         elif node.box == node.place:
             g = places.get(node.place)
             if g is None:
@@ -323,7 +335,7 @@ def nest(of: int, found: list[tuple[int, int, list[dict]]]) -> dict:
         if len(rest) == len(waiting):
             break
         waiting = rest
-    held = {x["token"]: x for c in found for x in c[2] if x["kind"] == TEXT and x["shown"] >= EVIDENCE}
+    held = {x["token"]: x | {"in": c[0]} for c in found for x in c[2] if x["kind"] == TEXT and x["shown"] >= EVIDENCE}
     inside: dict[int, list[int]] = {}  # template text by the element of the template around it
     parents = {x["token"]: x["up"] for c in found for x in c[2] if x["kind"] == ELEMENT}
     for t, x in held.items():
@@ -338,8 +350,9 @@ def nest(of: int, found: list[tuple[int, int, list[dict]]]) -> dict:
             fixed[p] += n
             p = tree[p]["up"]
     container = _container(tree, fixed)
-    texts = sorted(held)
-    if container is not None and fixed[container] > MOST_TEXT * tree[container]["chars"]:
+    # What is marked as the article keeps all its text; elsewhere text of every page is template, unless it is most there is.
+    texts = sorted(t for t, x in held.items() if x["in"] == of)
+    if container is not None and (tree[container]["mark"] or fixed[container] > MOST_TEXT * tree[container]["chars"]):
         texts = []
     return {"container": container, "texts": texts}
 
@@ -364,8 +377,9 @@ def _container(tree: dict[int, dict], fixed: dict[int, int]) -> int | None:
         if marked := [p for p in around if tree[p]["mark"] == mark]:
             return marked[-1]
     for p in around[1:]:
-        more = tree[p]["chars"] - tree[best]["chars"]
-        if own[p] - own[best] < 0.5 * more:
+        more, new = tree[p]["chars"] - tree[best]["chars"], own[p] - own[best]
+        behind = sum(own[c] for c, x in tree.items() if x["up"] == p and x["pos"] > tree[best]["end"])
+        if new < 0.5 * more or new <= behind < 0.25 * own[best]:  # mostly links or template; or but little, and all of it behind
             break
         best = p
     return best
@@ -392,20 +406,22 @@ def slots(page: str, template: dict | None) -> str:
 
 def _slots(page: str, template: dict, by_names: bool) -> str:
     container, texts = template["container"], frozenset(template["texts"])
-    out = []
+    out, weak, rest = [], 0, 0
     for kind, node, line, _ in blocks(page, container, by_names):
         if kind == "block" and (not container or node.inside) and not (texts and _hash(f"{node.place}#{line}") in texts):
             if text := " ".join(entities.unescape(line).split()):
-                out.append(text)
-    return "\n\n".join(out)
+                out.append((node.weak, text))
+                weak, rest = weak + node.weak * len(text), rest + (not node.weak) * len(text)
+    return "\n\n".join(text for named, text in out if not named or weak > MOSTLY * rest)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page of `pages(page_id, url, html)`.
 
     A null or empty page gives the empty text. A page whose url has no host is of the host ''. Equal rows each have
-    a row. A page's text depends on its host's other pages: from three different ones on they share a template, and
-    text that stands at one place in half of them is dropped, unless it is most of the container's text."""
+    a row. A page's text depends on its host's other pages: from two different ones on they share a template. Where nothing is
+    marked as the article, text that stands at one place in all of them is template, unless it is most of the container's.
+    A page takes memory in proportion to its length."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", "html", host.alias("host"))
     rows = F.struct("pages", "total", "tokens")

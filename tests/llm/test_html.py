@@ -91,6 +91,62 @@ def test_attributes_and_names(spark):
     assert {k: v for k, v in _got(spark, rows).items() if k % 3 == 0} == {i: w for i, (_, w) in enumerate(pages) if i % 3 == 0}
 
 
+def test_names_do_not_decide_over_text(spark):
+    """Articles in wrappers with names of furniture, alone and on a host of four pages; small things of such names go."""
+    rng = random.Random(5)
+    for name in ("widget content", "main-alert", "promo-article", "content", "banner-text"):
+        texts = [[_say(rng, 30), _say(rng, 12)] for _ in range(4)]
+        page = lambda k, t: f"<html><body><div class='{name}'><p>{t[0]}</p><p>{t[1]}</p></div><div>Copyright {k} note</div></body></html>"  # noqa: E731,B023
+        want = ["\n\n".join(t) for t in texts]
+        assert [html.slots(page(0, t), None).startswith(w) for t, w in zip(texts, want, strict=True)] == [True] * 4  # alone, nothing tells of the note
+        got = _got(spark, [(i, f"https://{name[:4]}.example/{i}", page(i, t)) for i, t in enumerate(texts)])
+        assert [got[i] for i in range(4)] == want, name
+    assert html.slots("<article><p>a longer paragraph of words</p><div class='promo'>buy</div><div class='notice'><p>x</p></div></article>", None) == "a longer paragraph of words"
+
+
+def test_repeated_text_in_the_article_stays(spark):
+    """A paragraph and a byline that all pages share stay in what is marked as the article; the menu goes, from two pages on."""
+    rng = random.Random(6)
+    for n, (a, z) in ((2, ("<article>", "</article>")), (5, ("<article>", "</article>")), (4, ("<main>", "</main>"))):
+        texts = [_say(rng, 25) for _ in range(n)]
+        rows = [(i, f"https://r{n}.example/{i}", f"<body><div>Menu home news</div>{a}<p>By Ann Other</p><p>{t}</p><p>A paragraph that all have</p>{z}<div>Fine print</div></body>") for i, t in enumerate(texts)]
+        assert _got(spark, rows) == {i: f"By Ann Other\n\n{t}\n\nA paragraph that all have" for i, t in enumerate(texts)}
+    plain = [(i, f"https://two.example/{i}", f"<body><div>Menu home news</div><div><p>{t}</p></div><div>Fine print</div></body>") for i, t in enumerate(texts[:2])]
+    assert _got(spark, plain) == dict(enumerate(texts[:2]))
+    most = [(i, f"https://half.example/{i}", f"<body><div>Menu</div><div><p>{t}</p>{'<p>shared by some</p>' if i else ''}</div></body>") for i, t in enumerate(texts)]
+    assert _got(spark, most) == {i: t + ("\n\nshared by some" if i else "") for i, t in enumerate(texts)}
+
+
+def test_comments_and_open_elements():
+    for name in ("responses", "discussion", "replylist", "disqus_thread", "comment-list", "commentCount"):
+        assert html.slots(f"<article><p>the text itself</p><div id='{name}'><p>first! and more words than the text has</p></div></article>", None) == "the text itself"
+    for tag in ("svg", "noscript", "template"):
+        assert html.slots(f"<article><p>one</p><{tag}><p>two</p></article>", None) == "one\n\ntwo"
+        assert html.slots(f"<article><p>one</p><{tag}><p>no</p></{tag}><p>two</p></article>", None) == "one\n\ntwo"
+    assert html.slots("<article><p>one</p><script>var x = '<p>two</p>'", None) == "one"
+
+
+def test_generated_hosts_against_their_parts(spark):
+    """Hosts of one to six pages in several layouts; equal pages and equal ids each have a row."""
+    rng, rows, want = random.Random(7), [], []
+    for host in range(24):
+        name, fine, menu = _say(rng, 3), _say(rng, 8), "".join(f"<li><a href='/{k}'>{_say(rng, 1)}</a></li>" for k in range(5))
+        layout = host % 4
+        for k in range(1 + host % 6):
+            parts = [_say(rng, 5), *[_say(rng, 15 + rng.randrange(30)) for _ in range(1 + rng.randrange(4))]]
+            body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:])
+            side = f"<div class='sidebar'><p>{_say(rng, 10)}</p></div>"
+            comments = f"<section class='comments'>{''.join(f'<p>{_say(rng, 9)}</p>' for _ in range(3))}</section>"
+            inner = [f"<article>{body}{comments}</article>", f"<main><div>{body}</div></main>{comments}", f"<div class='post'>{body}</div>{comments}", f"<div class='widget content'>{body}</div>"][layout]
+            page = f"<html><body><header><div>{name}</div></header><nav><ul>{menu}</ul></nav>{side}{inner}<form><input value='x'>find</form><footer>{fine}</footer></body></html>"
+            rows.append((host, f"https://g{host}.example/{k}", page))
+            want.append((host, "\n\n".join(parts)))
+    rows += rows[:3]
+    want += want[:3]
+    got = [(r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_very_long_and_deep_pages():
     began = time.time()
     assert html.slots("<div>" * 50_000 + "x", None) == "x"
