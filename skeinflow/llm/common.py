@@ -6,7 +6,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared as shared_folder
+
 U64 = np.uint64
 _BASE, _COMB = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: Bytes of text that one vectorised pass holds; a longer text is a pass of its own.
@@ -196,18 +197,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Only where none is set, as in local
-    tests, a folder of this machine is taken."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return folder
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder."""
     shared_folder(df.sparkSession)

@@ -85,17 +85,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _squeeze(keys: np.ndarray) -> bytes:
-    """Ascending numbers as compressed differences, byte by byte."""
-    d = np.diff(keys, prepend=U64(0))
-    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _loosen(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, 8 * n)), dtype=np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U64).reshape(-1), dtype=U64)
-
-
 def _pressed(data: np.ndarray) -> bytes:
     """Numbers byte by byte, compressed: the high bytes of small ones cost nothing."""
     planes = np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.dtype.itemsize).T.tobytes()
@@ -547,6 +536,30 @@ def _by_text(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, mask=nulls), "held_out": pa.array(~train), "n_tokens": pa.array(per), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})
 
 
+def _sampled(packed: DataFrame, plan: Plan, head: np.ndarray, shared: Broadcast, buckets: int) -> DataFrame:
+    """The sweeps over packed tokens, and what they make of each text; written before it is returned."""
+    spark = packed.sparkSession
+    release(spark)
+    texts = packed.where("bucket < 0").select("src", "bucket", "n", F.col("keys").alias("ids"), F.col("tail").alias("data"))
+    tokens = packed.where("bucket >= 0")
+    sent, used = checkpoint(tokens.groupBy("bucket").applyInArrow(_started(buckets), _SENT)), None
+    release(spark)
+    for i in range(SWEEPS + 1):
+        _state(sent, plan, head, i)
+        known = spark.sparkContext.broadcast(plan)  # three arrays of fixed length for each sweep
+        asked = sent.where(F.col("kind") == ASKED).repartition(buckets, "at").groupBy("at").applyInArrow(_answered, _SENT)
+        both = sent.where(F.col("kind") == MODEL).unionByName(asked)
+        if i < SWEEPS:
+            sent = checkpoint(tokens.groupBy("bucket").cogroup(both.groupBy("at")).applyInArrow(_swept(known, shared, buckets, i), _SENT))
+            if i > SWEEPS - KEPT:
+                new = sent.where(F.col("kind") == USED)
+                used = new if used is None else used.unionByName(new)
+            del asked, both
+            release(spark)
+    told = tokens.groupBy("bucket").cogroup((both if used is None else both.unionByName(used)).groupBy("at")).applyInArrow(_scored(known, buckets), _SCORED).withColumn("ids", F.lit(None).cast("binary"))
+    return checkpoint(told.unionByName(texts).groupBy("src").applyInArrow(_by_text, _OUT))  # a few numbers for each text
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row for each of `docs(doc_id, text)`: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. A null text is an empty one, whose only token is its end. Equal rows each have a row; without
@@ -571,27 +584,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     # A bucketed table: each sweep joins tokens with what buckets are told, and only that is shuffled.
     name = f"tokens_{uuid.uuid4().hex}"
-    docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket").write.bucketBy(buckets, "bucket").saveAsTable(name)
-    release(spark)
-    packed = spark.table(name)
-    texts = packed.where("bucket < 0").select("src", "bucket", "n", F.col("keys").alias("ids"), F.col("tail").alias("data"))
-    tokens = packed.where("bucket >= 0")
-    sent, used = checkpoint(tokens.groupBy("bucket").applyInArrow(_started(buckets), _SENT)), None
-    release(spark)
-    for i in range(SWEEPS + 1):
-        _state(sent, plan, head, i)
-        known = spark.sparkContext.broadcast(plan)  # three arrays of fixed length for each sweep
-        asked = sent.where(F.col("kind") == ASKED).repartition(buckets, "at").groupBy("at").applyInArrow(_answered, _SENT)
-        both = sent.where(F.col("kind") == MODEL).unionByName(asked)
-        if i < SWEEPS:
-            sent = checkpoint(tokens.groupBy("bucket").cogroup(both.groupBy("at")).applyInArrow(_swept(known, shared, buckets, i), _SENT))
-            if i > SWEEPS - KEPT:
-                new = sent.where(F.col("kind") == USED)
-                used = new if used is None else used.unionByName(new)
-            del asked, both
-            release(spark)
-    told = tokens.groupBy("bucket").cogroup((both if used is None else both.unionByName(used)).groupBy("at")).applyInArrow(_scored(known, buckets), _SCORED).withColumn("ids", F.lit(None).cast("binary"))
-    got = checkpoint(told.unionByName(texts).groupBy("src").applyInArrow(_by_text, _OUT))  # a few numbers for each text
-    spark.sql(f"drop table {name}")
+    try:
+        docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket").write.bucketBy(buckets, "bucket").saveAsTable(name)
+        got = _sampled(spark.table(name), plan, head, shared, buckets)
+    finally:  # also where it breaks off
+        spark.sql(f"drop table if exists {name}")
     release(spark)
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
