@@ -47,13 +47,33 @@ def cells(rows: DataFrame, keys: Sequence[str], value: str, error: float = ERROR
     return rows.where(F.col(value).isNotNull()).groupBy(*keys, bucket(F.col(value), error).alias("bucket")).agg(F.count("*").alias("n"), F.max(value).alias("most"))
 
 
+#: Registers of a sketch of distinct values, as a power of two, and the share by which it is off at most in nearly all cases.
+REGISTERS, DISTINCT_ERROR = 12, 0.05
+
+
+def distinct_cells(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows (keys, sketch): the sketch of the distinct values of each combination of keys, as Spark stores it. Nulls are left
+    out."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.hll_sketch_agg(value, REGISTERS).alias("sketch"))
+
+
+def distinct(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, level, about): how many values the sketches of all levels hold, `level` being how many of `keys` count, from
+    the first on; the others are null."""
+    sets = [[F.col(c) for c in keys[:k]] for k in range(len(keys) + 1)]
+    return sketches.groupingSets(sets, *[F.col(c) for c in keys]).agg(_level(keys), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))
+
+
+def _level(keys: Sequence[str]) -> Column:
+    return sum((1 - F.grouping(k) for k in keys[1:]), start=1 - F.grouping(keys[0])).cast("int").alias("level")
+
+
 def merged(sketches: DataFrame, fixed: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """The sketches of all levels: rows (fixed, keys, level, bucket, n, most), `level` being how many of `keys` count, from the
     first on; the others are null."""
     sets = [[*fixed, "bucket", *keys[:k]] for k in range(len(keys) + 1)]
     columns = [*fixed, "bucket", *keys]
-    level = sum((1 - F.grouping(k) for k in keys[1:]), start=1 - F.grouping(keys[0]))
-    return sketches.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(level.cast("int").alias("level"), F.sum("n").alias("n"), F.max("most").alias("most"))
+    return sketches.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(_level(keys), F.sum("n").alias("n"), F.max("most").alias("most"))
 
 
 def quantiles(sketches: DataFrame, by: Sequence[str], wanted: dict[str, tuple[int, int]], error: float = ERROR) -> DataFrame:

@@ -76,19 +76,38 @@ def newest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUANTILES = {"median_ms": (1, 2), "p90_ms": (9, 10)}
 
 
-def answer_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles of the time from a final transcript to the first piece and to the end of its answer, by topic, hour of day and
-    session, and upward."""
+def _took(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the topic in force at their end, its hour of day, their session and times."""
     log = event_log(spark, sf_dir).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     took = latency.times(log, ORDER, "ms", ordered.by_hour("ts")).withColumnRenamed("session", "user_id")
     known = ordered.as_of(took, topic_changes(spark, sf_dir), ["user_id"], ORDER, "topic", ordered.by_hour("ts"))
+    return known.select("topic", F.hour("ts").cast("long").alias("hour"), F.col("user_id").alias("session"), "first_ms", "done_ms")
+
+
+def answer_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the time from a final transcript to the first piece and to the end of its answer, by topic, hour of day and
+    session, and upward."""
     keys = ["topic", "hour", "session"]
-    rows = known.select("topic", F.hour("ts").cast("long").alias("hour"), F.col("user_id").alias("session"), F.explode(F.create_map(F.lit("first"), "first_ms", F.lit("done"), "done_ms")).alias("metric", "ms"))
+    rows = _took(spark, sf_dir).select(*keys, F.explode(F.create_map(F.lit("first"), "first_ms", F.lit("done"), "done_ms")).alias("metric", "ms"))
     levels = latency.merged(latency.cells(rows, ["metric", *keys], "ms"), ["metric"], keys)
     return latency.quantiles(levels, ["metric", *keys, "level"], QUANTILES).withColumnRenamed("most", "most_ms")
 
 
-QUERIES = {f.__name__: f for f in (packed_blocks, stream_packed_blocks, audio_in_answers, talk_sessions, stream_talk_sessions, newest_items, answer_latency)}
+def answered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sessions have answers, by topic and hour of day, and upward: counted, and whether the merged sketches are within
+    their error of it."""
+    keys, rows = ["topic", "hour"], _took(spark, sf_dir)
+    about = latency.distinct(latency.distinct_cells(rows, keys, "session"), keys).withColumnsRenamed({k: f"_{k}" for k in (*keys, "level")})
+    levels = [F.struct(*[(F.col(k) if i < n else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for i, k in enumerate(keys)], F.lit(n).alias("level")) for n in range(len(keys) + 1)]
+    exact = rows.select(F.explode(F.array(*levels)).alias("_l"), "session").distinct().groupBy("_l").agg(F.count("*").alias("sessions")).select("_l.*", "sessions")
+    on = F.col("level") == F.col("_level")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    close = F.abs(F.col("about") - F.col("sessions")) <= latency.DISTINCT_ERROR * F.col("sessions") + 0.5
+    return exact.join(about, on).select(*keys, "level", "sessions", close.alias("close"))
+
+
+QUERIES = {f.__name__: f for f in (packed_blocks, stream_packed_blocks, audio_in_answers, talk_sessions, stream_talk_sessions, newest_items, answer_latency, answered_sessions)}
 
 _GROW = (1 + latency.ERROR) / (1 - latency.ERROR)
 _PACKED = sql(
@@ -107,10 +126,12 @@ g as (select *, sum(new) over (partition by session order by ts_ms, seq) as k fr
 select session, min(ts_ms) as start_ms, max(ts_ms) + {GAP} as end_ms, count(*) as n from g group by session, k""",
     "full_log",
 )
-_LATENCY = sql(
-    f""", s as (select *, epoch_us(ts) // 1000 as ms, coalesce(sum((kind in ('done', 'clear'))::int) over (partition by session order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as seg, last_value(case when kind = 'final' then epoch_us(ts) // 1000 end ignore nulls) over (partition by session order by ts, event_id) as asked from event_log),
+#: Answers with their times and topics.
+_TOOK = f""", s as (select *, epoch_us(ts) // 1000 as ms, coalesce(sum((kind in ('done', 'clear'))::int) over (partition by session order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as seg, last_value(case when kind = 'final' then epoch_us(ts) // 1000 end ignore nulls) over (partition by session order by ts, event_id) as asked from event_log),
 g as (select session, seg, min(case when kind = 'chunk' then ms end) as first, max(case when kind = 'done' then ms end) as done, max(case when kind = 'done' then ts end) as ts, max(case when kind = 'done' then asked end) as asked from s group by session, seg),
-k as (select g.session, g.ts, case when first >= asked then first - asked end as first_ms, done - asked as done_ms, c.topic from (select * from g where done is not null and asked is not null) g asof left join topic_changes c on g.session = c.user_id and g.ts >= c.ts),
+k as (select g.session, g.ts, case when first >= asked then first - asked end as first_ms, done - asked as done_ms, c.topic from (select * from g where done is not null and asked is not null) g asof left join topic_changes c on g.session = c.user_id and g.ts >= c.ts)"""
+_LATENCY = sql(
+    f"""{_TOOK},
 m as (select topic, hour(ts) as hour, session, 'first' as metric, first_ms as ms from k union all select topic, hour(ts), session, 'done', done_ms from k),
 b as (select metric, topic, hour, session, 3 - (grouping(topic) + grouping(hour) + grouping(session)) as level, ceil(ln(ms + 1) / {math.log(_GROW)!r}) as bucket, count(*) as n, max(ms) as most from m where ms is not null group by metric, bucket, rollup (topic, hour, session)),
 q as (select *, sum(n) over (partition by metric, topic, hour, session, level order by bucket) as upto, sum(n) over (partition by metric, topic, hour, session, level) as total from b)
@@ -129,4 +150,5 @@ SQL = {
     "stream_talk_sessions": _SESSIONS,
     "newest_items": sql(f", {_ITEMS}, c as (select session, max(ts) as ts from event_log where kind = 'clear' group by session), v as (select i.*, row_number() over (partition by i.session order by i.ts desc, event_id desc) as place from i left join c using (session) where c.ts is null or i.ts > c.ts) select session, event_id, place, question, answer from v where place <= 3", "event_log"),
     "answer_latency": _LATENCY,
+    "answered_sessions": sql(f"{_TOOK} select topic, hour(ts) as hour, (2 - (grouping(topic) + grouping(hour(ts))))::int as level, count(distinct session) as sessions, true as close from k group by rollup (topic, hour(ts))", "event_log", "topic_changes"),
 }

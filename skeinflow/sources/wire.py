@@ -61,16 +61,22 @@ def with_audio_track(tracks: DataFrame) -> DataFrame:
     return checked.drop("_n")
 
 
-def events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+#: Files that a stream takes at once: a backlog is several micro-batches.
+FILES = 1000
+
+
+def _reader(spark: SparkSession, streaming: bool, files: int):
+    return spark.readStream.option("maxFilesPerTrigger", files) if streaming else spark.read
+
+
+def events(spark: SparkSession, path: str, streaming: bool = False, files: int = FILES) -> DataFrame:
     """The event log from JSON lines in a folder."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(EVENT_LOG).json(path)
+    return _reader(spark, streaming, files).schema(EVENT_LOG).json(path)
 
 
-def messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def messages(spark: SparkSession, path: str, streaming: bool = False, files: int = FILES) -> DataFrame:
     """Messages as they came, one a line, in `message`."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.text(path).withColumnRenamed("value", "message")
+    return _reader(spark, streaming, files).text(path).withColumnRenamed("value", "message")
 
 
 def defaults(spark: SparkSession) -> DataFrame:
