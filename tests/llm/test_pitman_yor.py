@@ -96,6 +96,84 @@ def test_against_plain(spark, n, rare):
         assert abs(got[i] - x) < 1e-6 * max(1, abs(x))
 
 
+def _gibbs(docs, sweeps, burn):
+    """Scores by id from one-by-one Gibbs sampling: each customer leaves its table and is seated anew, tables being customers of
+    the parent. Nothing of the module's sampler is used."""
+    rng, end = random.Random(1), "</s>"
+    texts = {i: [(u, w) for u, w in zip([end, *t.split()], [*t.split(), end], strict=True)] for i, t in docs}
+    train = [k for i, own in texts.items() for k in own if not py.held_out(i)]
+    words = {w for _, w in train}
+    share = lambda xs: min(0.95, max(0.05, sum(x == 1 for x in xs) / max(1, sum(x == 1 for x in xs) + 2 * sum(x == 2 for x in xs))))
+    pair_n = {k: train.count(k) for k in set(train)}
+    d = share(list(pair_n.values())), share([sum(w == x for _, x in pair_n) for w in words])
+    low, top = {}, {}  # sizes of tables by context and word; by word
+    in_low, in_top = {}, [0, 0]  # by context: customers and tables; of the parent
+
+    def p_top(w):
+        own = top.get(w, [])
+        return (sum(own) - d[1] * len(own) + (py.THETA + d[1] * in_top[1]) / (len(words) + 1)) / (py.THETA + in_top[0])
+
+    def p_low(u, w):
+        own, (c, t) = low.get((u, w), []), in_low.get(u, (0, 0))
+        return (sum(own) - d[0] * len(own) + (py.THETA + d[0] * t) * p_top(w)) / (py.THETA + c)
+
+    def sit(own, new, disc):
+        """Whether a table is opened."""
+        x = rng.random() * (sum(own) - disc * len(own) + new)
+        for k, n in enumerate(own):
+            x -= n - disc
+            if x < 0:
+                own[k] += 1
+                return False
+        own.append(1)
+        return True
+
+    def leave(own):
+        """Whether a table is given up."""
+        k = rng.choices(range(len(own)), weights=own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            return True
+        return False
+
+    def enter(u, w):
+        c, t = in_low.get(u, (0, 0))
+        opened = sit(low.setdefault((u, w), []), (py.THETA + d[0] * t) * p_top(w), d[0])
+        in_low[u] = c + 1, t + opened
+        if opened:
+            more = sit(top.setdefault(w, []), (py.THETA + d[1] * in_top[1]) / (len(words) + 1), d[1])
+            in_top[0], in_top[1] = in_top[0] + 1, in_top[1] + more
+
+    for k in train:
+        enter(*k)
+    sums, kept = {k: 0.0 for own in texts.values() for k in own}, 0
+    for i in range(sweeps):
+        for u, w in train:
+            gone = leave(low[u, w])
+            c, t = in_low[u]
+            in_low[u] = c - 1, t - gone
+            if gone:
+                less = leave(top[w])
+                in_top[0], in_top[1] = in_top[0] - 1, in_top[1] - less
+            enter(u, w)
+        if i >= burn:
+            kept += 1
+            for k in sums:
+                sums[k] += p_low(*k)
+    return {i: (sum(np.log10(sums[k] / kept) for k in own), len(own)) for i, own in texts.items()}
+
+
+def test_close_to_one_by_one_gibbs(spark):
+    """Three parallel sweeps against forty sequential ones: scores by token are close, and rank texts alike."""
+    docs = [*_corpus(random.Random(12), 70, 0), (9002, "never seen words"), (9003, "t1 t2 t1")]
+    want = _gibbs(docs, 40, 10)
+    got = {r["doc_id"]: r["score"] for r in py.score(spark.createDataFrame(docs, SCHEMA)).collect()}
+    apart = [abs(got[i] - x) / n for i, (x, n) in want.items()]
+    assert np.mean(apart) < 0.02 and max(apart) < 0.1
+    assert np.corrcoef([got[i] / n for i, (_, n) in want.items()], [x / n for x, n in want.values()])[0, 1] > 0.98
+
+
 def test_seating_in_blocks_is_close_to_one_by_one():
     """What README says of the normal shape: tables of many customers, in mean and spread."""
     keys = mix(np.arange(4000).astype(np.uint64))
