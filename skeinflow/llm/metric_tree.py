@@ -42,7 +42,7 @@ class Space:
     def __init__(self, most: float):
         self.most = most
         #: Slack of squared distances for what floats lose: it can only let more rows be looked at.
-        self.slack = lambda qq: 1e-9 * (qq + most) + 1e-6
+        self.slack = lambda qq: 1e-7 * (qq + most) + 1e-6
 
     def rise(self, x: np.ndarray) -> np.ndarray:
         """The further coordinate of rows."""
