@@ -4,8 +4,10 @@ import json
 import os
 import random
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skeinflow.operators import answers, feed
@@ -184,3 +186,60 @@ def test_caller_settings_stay(spark):
     own = live.session(spark)
     own.conf.set("spark.sql.shuffle.partitions", "3")
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and datetime.fromtimestamp(0, timezone.utc).year == 1970
+
+
+class _Handle:
+    """One session's value and timers, and the number of calls: each is a message between processes."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = tuple(value)
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+def test_state_is_read_and_written_once(spark):
+    """However many rows wait, a batch costs a session a few calls and one timer; rows come out once and in order."""
+    handle, rng, got, passed = _Handle(), random.Random(5), [], 0
+    processor = ordering.InOrder(asof.STEP, idle_ms=5000)
+    processor.init(handle)
+    make, numbers = Row("session", "seq", "ts_ms", "kind", "text"), list(range(1, 3001))
+    order = sorted(numbers, key=lambda n: n + rng.randrange(900))
+    for at in range(0, 3000, 300):
+        handle.calls, some = 0, order[at : at + 300]
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: passed)
+        got += processor.handleInputRows(("s",), iter([make("s", n, n, "row", f"t{n}") for n in some + some[:5]]), times)
+        for due in [t for t in handle.timers if t <= passed]:
+            got += processor.handleExpiredTimer(("s",), times, SimpleNamespace(getExpiryTimeInMs=lambda due=due: due))
+            handle.timers.discard(due)
+        assert handle.calls <= 5 and len(handle.timers) == 1
+        passed = max(order[: at + 300]) - 901
+    for passed in (4000, 9000):
+        due = handle.timers.pop()
+        got += processor.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), SimpleNamespace(getExpiryTimeInMs=lambda: due))
+    assert [r["seq"] for r in got] == numbers and not any(r["late"] for r in got)
+    assert handle.value is None and not handle.timers
