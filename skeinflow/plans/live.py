@@ -10,35 +10,41 @@ from pyspark.sql import functions as F
 from ..sources import folders, wire
 from ..streaming import fold
 
-#: Files of a micro-batch.
-FILES = 4
+#: Files of a micro-batch, at least, and the rows for which there is one more.
+FILES, ROWS = 4, 200_000
+#: Rows of a stream for which its state has one more part: what timers give in a batch is a part's at once, in memory.
+PART = 1_000_000
 
 
-def session(spark: SparkSession) -> SparkSession:
+def session(spark: SparkSession, rows: int = 0) -> SparkSession:
     """A session for streams beside the caller's, whose settings stay as they are: state in RocksDB, in no more parts than
-    there are cores."""
+    there are cores, but for streams of very many `rows`."""
     own, parts = spark.newSession(), "spark.sql.shuffle.partitions"
     own.conf.set("spark.sql.streaming.stateStore.providerClass", fold.PROVIDER)
-    own.conf.set(parts, str(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism)))
+    own.conf.set(parts, str(max(min(int(spark.conf.get(parts)), spark.sparkContext.defaultParallelism), rows // PART)))
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     return own
 
 
-def deliver(rows: DataFrame, batch: Column, batches: int, path: str) -> None:
-    """Writes `rows` as JSON lines, FILES files for each of the numbers 0 to `batches` - 1 that `batch` gives, in their order.
-    The rows are made once."""
-    spark, staged = rows.sparkSession, f"{path}-staged"
-    rows.withColumn("_batch", batch).write.partitionBy("_batch").parquet(staged)
-    kept = spark.read.schema(rows.withColumn("_batch", batch).schema).parquet(staged)
+def files(rows: int, batches: int) -> int:
+    """How many files a micro-batch has, of so many rows in all."""
+    return max(FILES, rows // (batches * ROWS))
+
+
+def deliver(rows: DataFrame, batch: Column, batches: int, path: str, number: int, last: DataFrame | None = None) -> None:
+    """Writes `rows` as JSON lines, `number` files for each of the numbers 0 to `batches` - 1 that `batch` gives, in their
+    order; `last` comes with the last. It reads the rows for each number: they are `folders.stored`."""
     for i in range(batches):
-        kept.where(F.col("_batch") == i).drop("_batch").repartition(FILES).write.mode("append").json(path)
+        some = rows.where(batch == i)
+        if last is not None and i == batches - 1:
+            some = some.unionByName(last)
+        some.repartition(number).write.mode("append").json(path)
 
 
-def beat(spark: SparkSession, ts_ms: int, path: str, schema: str = wire.EVENT_LOG) -> None:
+def beat(spark: SparkSession, ts_ms: int, schema: str = wire.EVENT_LOG) -> DataFrame:
     """The last row of an input, of a session that has no other: it lets the watermark pass all rows before `ts_ms`."""
     one = spark.range(1).selectExpr("'' as session", "0L as seq", f"{ts_ms}L as ts_ms")
-    rows = spark.createDataFrame([], schema).unionByName(one, allowMissingColumns=True)
-    rows.coalesce(1).write.mode("append").json(path)
+    return spark.createDataFrame([], schema).unionByName(one, allowMissingColumns=True)
 
 
 def written(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -46,9 +52,9 @@ def written(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def events(spark: SparkSession, path: str, schema: str = wire.EVENT_LOG) -> DataFrame:
-    """Rows of a folder as a stream, FILES files at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).json(path)
+def events(spark: SparkSession, path: str, schema: str = wire.EVENT_LOG, number: int = FILES) -> DataFrame:
+    """Rows of a folder as a stream, so many files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", number).json(path)
 
 
 def shuffled(rows: DataFrame, delay_ms: int, batches: int) -> tuple[Column, int]:
@@ -62,11 +68,13 @@ def shuffled(rows: DataFrame, delay_ms: int, batches: int) -> tuple[Column, int]
 
 def run(spark: SparkSession, name: str, inputs: dict[str, DataFrame], build: Callable[..., DataFrame], delay_ms: int, batches: int = 3, schema: str = wire.EVENT_LOG) -> str:
     """Delivers each of `inputs` out of order and runs what `build` makes of their streams to the end; its folder."""
-    folder, own = folders.new(spark, name), session(spark)
-    for k, rows in inputs.items():
+    folder, kept = folders.new(spark, name), {k: folders.stored(rows) for k, rows in inputs.items()}
+    counts = {k: rows.count() for k, rows in kept.items()}
+    own, streams = session(spark, sum(counts.values())), {}
+    for k, rows in kept.items():
+        number = files(counts[k], batches)
         batch, last = shuffled(rows, delay_ms, batches)
-        deliver(rows, batch, batches, f"{folder}/{k}")
-        beat(spark, last, f"{folder}/{k}", schema)
-    streams = {k: events(own, f"{folder}/{k}", schema) for k in inputs}
+        deliver(rows, batch, batches, f"{folder}/{k}", number, beat(spark, last, schema))
+        streams[k] = events(own, f"{folder}/{k}", schema, number)
     fold.to_files(build(**streams), f"{folder}/out", f"{folder}/at").awaitTermination()
     return folder

@@ -36,13 +36,14 @@ def stream_shuffled_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_redelivered_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible items of a stream that brings every row twice, the second time with a later batch, and in order."""
-    rows = full_log(spark, sf_dir)
-    folder, own = folders.new(spark, "twice"), live.session(spark)
+    rows = folders.stored(full_log(spark, sf_dir))
+    folder, n = folders.new(spark, "twice"), 2 * rows.count()
     lo, hi = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first()
     first = F.floor((F.col("ts_ms") - lo) / ((hi - lo) // 3 + 1)).cast("int")
     twice = rows.withColumn("_first", first).withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1))))
-    live.deliver(twice, F.col("_first") + F.col("_again"), 4, f"{folder}/in")
-    fold.to_files(fold.fold(ordering.once(live.events(own, f"{folder}/in"), "30 days")), f"{folder}/out", f"{folder}/at").awaitTermination()
+    files = live.files(n, 4)
+    live.deliver(twice, F.col("_first") + F.col("_again"), 4, f"{folder}/in", files)
+    fold.to_files(fold.fold(ordering.once(live.events(live.session(spark, n), f"{folder}/in", number=files), "30 days")), f"{folder}/out", f"{folder}/at").awaitTermination()
     return fold.visible(live.written(spark, folder, fold.OUT))
 
 
@@ -83,10 +84,11 @@ def _requests(said: DataFrame) -> DataFrame:
 
 def ledger_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed of answers that a stream of transcripts asks for, batch by batch, and keeps in a ledger."""
-    folder, said = folders.new(spark, "ledger"), _said(spark, sf_dir)
+    folder, said = folders.new(spark, "ledger"), folders.stored(_said(spark, sf_dir))
     batch, _ = live.shuffled(said, DELAY_MS, 3)
-    live.deliver(said, batch, 3, f"{folder}/in")
-    requests = _requests(live.events(live.session(spark), f"{folder}/in"))
+    files = live.files(said.count(), 3)
+    live.deliver(said, batch, 3, f"{folder}/in", files)
+    requests = _requests(live.events(live.session(spark), f"{folder}/in", number=files))
     ledger.to_ledger(requests, f"{folder}/answers", f"{folder}/at").awaitTermination()
     rows = answers.log(said, ledger.read(spark, f"{folder}/answers"), ["seq"])
     return feed.feed(rows, ["seq", "step"]).select(F.col("session").cast("long").alias("session"), F.col("seq").alias("event_id"), "question", "answer")

@@ -243,3 +243,19 @@ def test_state_is_read_and_written_once(spark):
         got += processor.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed), SimpleNamespace(getExpiryTimeInMs=lambda: due))
     assert [r["seq"] for r in got] == numbers and not any(r["late"] for r in got)
     assert handle.value is None and not handle.timers
+
+
+def test_large_streams_have_more_files_and_parts(spark):
+    """Rows by task don't grow with the input, neither of files nor of state."""
+    assert live.files(1000, 3) == live.FILES and live.files(60_000_000, 3) >= 60
+    own = live.session(spark, 60_000_000)
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) >= 60
+    assert int(live.session(spark, 1000).conf.get("spark.sql.shuffle.partitions")) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_last_beat_comes_with_the_last_rows(spark, tmp_path):
+    rows = spark.range(90).selectExpr("'s' as session", "id as seq", "'row' as kind", "'t' as text", "id as ts_ms")
+    live.deliver(rows, F.floor(F.col("seq") / 30).cast("int"), 3, f"{tmp_path}/in", 4, live.beat(spark, 1000))
+    files = spark.read.schema(wire.EVENT_LOG).json(f"{tmp_path}/in").withColumn("file", F.input_file_name())
+    last = {r["file"] for r in files.where("seq >= 60 and kind = 'row'").collect()}
+    assert files.select("file").distinct().count() == 12 and {r["file"] for r in files.where("session = ''").collect()} <= last
