@@ -111,7 +111,7 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         *value, last = tuple(self.state.get()) if self.state.exists() else (*START, None)
         fit, out = [], []
-        for r in sorted(rows, key=lambda r: r.seq):
+        for r in sorted(ordering.named(rows, STEP.names), key=lambda r: r.seq):
             if last is not None and r.seq <= last:
                 out.append(late(key[0], r))
             else:
