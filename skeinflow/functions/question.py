@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,14 @@ def classified(rows: DataFrame, text: str = "text") -> DataFrame:
     return split.withColumn("reason", reason(F.col("_normal"), F.col("words"))).withColumn("is_question", is_question(F.col("reason"))).drop("_normal")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is worked out once however often `body` uses it, also in a filter that Spark pushes
+    below what it reads."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gate(rows: DataFrame, text: str = "text", final: str | None = None) -> DataFrame:
     """The rows whose text is a question, and of them the final ones where a column tells; columns stay as they are."""
-    kept = classified(rows.withColumn("_rest", F.struct(*rows.columns)), text).where("is_question")
-    kept = kept.where(F.coalesce(F.col(f"_rest.`{final}`"), F.lit(False))) if final else kept
-    return kept.select("_rest.*")
+    code = _let(normal(F.col(text)), lambda t: _let(words(t), lambda list_: reason(t, list_)))
+    kept = rows.where(is_question(code))
+    return kept.where(F.coalesce(F.col(f"`{final}`"), F.lit(False))) if final else kept

@@ -26,6 +26,13 @@ def test_questions(spark):
     assert {r["id"] for r in kept} == {i for i, (_, c) in enumerate(GOLDEN) if c in ("qmark", "wh", "aux")}
 
 
+def test_gate_works_texts_out_once(spark, capsys):
+    """Though the filter goes below what makes the text, it splits each text once."""
+    made = spark.range(10).select("id", F.concat(F.lit("what is "), F.col("id").cast("string")).alias("text"))
+    question.gate(made).explain()
+    assert capsys.readouterr().out.count("split(") == 1
+
+
 def test_vocabulary():
     assert (len(question.WH), len(question.AUXILIARIES), len(question.TARGETS), len(question.PREFIXES)) == (9, 16, 10, 9)
 
