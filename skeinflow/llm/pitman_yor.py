@@ -585,7 +585,7 @@ def score(docs: DataFrame) -> DataFrame:
     # A bucketed table: each sweep joins tokens with what buckets are told, and only that is shuffled.
     name = f"tokens_{uuid.uuid4().hex}"
     try:
-        docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket").write.bucketBy(buckets, "bucket").saveAsTable(name)
+        docs.mapInArrow(pack, _PACKED).repartition(buckets, "bucket").write.option("compression", "zstd").bucketBy(buckets, "bucket").saveAsTable(name)
         got = _sampled(spark.table(name), plan, head, shared, buckets)
     finally:  # also where it breaks off
         spark.sql(f"drop table if exists {name}")

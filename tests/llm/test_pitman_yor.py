@@ -193,3 +193,17 @@ def test_repeats_and_long_texts(spark):
     assert py.score(spark.createDataFrame([], SCHEMA)).count() == 0
     none = spark.createDataFrame([(i, "a b") for i in range(60) if py.held_out(i)], SCHEMA)
     assert py.score(none).where(F.col("train_tokens") == 0).count() == none.count()
+
+
+def test_the_table_of_tokens_is_small(spark, monkeypatch):
+    """Its files are there through all sweeps, so they are packed by zstd."""
+    seen, sampled = [], py._sampled
+
+    def spy(packed, *rest):
+        seen.extend(packed.inputFiles())
+        return sampled(packed, *rest)
+
+    monkeypatch.setattr(py, "_sampled", spy)
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(20)], "doc_id long, text string")
+    assert py.score(docs).count() == 20
+    assert seen and all(".zstd." in f for f in seen)
