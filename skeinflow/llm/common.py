@@ -157,7 +157,9 @@ def grams(words: Words, hashes: np.ndarray, n: int, short: bool = True) -> tuple
 
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, hash) pairs with their counts, by text and hash."""
-    order = np.lexsort((h, doc))
+    order = np.argsort(h)
+    of = doc[order]
+    order = order[np.argsort(of.astype(np.uint16) if doc.max(initial=0) < 1 << 16 else of, kind="stable")]  # a radix sort, if short
     doc, h = doc[order], h[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])

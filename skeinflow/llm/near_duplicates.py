@@ -65,24 +65,23 @@ def darts(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, k
 
 def _throw(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, rank: np.ndarray, docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     at, ranks, ids = [], [], []
+    below, heavy, step = rank[doc], bool((weight >= 1.0).all()), _U(0xD1342543DE82EF95)
     top = float(rank.max(initial=0.0))
     for v, (w_low, w_high) in enumerate(_cells(float(weight.max(initial=0.0)), 1.0)):
-        heavy = np.flatnonzero(weight > w_low)
         for r, (r_low, r_high) in enumerate(_cells(top, FIRST_CELL)):
-            own = heavy[rank[doc[heavy]] > r_low]
+            own = np.flatnonzero((weight > w_low) & (below > r_low))
             if not len(own):
                 continue
             cell = mix(element[own] ^ _U(((v * 64 + r + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)))
             n = _poisson(unit(cell), (w_high - w_low) * (r_high - r_low))
-            rep = np.repeat(np.arange(len(own)), n)
-            if not len(rep):
+            src = np.repeat(own, n)
+            if not len(src):
                 continue
-            j = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-            dart = mix(cell[rep] + (j.astype(_U) + _U(1)) * _U(0xD1342543DE82EF95))
+            # A cell's darts are numbered from 1; here one count runs through all cells.
+            dart = mix(np.repeat(cell - (np.cumsum(n) - n).astype(_U) * step, n) + np.arange(1, len(src) + 1, dtype=_U) * step)
             rk = r_low + unit(mix(dart + _U(1))) * (r_high - r_low)
-            src = own[rep]
-            hit = rk < rank[doc[src]]
-            if w_high > 1.0 or not (weight >= 1.0).all():
+            hit = rk < below[src]
+            if w_high > 1.0 or not heavy:
                 hit &= w_low + unit(mix(dart + _U(2))) * (w_high - w_low) < weight[src]
             src, rk, dart = src[hit], rk[hit], dart[hit]
             at.append(doc[src] * k + (mix(dart + _U(3)) % _U(k)).astype(np.int64))
@@ -91,11 +90,11 @@ def _throw(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, rank: np.nd
     best_rank, best = np.full(docs * k, np.inf), np.zeros(docs * k, dtype=_U)
     if at:
         place, rk, dart = np.concatenate(at), np.concatenate(ranks), np.concatenate(ids)
-        order = np.lexsort((dart, rk, place))
-        place, rk, dart = place[order], rk[order], dart[order]
-        first = np.ones(len(place), dtype=bool)
-        first[1:] = place[1:] != place[:-1]
-        best_rank[place[first]], best[place[first]] = rk[first], dart[first]
+        np.minimum.at(best_rank, place, rk)  # as sorting the darts would cost most of the signature
+        lowest = rk == best_rank[place]
+        place, dart = place[lowest], dart[lowest]
+        best[place] = dart
+        np.minimum.at(best, place, dart)  # of equal ranks the least dart
     return best_rank.reshape(docs, k), best.reshape(docs, k)
 
 

@@ -57,34 +57,29 @@ def _starts(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
     line[0] = True
     line[1:] = (breaks[words.starts[1:]] > breaks[words.ends[:-1]]) | (words.doc[1:] != words.doc[:-1])
-    closing = np.isin(words.data, np.frombuffer(b".!?", dtype=np.uint8))
     sentence[:] = line
-    sentence[1:] |= closing[words.ends[:-1] - 1]
+    sentence[1:] |= np.isin(words.data[words.ends[:-1] - 1], np.frombuffer(b".!?", dtype=np.uint8))
     edges = np.append(np.flatnonzero(sentence), n)
-    length = np.diff(edges)
-    for i in np.flatnonzero(length > UNSPLIT):
-        a, z = int(edges[i]), int(edges[i + 1])
-        sentence[_content_cuts(h, a, z)] = True
+    long = np.flatnonzero(np.diff(edges) > UNSPLIT)
+    sentence[_content_cuts(h, edges[long], edges[long + 1])] = True
     return line, sentence
 
 
-def _content_cuts(h: np.ndarray, a: int, z: int, reach: int = 4) -> list[int]:
-    """Words in (a, z) whose run of three is the strict minimum among its neighbours; else every LONGEST words."""
+def _content_cuts(h: np.ndarray, a: np.ndarray, z: np.ndarray, reach: int = 4) -> np.ndarray:
+    """Of stretches of words [a, z) that don't overlap, in their order: their first words, the words whose run of three is
+    the strict minimum among its neighbours in the stretch, and where these are further apart every LONGEST words."""
+    at, of = _ranges(a, z - 2), np.repeat(np.arange(len(a)), z - 2 - a)
     with np.errstate(over="ignore"):
-        g = mix(h[a : z - 2] + h[a + 1 : z - 1] * _U(3) + h[a + 2 : z] * _U(5))
+        g = mix(h[at] + h[at + 1] * _U(3) + h[at + 2] * _U(5))
     least = np.ones(len(g), dtype=bool)
     for d in range(1, reach + 1):
-        least[d:] &= g[d:] < g[:-d]
-        least[:-d] &= g[:-d] < g[d:]
-    cuts, last = [], a
-    for c in [*(np.flatnonzero(least) + a).tolist(), z]:
-        while c - last > LONGEST:
-            last += LONGEST
-            cuts.append(last)
-        if last < c < z:
-            cuts.append(c)
-            last = c
-    return cuts
+        apart = of[d:] != of[:-d]
+        least[d:] &= apart | (g[d:] < g[:-d])
+        least[:-d] &= apart | (g[:-d] < g[d:])
+    cuts = np.unique(np.concatenate([a, at[least]]))
+    end = np.minimum(np.append(cuts[1:], len(h)), z[np.searchsorted(a, cuts, side="right") - 1])
+    more = (end - cuts - 1) // LONGEST
+    return np.concatenate([cuts, _ranges(np.zeros_like(more), more) * LONGEST + LONGEST + np.repeat(cuts, more)])
 
 
 def _stretches(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

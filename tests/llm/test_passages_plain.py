@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 from skeinflow.llm import passages
@@ -153,3 +154,25 @@ def _edited(rng, line):
     """A line with one word changed at an edge, put before it or behind it, or left out there, or as it is."""
     kind, other = rng.randrange(6), f"e{rng.randrange(10**6)}"
     return [[other, *line[1:]], [*line[:-1], other], [other, *line], [*line, other], line[1:] if len(line) > 5 else line, line][kind]
+
+
+def test_cuts_by_content_of_several_stretches():
+    """All stretches at once, held against one after another in plain Python."""
+    rng = np.random.default_rng(8)
+    h = np.concatenate([rng.integers(0, 2**63, 1500), np.full(700, 5), rng.integers(0, 3, 800)]).astype(np.uint64)
+    a, z = np.array([0, 41, 90, 900, 1450, 2300]), np.array([41, 85, 900, 1400, 2300, 3000])
+    want = set()
+    for lo, hi in zip(a.tolist(), z.tolist(), strict=True):
+        with np.errstate(over="ignore"):
+            g = passages.mix(h[lo : hi - 2] + h[lo + 1 : hi - 1] * np.uint64(3) + h[lo + 2 : hi] * np.uint64(5)).tolist()
+        last = lo
+        for c in [*(lo + i for i, x in enumerate(g) if all(x < y for y in g[max(0, i - 4) : i] + g[i + 1 : i + 5])), hi]:
+            while c - last > passages.LONGEST:
+                last += passages.LONGEST
+                want.add(last)
+            if last < c < hi:
+                want.add(c)
+                last = c
+    got = passages._content_cuts(h, a, z)
+    assert set(got.tolist()) == want | set(a.tolist()) and len(want) > 100
+    assert len(passages._content_cuts(h, a[:0], z[:0])) == 0
